@@ -35,8 +35,9 @@ _JOINED = t.with_sql("posts", "analysis") + f""", joined AS (
 SELECT p.*, {_RATE}, {_ANALYSIS_COLUMNS} FROM posts p LEFT JOIN analysis a ON p.post_id = a.video_id) """
 
 
-def joined(spark, d):
-    return engagement.join_analysis(engagement.with_like_rate(t.posts(spark, d)), t.analysis(spark, d))
+def joined(spark, d, *columns):
+    posts = engagement.with_like_rate(t.posts(spark, d))
+    return engagement.join_analysis(posts, t.analysis(spark, d), columns or None)
 
 
 @check("posts_left_analysis", _JOINED + "SELECT * FROM joined")
@@ -129,7 +130,7 @@ SELECT position, time_bucket, mean_reach FROM {BUCKETS} b LEFT JOIN (
 USING (time_bucket)""")
 def analysed_time_bucket_mean(spark, d):
     """Posts, analysis, like rate, bucket, dense mean: the whole path of the timing chart."""
-    rows = engagement.with_timing(joined(spark, d)).filter(F.col("call_to_action").isNotNull())
+    rows = engagement.with_timing(joined(spark, d, "call_to_action")).filter(F.col("call_to_action").isNotNull())
     return engagement.timing_means(rows, "time_bucket", "reach")
 
 
@@ -179,7 +180,7 @@ def mean_by_object_count(spark, d):
 
 @check("mean_by_key", _SOLD_PARTS + _mean_sql("shot_count", _SOLD_JOIN, False))
 def mean_by_key(spark, d):
-    rows = engagement.join_analysis(t.sold_posts(spark, d), t.part_analysis(spark, d))
+    rows = engagement.join_analysis(t.sold_posts(spark, d), t.part_analysis(spark, d), ["shot_count"])
     return engagement.ordered_means(engagement.mean_by(rows, "shot_count", ["reach"]), "shot_count")
 
 
@@ -193,20 +194,22 @@ def mean_by_polarity(spark, d):
 
 @check("engagement_points", _JOINED + "SELECT post_id, caption_length, reach FROM joined")
 def engagement_points(spark, d):
-    return engagement.engagement_points(joined(spark, d), "caption_length")
+    return engagement.engagement_points(joined(spark, d, "caption_length"), "caption_length")
 
 
 @check("sentiment_points", _JOINED + """
 SELECT post_id, polarity, like_count, subjectivity, reach FROM joined""")
 def sentiment_points(spark, d):
-    rows = joined(spark, d)
+    rows = joined(spark, d, "polarity", "subjectivity")
     polarity = engagement.engagement_points(rows, "polarity", "like_count")
     return polarity.join(engagement.engagement_points(rows, "subjectivity", "reach"), "post_id")
 
 
 @check("word_points", _JOINED + "SELECT post_id, common_word_count, most_common_word, reach, theme_repetition FROM joined")
 def word_points(spark, d):
-    return engagement.word_points(joined(spark, d))
+    return engagement.word_points(
+        joined(spark, d, "common_word_count", "most_common_word", "theme_repetition")
+    )
 
 
 @check("post_cards", _JOINED + """
@@ -214,7 +217,10 @@ SELECT post_id, post_date, caption, reach, like_count, like_rate, comments_count
   main_focus, color_scheme, time_bucket, weekday, speech_length, speech_rate,
   CASE media_type WHEN 'IMAGE' THEN 'image' WHEN 'VIDEO' THEN 'video' END AS media_kind, source FROM joined""")
 def post_cards(spark, d):
-    return cards.post_cards(joined(spark, d))
+    return cards.post_cards(joined(
+        spark, d, "main_theme", "most_common_word", "main_focus", "color_scheme", "time_bucket", "weekday",
+        "speech_length", "speech_rate",
+    ))
 
 
 _DETAIL = ", ".join(

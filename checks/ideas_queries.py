@@ -245,11 +245,8 @@ _CAPTIONS = f""", captions AS (SELECT o_orderkey,
 
 def _deleted(spark, d):
     """Deletions asked for: captions of orders, on the account of each line's supplier."""
-    captions = t.table(spark, d, "orders").select(
-        "o_orderkey", F.concat("o_orderpriority", F.lit(" offer for all who order before the end of the week, no. "),
-                               F.col("o_orderkey").cast("string")).alias("caption"))
-    lines = t.table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("page_id"))
-    return lines.join(captions, F.col("l_orderkey") == F.col("o_orderkey")).select("page_id", "caption")
+    captions = t.table(spark, d, "orders").selectExpr("o_orderkey AS l_orderkey", f"{t.CAPTION} AS caption")
+    return t.table(spark, d, "lineitem").join(captions, "l_orderkey").selectExpr("l_suppkey AS page_id", "caption")
 
 
 @check("ideas_delete", _IDEAS + _CAPTIONS + f"""SELECT {_COLUMNS} FROM ideas i WHERE NOT EXISTS (

@@ -6,22 +6,35 @@ maps each of its rows; ``SQL`` holds the same mapping as common table expression
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from reachlens.sources.schemas import POST_ANALYSIS, POSTS, conform
 
 AS_OF = "2024-01-31"
-ORDERS_AS_OF = "1998-07-01"
 
 SQL: dict[str, str] = {}
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Declared, so that opening a table does not first read a file for its schema.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 
 
-def _cents(x: str) -> Column:
-    return F.round(F.col(x) * 100).cast("bigint")
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def with_sql(*names: str) -> str:
@@ -36,18 +49,19 @@ def with_sql(*names: str) -> str:
     return "WITH " + ", ".join(f"{name} AS ({SQL[name]})" for name in wanted) + " "
 
 
+CAPTION = "concat(o_orderpriority, ' offer for all who order before the end of the week, no. ', o_orderkey)"
+
+
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     """events: one row is one post of the account user_id."""
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = table(spark, folder, "events").select(
-        F.col("user_id").alias("page_id"), F.col("event_id").cast("string").alias("post_id"),
-        F.to_date("ts").alias("insert_date"), F.col("ts").alias("created_time"),
-        F.concat_ws(" ", "event_type", "props").alias("caption"), _cents("value").alias("reach"),
-        k.alias("like_count"), (k % 10).alias("comments_count"), (k % 7).alias("saved"), (k % 5).alias("shares"),
-        F.when(F.col("event_type").isin("view", "click"), "VIDEO").otherwise("IMAGE").alias("media_type"),
-        F.concat(F.lit("https://media.example.com/"), F.col("event_id").cast("string")).alias("source"),
-    )
-    return conform(rows, POSTS)
+    rows = table(spark, folder, "events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k")
+    return conform(rows.selectExpr(
+        "user_id AS page_id", "CAST(event_id AS STRING) AS post_id", "CAST(ts AS DATE) AS insert_date",
+        "ts AS created_time", "concat(event_type, ' ', props) AS caption", "CAST(round(value * 100) AS BIGINT) AS reach",
+        "k AS like_count", "k % 10 AS comments_count", "k % 7 AS saved", "k % 5 AS shares",
+        "CASE WHEN event_type IN ('view', 'click') THEN 'VIDEO' ELSE 'IMAGE' END AS media_type",
+        "concat('https://media.example.com/', event_id) AS source",
+    ), POSTS)
 
 
 SQL["posts"] = """
@@ -61,10 +75,14 @@ FROM (SELECT *, CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS BIGINT) AS k F
 
 def account_daily(spark: SparkSession, folder: str) -> DataFrame:
     """events rolled up per account and day; days without events are real gaps."""
-    return posts(spark, folder).groupBy("page_id", F.to_date("created_time").alias("date")).agg(
-        F.sum("comments_count").alias("follower_count"),
-        F.max(F.col("post_id").cast("bigint")).alias("total_followers"),
-        F.sum("reach").alias("reach"), F.sum(F.col("reach") + F.col("like_count")).alias("impressions"),
+    rows = posts(spark, folder).selectExpr(
+        "page_id", "CAST(created_time AS DATE) AS date", "comments_count AS follower_count",
+        "CAST(post_id AS BIGINT) AS total_followers", "reach", "reach + like_count AS impressions",
+    )
+    daily = rows.groupBy("page_id", "date")
+    return daily.agg({"follower_count": "sum", "total_followers": "max", "reach": "sum", "impressions": "sum"}).selectExpr(
+        "page_id", "date", "`sum(follower_count)` AS follower_count", "`max(total_followers)` AS total_followers",
+        "`sum(reach)` AS reach", "`sum(impressions)` AS impressions",
     )
 
 
@@ -78,31 +96,26 @@ FROM posts GROUP BY 1, 2"""
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
     """documents with their labels: one analysed video per document."""
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
-    n = F.col("n_chars")
-    lang, src = F.col("lang"), F.col("source")
-    rows = docs.select(
-        F.lit(None).cast("bigint").alias("page_id"), F.col("doc_id").cast("string").alias("video_id"),
-        F.lit("2024-01-01").cast("timestamp_ntz").alias("created_time"),
-        n.alias("reach"), n.alias("like_count"), n.alias("comments_count"), n.alias("shares"), n.alias("saved"),
-        lang.alias("main_theme"), F.concat(lang, F.lit("_"), src).alias("most_common_word"), src.alias("main_focus"),
-        F.when(F.col("toxic") == 1, "dark").when(F.col("toxic") == 0, "light").alias("color_scheme"),
-        F.concat((n % 24).cast("string"), F.lit(":00")).alias("time_of_day"),
-        F.lit("9 AM").alias("time_bucket"), F.lit("Monday").alias("weekday"),
-        (n % 60).cast("double").alias("video_len"), (n % 12).alias("shot_count"),
-        ((n % 40) / 4).alias("avg_shot_len"), ((n % 80) / 4).alias("longest_shot"),
-        (n % 9).alias("object_count"), F.col("quality").cast("bigint").alias("face_count"),
-        F.concat(src, F.lit(","), lang).alias("labels_extracted"), src.alias("background_imagery"),
-        F.lit(None).cast("string").alias("text_from_video"), n.alias("caption_length"),
-        F.concat(F.lit("#"), lang).alias("hashtags"), F.lit(1).cast("bigint").alias("hashtag_count"),
-        F.when(F.col("quality") == 1, "follow").when(F.col("quality") == 0, "visit").alias("call_to_action"),
-        (n / 24.0).alias("words_per_frame"), F.col("text").alias("raw_speech"), F.col("text").alias("processed_speech"),
-        F.length("text").cast("bigint").alias("speech_length"), (n / 7.0).alias("speech_rate"),
-        F.when(F.col("quality") == 1, "music").alias("sound_type"), (n % 120).cast("double").alias("bpm"),
-        F.lit("calm").alias("mood"), F.when(n % 2 == 0, "positive").otherwise("negative").alias("sentiment"),
-        ((n % 21 - 10) / 10).alias("polarity"), ((n % 11) / 10).alias("subjectivity"), F.lit("warm").alias("tone"),
-        (n % 50).alias("common_word_count"), (n % 6).alias("theme_repetition"),
-    )
-    return conform(rows, POST_ANALYSIS)
+    return conform(docs.selectExpr(
+        "CAST(NULL AS BIGINT) AS page_id", "CAST(doc_id AS STRING) AS video_id",
+        "TIMESTAMP_NTZ '2024-01-01' AS created_time",
+        *[f"n_chars AS {c}" for c in ("reach", "like_count", "comments_count", "shares", "saved")],
+        "lang AS main_theme", "concat(lang, '_', source) AS most_common_word", "source AS main_focus",
+        "CASE toxic WHEN 1 THEN 'dark' WHEN 0 THEN 'light' END AS color_scheme",
+        "concat(n_chars % 24, ':00') AS time_of_day", "'9 AM' AS time_bucket", "'Monday' AS weekday",
+        "CAST(n_chars % 60 AS DOUBLE) AS video_len", "n_chars % 12 AS shot_count",
+        "(n_chars % 40) / 4 AS avg_shot_len", "(n_chars % 80) / 4 AS longest_shot", "n_chars % 9 AS object_count",
+        "CAST(quality AS BIGINT) AS face_count", "concat(source, ',', lang) AS labels_extracted",
+        "source AS background_imagery", "CAST(NULL AS STRING) AS text_from_video", "n_chars AS caption_length",
+        "concat('#', lang) AS hashtags", "1L AS hashtag_count",
+        "CASE quality WHEN 1 THEN 'follow' WHEN 0 THEN 'visit' END AS call_to_action",
+        "n_chars / 24 AS words_per_frame", "text AS raw_speech", "text AS processed_speech",
+        "CAST(length(text) AS BIGINT) AS speech_length", "n_chars / 7 AS speech_rate",
+        "CASE quality WHEN 1 THEN 'music' END AS sound_type", "CAST(n_chars % 120 AS DOUBLE) AS bpm", "'calm' AS mood",
+        "CASE WHEN n_chars % 2 = 0 THEN 'positive' ELSE 'negative' END AS sentiment",
+        "(n_chars % 21 - 10) / 10 AS polarity", "(n_chars % 11) / 10 AS subjectivity", "'warm' AS tone",
+        "n_chars % 50 AS common_word_count", "n_chars % 6 AS theme_repetition",
+    ), POST_ANALYSIS)
 
 
 SQL["analysis"] = """
@@ -125,11 +138,10 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 def sold_posts(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem: one row is one showing of the post l_partkey on account l_suppkey."""
-    return table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").alias("page_id"), F.col("l_partkey").cast("string").alias("post_id"),
-        F.col("l_shipdate").alias("created_time"), _cents("l_extendedprice").alias("reach"),
-        F.col("l_quantity").cast("bigint").alias("like_count"), F.col("l_discount").alias("polarity"),
-        F.col("l_quantity").alias("video_len"), F.col("l_returnflag").alias("call_to_action"),
+    return table(spark, folder, "lineitem").selectExpr(
+        "l_suppkey AS page_id", "CAST(l_partkey AS STRING) AS post_id", "l_shipdate AS created_time",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) AS reach", "CAST(l_quantity AS BIGINT) AS like_count",
+        "l_discount AS polarity", "l_quantity AS video_len", "l_returnflag AS call_to_action",
     )
 
 
@@ -142,10 +154,9 @@ FROM lineitem"""
 
 def part_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """part: one analysed video per part."""
-    return table(spark, folder, "part").select(
-        F.col("p_partkey").cast("string").alias("video_id"), F.lit(None).cast("timestamp_ntz").alias("created_time"),
-        F.col("p_type").alias("main_theme"), F.col("p_brand").alias("main_focus"),
-        F.col("p_size").alias("shot_count"), (F.col("p_size") % 9).alias("object_count"),
+    return table(spark, folder, "part").selectExpr(
+        "CAST(p_partkey AS STRING) AS video_id", "CAST(NULL AS TIMESTAMP_NTZ) AS created_time", "p_type AS main_theme",
+        "p_brand AS main_focus", "p_size AS shot_count", "p_size % 9 AS object_count",
     )
 
 
@@ -156,14 +167,12 @@ FROM part"""
 
 
 def demographics(spark: SparkSession, folder: str) -> DataFrame:
-    """customers by region and nation: one account per market segment."""
-    nation = table(spark, folder, "nation").join(
-        table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    segment = F.col("c_mktsegment")
-    return table(spark, folder, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.length(segment).cast("bigint").alias("page_id"), F.col("r_name").alias("breakdown"),
-        F.col("n_name").alias("value"), (F.col("c_custkey") % 100 + 1).alias("followers"),
+    """customers by region and nation; segments with names of one length form an account."""
+    region = table(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    nation = table(spark, folder, "nation").join(region, "n_regionkey").withColumnRenamed("n_nationkey", "c_nationkey")
+    return table(spark, folder, "customer").join(nation, "c_nationkey").selectExpr(
+        "CAST(length(c_mktsegment) AS BIGINT) AS page_id", "r_name AS breakdown", "n_name AS value",
+        "c_custkey % 100 + 1 AS followers",
     )
 
 
@@ -175,11 +184,10 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 
 def ads(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem with its part name: one row is one ad of the account l_suppkey."""
-    parts = table(spark, folder, "part").select("p_partkey", "p_name")
-    return table(spark, folder, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_suppkey").alias("page_id"), F.col("p_name").alias("ad_name"),
-        F.col("l_extendedprice").alias("spend"), F.col("l_partkey").alias("reach"),
-        F.col("l_quantity").cast("bigint").alias("clicks"),
+    parts = table(spark, folder, "part").selectExpr("p_partkey AS l_partkey", "p_name")
+    return table(spark, folder, "lineitem").join(parts, "l_partkey").selectExpr(
+        "l_suppkey AS page_id", "p_name AS ad_name", "l_extendedprice AS spend", "l_partkey AS reach",
+        "CAST(l_quantity AS BIGINT) AS clicks",
     )
 
 
@@ -191,15 +199,11 @@ FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 def ideas(spark: SparkSession, folder: str) -> DataFrame:
     """orders: one row is one planned post of the account o_custkey."""
-    return table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("page_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
-        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("post_summary"),
-        F.concat(F.col("o_orderpriority"), F.lit(" offer for all who order before the end of the week, no. "),
-                 F.col("o_orderkey").cast("string")).alias("caption"),
-        F.when(F.col("o_orderstatus") == "F", "Reel").when(F.col("o_orderstatus") == "O", "Story")
-        .otherwise("Static Post").alias("post_type"),
-        F.concat_ws(",", "o_orderpriority", "o_orderstatus").alias("themes"), F.col("o_orderpriority").alias("tone"),
-        F.lit("User").alias("source"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_custkey AS page_id", "date_format(o_orderdate, 'yyyy-MM-dd') AS date",
+        "concat('Order ', o_orderkey) AS post_summary", f"{CAPTION} AS caption",
+        "CASE o_orderstatus WHEN 'F' THEN 'Reel' WHEN 'O' THEN 'Story' ELSE 'Static Post' END AS post_type",
+        "concat(o_orderpriority, ',', o_orderstatus) AS themes", "o_orderpriority AS tone", "'User' AS source",
     )
 
 
@@ -214,10 +218,9 @@ FROM orders"""
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
     """documents as dated notes of an account per text source."""
-    return table(spark, folder, "documents").select(
-        F.substring("source", 4, 9).cast("bigint").alias("page_id"),
-        F.date_add(F.lit(AS_OF).cast("date"), -F.col("n_chars").cast("int") % 700).alias("update_date"),
-        "doc_id", "lang", "text",
+    return table(spark, folder, "documents").selectExpr(
+        "CAST(substring(source, 4) AS BIGINT) AS page_id",
+        f"date_sub(DATE '{AS_OF}', CAST(n_chars % 700 AS INT)) AS update_date", "doc_id", "lang", "text",
     )
 
 
@@ -229,11 +232,10 @@ FROM documents"""
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """pages: one row is one stored file, named after the last part of its path."""
-    name = F.regexp_extract("url", r"([0-9]+)[^0-9/]*[^/]*/?$", 1)
-    return table(spark, folder, "pages").select(
-        F.concat(name, F.lit("."), F.when(F.col("page_id") % 2 == 0, "mp4").otherwise("mov")).alias("name"),
-        F.col("url"), F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("video/mp4").alias("mime"),
-        F.col("page_id").alias("file_no"),
+    return table(spark, folder, "pages").selectExpr(
+        r"concat(regexp_extract(url, r'([0-9]+)[^0-9/]*[^/]*/?$', 1), "
+        "CASE WHEN page_id % 2 = 0 THEN '.mp4' ELSE '.mov' END) AS name",
+        "url", "CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'video/mp4' END AS mime", "page_id AS file_no",
     )
 
 
@@ -247,16 +249,11 @@ FROM pages"""
 def replies(spark: SparkSession, folder: str) -> DataFrame:
     """events: one row is one model reply, an object wrapped in other text. The
     replies to one kind of event break off in the middle."""
-    body = F.concat(
-        F.lit('{"post_summary": "'), F.col("event_type"), F.lit('",\n "caption": "c'), F.col("event_id").cast("string"),
-        F.lit('", "post_type": "Reel", "themes": ["'), F.col("event_type"), F.lit('","b"], "tone": "t", "extra": '),
-        F.col("props"),
-    )
-    reply = F.when(F.col("event_type") == "error", body).otherwise(
-        F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("}\n```"))
-    )
-    return table(spark, folder, "events").select(
-        F.col("user_id").alias("page_id"), reply.alias("reply"), F.col("event_id").alias("reply_no")
+    body = """concat('{"post_summary": "', event_type, '",\\n "caption": "c', event_id,
+        '", "post_type": "Reel", "themes": ["', event_type, '","b"], "tone": "t", "extra": ', props)"""
+    whole = f"concat('Here it is:\\n```json\\n', {body}, '}}\\n```')"
+    return table(spark, folder, "events").selectExpr(
+        "user_id AS page_id", f"CASE WHEN event_type = 'error' THEN {body} ELSE {whole} END AS reply", "event_id AS reply_no"
     )
 
 

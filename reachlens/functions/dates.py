@@ -8,30 +8,45 @@ from pyspark.sql import Column, functions as F
 
 from reachlens.fixed_values import TENANT_ZONE, TIME_BUCKETS, WEEKDAYS
 
-AsOf = dt.date | dt.datetime | str | Column
+AsOf = dt.date | dt.datetime | str
 
 
-def as_date(as_of: AsOf) -> Column:
+def to_moment(as_of: AsOf) -> dt.datetime:
+    """``as_of`` as a zone-less moment; a plain day means its midnight."""
+    if isinstance(as_of, str):
+        as_of = dt.datetime.fromisoformat(as_of)
+    if isinstance(as_of, dt.datetime):
+        if as_of.tzinfo is not None:
+            raise ValueError("as_of must not carry a time zone")
+        return as_of
+    return dt.datetime.combine(as_of, dt.time())
+
+
+def to_day(as_of: AsOf) -> dt.date:
     """The calendar day of ``as_of``."""
-    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("date")
+    return to_moment(as_of).date()
 
 
-def as_time(as_of: AsOf) -> Column:
-    """``as_of`` as a zone-less timestamp; a plain day means its midnight."""
-    return (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp_ntz")
+def day_sql(day: dt.date) -> str:
+    return f"DATE '{day.isoformat()}'"
 
 
-def days_before(as_of: AsOf, days: int) -> Column:
-    return F.date_sub(as_date(as_of), days)
+def moment_sql(moment: dt.datetime) -> str:
+    return f"TIMESTAMP_NTZ '{moment.isoformat(sep=' ')}'"
 
 
-def days_after(as_of: AsOf, days: int) -> Column:
-    return F.date_add(as_date(as_of), days)
+def as_date(as_of: AsOf) -> Column:
+    """The calendar day of ``as_of`` as a literal."""
+    return F.expr(day_sql(to_day(as_of)))
 
 
-def time_before(as_of: AsOf, days: int) -> Column:
-    """The moment exactly ``days`` days earlier."""
-    return as_time(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+def days_before(as_of: AsOf, days: int) -> Column:
+    """A literal, so partitions and row groups can be pruned by it."""
+    return F.expr(day_sql(to_day(as_of) - dt.timedelta(days)))
+
+
+def days_after(as_of: AsOf, days: int) -> Column:
+    return days_before(as_of, -days)
 
 
 def yesterday_in_zone(utc_moment: Column, zone: str = TENANT_ZONE) -> Column:
@@ -40,7 +55,7 @@ def yesterday_in_zone(utc_moment: Column, zone: str = TENANT_ZONE) -> Column:
 
 
 def month_start(as_of: AsOf) -> Column:
-    return F.trunc(as_date(as_of), "MM")
+    return as_date(to_day(as_of).replace(day=1))
 
 
 def iso_date(moment: Column) -> Column:
@@ -52,16 +67,16 @@ def parse_time(text: Column, fmt: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:
     return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
 
 
-def time_bucket(moment: Column) -> Column:
-    """Posting-time label: single hours from 9 AM to midnight, one label for 1-8 AM."""
-    hour = F.hour(moment)
-    return (
-        F.when(hour == 0, F.lit("12 AM"))
-        .when(hour.between(1, 8), F.lit("1-8 AM"))
-        .when(hour < 12, F.concat(hour.cast("string"), F.lit(" AM")))
-        .when(hour == 12, F.lit("12 PM"))
-        .when(hour > 12, F.concat((hour - 12).cast("string"), F.lit(" PM")))
-    )
+def time_bucket(moment: str) -> Column:
+    """Posting-time label: single hours from 9 AM to midnight, one label for 1-8 AM.
+
+    ``moment`` is a column name; a missing time has no label.
+    """
+    hour = f"hour({moment})"
+    return F.expr(f"""
+        CASE WHEN {hour} = 0 THEN '12 AM' WHEN {hour} < 9 THEN '1-8 AM'
+             WHEN {hour} < 12 THEN concat({hour}, ' AM') WHEN {hour} = 12 THEN '12 PM'
+             WHEN {hour} > 12 THEN concat({hour} - 12, ' PM') END""")
 
 
 def weekday_name(moment: Column) -> Column:

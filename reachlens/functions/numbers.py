@@ -1,79 +1,71 @@
-"""Numeric expressions that reproduce dataframe arithmetic exactly."""
+"""Numeric expressions that reproduce dataframe arithmetic exactly.
 
-from __future__ import annotations
+Formulas that use their argument many times take and return SQL text: ``x`` is a column
+name or an expression, the result goes through ``expr`` or ``selectExpr``.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(x)`` with ``x`` evaluated once, for formulas that use it many times.
-
-    Meant for frames with a row per account: the lambda stays outside generated code.
-    """
-    return F.get(F.transform(F.array(x), body), F.lit(0))
-
-
 def round2(x: Column) -> Column:
     """Two decimals, half to even on the scaled double.
 
     ``bround`` works on the decimal text of the value and differs on inputs such
     as 1.115, so the scaling is spelled out.
     """
-    return F.rint(x * F.lit(100.0)) / F.lit(100.0)
+    return F.rint(x * 100.0) / 100.0
 
 
-def round2_exact(x: Column) -> Column:
-    """Two decimals of the exact binary value, the rounding of scalar floats.
+def let_sql(x: str, body: str) -> str:
+    """``body`` in terms of ``v``, with ``x`` evaluated once and called ``v``.
 
-    ``round2`` sees a tie wherever the scaled double lands on a half. Here the error
-    of that product, taken by splitting x into two short halves, breaks such ties.
+    Meant for frames with a row per account: the lambda stays outside generated code.
     """
+    return f"get(transform(array({x}), v -> {body}), 0)"
 
-    def rounded(v: Column) -> Column:
-        scaled = v * F.lit(100.0)
-        widened = v * F.lit(134217729.0)
-        high = widened - (widened - v)
-        error = (high * F.lit(100.0) - scaled) + (v - high) * F.lit(100.0)
-        at_half = (scaled - F.floor(scaled)) == 0.5
-        return (
-            F.when(at_half & (error > 0), F.floor(scaled) + 1)
-            .when(at_half & (error < 0), F.floor(scaled))
-            .otherwise(F.rint(scaled))
-        ) / F.lit(100.0)
 
-    return let(x.cast("double"), rounded)
+def round2_exact_sql(x: str) -> str:
+    """Two decimals of the exact binary value, the rounding of scalar floats.
+
+    ``round2`` sees a tie wherever the scaled double lands on a half. Here the error
+    of that product, taken by splitting v into two short halves, breaks such ties.
+    """
+    scaled = "(v * 100D)"
+    high = "(v * 134217729D - (v * 134217729D - v))"
+    error = f"(({high} * 100D - {scaled}) + (v - {high}) * 100D)"
+    at_half = f"{scaled} - floor({scaled}) = 0.5D"
+    body = f"""CASE WHEN {at_half} AND {error} > 0 THEN (floor({scaled}) + 1) / 100D
+        WHEN {at_half} AND {error} < 0 THEN floor({scaled}) / 100D ELSE rint({scaled}) / 100D END"""
+    return let_sql(f"CAST({x} AS DOUBLE)", body)
 
 
 def like_rate(likes: Column, reach: Column) -> Column:
     """Likes per hundred people reached; null where nobody was reached."""
-    return round2(F.try_divide(likes, reach) * F.lit(100.0))
+    return round2(F.try_divide(likes, reach) * 100.0)
 
 
-def safe_ratio(top: Column, bottom: Column) -> Column:
+def safe_ratio_sql(top: str, bottom: str) -> str:
     """top / bottom, and 0 where the denominator is not positive."""
-    return F.when(bottom > 0, F.try_divide(top, bottom)).otherwise(F.lit(0.0))
+    return f"CASE WHEN {bottom} > 0 THEN try_divide({top}, {bottom}) ELSE 0D END"
 
 
-def mean_of(x: Column) -> Column:
+def mean_of(x: str) -> Column:
     """Mean of the non-null values of an integer column, null when there are none.
 
     Sum and count stay integers until the last step, so the result does not depend
     on the order in which partial sums meet.
     """
-    return F.try_divide(F.sum(x), F.count(x))
+    return F.expr(f"try_divide(sum({x}), count({x}))")
 
 
-def pct_diff(current: Column, previous: Column) -> Column:
+def pct_diff_sql(current: str, previous: str) -> str:
     """Percent change: null if a side is missing or the base is 0, 0 if equal."""
-    change = F.try_divide(current - previous, previous) * F.lit(100.0)
-    return (
-        F.when(current.isNull() | previous.isNull(), F.lit(None).cast("double"))
-        .when(current == previous, F.lit(0.0))
-        .when(previous == 0, F.lit(None).cast("double"))
-        .otherwise(round2_exact(change))
-    )
+    c, p = f"CAST({current} AS DOUBLE)", f"CAST({previous} AS DOUBLE)"
+    change = round2_exact_sql(f"try_divide({c} - {p}, {p}) * 100D")
+    return f"""CASE WHEN {c} IS NULL OR {p} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {c} = {p} THEN 0D
+        WHEN {p} = 0 THEN CAST(NULL AS DOUBLE) ELSE {change} END"""
 
 
 def to_number(x: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F, types as T
 
 from reachlens.fixed_values import BULLET, IDEA_FIELDS
-from reachlens.functions.numbers import let, round2_exact
+from reachlens.functions.numbers import let_sql, round2_exact_sql
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 _EDGE_SPACE = f"^{_SPACE}|{_SPACE}$"
@@ -46,7 +46,7 @@ def fill(template: str, **columns: Column) -> Column:
     parts = []
     for i, piece in enumerate(re.split(r"\{(\w+)\}", template)):
         if i % 2:
-            parts.append(columns[piece].cast("string"))
+            parts.append(columns[piece])
         elif piece:
             parts.append(F.lit(piece))
     return F.concat(*parts)
@@ -77,52 +77,47 @@ def title_label(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-# --- display formats -----------------------------------------------------------
+# --- display formats: SQL text in, SQL text out ------------------------------------
 
 
-def thousands(x: Column) -> Column:
+def thousands_sql(x: str) -> str:
     """1234567 -> 1,234,567."""
-    return F.format_string("%,d", x.cast("bigint"))
+    return f"format_string('%,d', CAST({x} AS BIGINT))"
 
 
-def two_decimals(x: Column, grouped: bool = True) -> Column:
+def two_decimals_sql(x: str, grouped: bool = True) -> str:
     """Two decimals of the exact value; the rounding is done before formatting."""
-    return F.format_string("%,.2f" if grouped else "%.2f", round2_exact(x))
+    return f"format_string('{'%,.2f' if grouped else '%.2f'}', {round2_exact_sql(x)})"
 
 
-def currency(x: Column) -> Column:
-    return F.concat(F.lit("$"), two_decimals(x))
+def currency_sql(x: str) -> str:
+    return f"concat('$', {two_decimals_sql(x)})"
 
 
-def signed_percent(x: Column) -> Column:
-    return F.format_string("%+.2f%%", x)
+def signed_percent_sql(x: str) -> str:
+    return f"format_string('%+.2f%%', {x})"
 
 
-def plain_number(x: Column) -> Column:
+def plain_number_sql(x: str) -> str:
     """Shortest text that reads back as the same double, with grouped thousands.
 
     Java may print one digit more than needed, so 15 and 16 digits are tried first.
+    Good for 0 and for sizes from 0.0001 up to 10^16, where no exponent is printed.
     """
-
-    def text(v: Column) -> Column:
-        shortest = F.format_string("%.16e", v)
-        for digits in (15, 14):
-            shorter = F.format_string(f"%.{digits}e", v)
-            shortest = F.when(shorter.cast("double") == v, shorter).otherwise(shortest)
-        return let(shortest.cast("decimal(38,20)").cast("string"), grouped)
-
-    def grouped(exact: Column) -> Column:
-        fraction = F.regexp_replace(F.regexp_extract(exact, r"\.(\d+)$", 1), "0+$", "")
-        whole = F.format_string("%,d", F.regexp_extract(exact, r"^-?(\d+)", 1).cast("bigint"))
-        sign = F.regexp_extract(exact, "^-", 0)
-        return F.concat(sign, whole, F.lit("."), F.when(fraction == "", F.lit("0")).otherwise(fraction))
-
-    return F.when(x == 0, F.lit("0.0")).otherwise(let(x.cast("double"), text))
-
-
-def sign_class(diff: Column) -> Column:
+    shortest = "format_string('%.16e', v)"
+    for digits in (15, 14):
+        shorter = f"format_string('%.{digits}e', v)"
+        shortest = f"CASE WHEN CAST({shorter} AS DOUBLE) = v THEN {shorter} ELSE {shortest} END"
+    digits = let_sql(f"CAST({x} AS DOUBLE)", f"CAST(CAST({shortest} AS DECIMAL(38, 20)) AS STRING)")
+    fraction = "regexp_replace(split_part(v, '.', 2), '0+$', '')"
+    whole = "format_string('%,d', CAST(split_part(ltrim('-', v), '.', 1) AS BIGINT))"
+    grouped = f"concat(regexp_extract(v, '^-', 0), {whole}, '.', CASE WHEN {fraction} = '' THEN '0' ELSE {fraction} END)"
+    return f"CASE WHEN {x} = 0 THEN '0.0' ELSE {let_sql(digits, grouped)} END"
+
+
+def sign_class_sql(diff: str) -> str:
     """Style of a change figure: positive above 0, else negative, null if absent."""
-    return F.when(diff > 0, F.lit("positive")).when(diff.isNotNull(), F.lit("negative"))
+    return f"CASE WHEN {diff} > 0 THEN 'positive' WHEN {diff} IS NOT NULL THEN 'negative' END"
 
 
 # --- JSON replies --------------------------------------------------------------
@@ -134,21 +129,14 @@ def json_object_text(reply: Column) -> Column:
     return F.when(found != "", found).otherwise(strip_space(reply))
 
 
-_CORRUPT = "_unreadable"
-_REPLY_TYPE = T.StructType(
-    [T.StructField(name, T.StringType()) for name in IDEA_FIELDS]
-    + [T.StructField(_CORRUPT, T.StringType())]
-)
-
+_UNREADABLE = "_unreadable"
+_REPLY_TYPE = T.StructType([
+    T.StructField(name, T.StringType()) for name in (*IDEA_FIELDS, _UNREADABLE)
+])
 
-def parse_idea(reply: Column) -> Column:
-    """The five idea fields of a reply as a struct, null if it is not a JSON object.
 
-    Array values keep their JSON text, the form they are stored in.
-    """
-    parsed = F.from_json(
-        json_object_text(reply), _REPLY_TYPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    )
-    readable = parsed.getField(_CORRUPT).isNull() & F.startswith(json_object_text(reply), F.lit("{"))
-    fields = F.struct(*[parsed.getField(name).alias(name) for name in IDEA_FIELDS])
-    return F.when(readable, fields)
+def parsed_idea(reply: Column) -> Column:
+    """The idea fields of a reply as a struct, with the text itself in a last field
+    if it is not a JSON object. Array values keep their JSON text, as stored."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _UNREADABLE}
+    return F.from_json(json_object_text(reply), _REPLY_TYPE, options)

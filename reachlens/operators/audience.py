@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reachlens.fixed_values import CLICKS_PER_FOLLOW
 from reachlens.functions.numbers import money
-from reachlens.functions.text import contains_ignoring_case, currency, plain_number, thousands
+from reachlens.functions.text import contains_ignoring_case, currency_sql, plain_number_sql, thousands_sql
 from reachlens.operators.common import left_join_unique
 
 
@@ -58,9 +58,9 @@ def ad_totals(ads: DataFrame, name_contains: str = "Post", by: Sequence[str] = (
 
 def ad_scorecards(totals: DataFrame, by: Sequence[str] = ("page_id",)) -> DataFrame:
     """Ad totals as display text."""
-    return totals.select(
-        *by, F.concat(F.lit("$"), plain_number(F.col("spend"))).alias("ad_spend"),
-        thousands(F.col("reach")).alias("reach"),
-        plain_number(F.col("boosted_follows")).alias("boosted_follows"),
-        currency(F.col("cost_per_follow")).alias("cost_per_follow"),
+    return totals.selectExpr(
+        *by, f"concat('$', {plain_number_sql('spend')}) AS ad_spend",
+        f"{thousands_sql('reach')} AS reach",
+        f"{plain_number_sql('boosted_follows')} AS boosted_follows",
+        f"{currency_sql('cost_per_follow')} AS cost_per_follow",
     )

@@ -27,25 +27,37 @@ def with_like_rate(posts: DataFrame) -> DataFrame:
 
 def with_timing(posts: DataFrame) -> DataFrame:
     """Time bucket and weekday from the full posting time."""
-    moment = F.col("created_time")
-    return posts.withColumns({"time_bucket": time_bucket(moment), "weekday": weekday_name(moment)})
+    return posts.withColumns({
+        "time_bucket": time_bucket("created_time"), "weekday": weekday_name(F.col("created_time")),
+    })
+
 
+def current_analysis(analysis: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One analysis per video, the newest, with all or only the named columns.
 
-def current_analysis(analysis: DataFrame) -> DataFrame:
-    """One analysis per video, the newest."""
+    Equally new ones are told apart by a digest of the columns asked for, so that a
+    few narrow columns can be had without reading the long texts.
+    """
+    if columns is not None:
+        analysis = analysis.select(*dict.fromkeys(["video_id", "created_time", *columns]))
     order = [F.col("created_time").desc_nulls_last(), row_digest(analysis)]
     return first_rows(analysis.filter(F.col("video_id").isNotNull()), ["video_id"], order)
 
 
-def join_analysis(posts: DataFrame, analysis: DataFrame, repeats: str = "newest") -> DataFrame:
-    """Posts LEFT JOIN analysis on post_id = video_id.
+def join_analysis(
+    posts: DataFrame, analysis: DataFrame, columns: Sequence[str] | None = None, repeats: str = "newest"
+) -> DataFrame:
+    """Posts LEFT JOIN analysis on post_id = video_id, with all or the named columns.
 
     ``repeats="newest"`` keeps one row per post; ``"all"`` lets every repeated
-    analysis of a video give its own row.
+    analysis of a video give its own row. Columns both sides have come from the post.
     """
     if repeats not in ("newest", "all"):
         raise ValueError("repeats must be 'newest' or 'all'")
-    side = current_analysis(analysis) if repeats == "newest" else analysis
+    if repeats == "newest":
+        side = current_analysis(analysis, columns)
+    else:
+        side = analysis if columns is None else analysis.select("video_id", *columns)
     dropped = set(posts.columns) | set(_POST_SIDE)
     side = side.select(
         F.col("video_id").alias("_video"), *[c for c in side.columns if c not in dropped]
@@ -99,7 +111,7 @@ def mean_by(
     ``complete_rows`` first drops every row that has any null.
     """
     rows = posts.na.drop("any") if complete_rows else posts.filter(F.col(key).isNotNull())
-    return rows.groupBy(*by, key).agg(*[mean_of(F.col(m)).alias(f"mean_{m}") for m in metrics])
+    return rows.groupBy(*by, key).agg(*[mean_of(m).alias(f"mean_{m}") for m in metrics])
 
 
 def mean_by_attribute(
@@ -114,7 +126,7 @@ def mean_by_attribute(
     """
     sums = [F.sum(m).alias(f"_s_{m}") for m in metrics] + [F.count(m).alias(f"_n_{m}") for m in metrics]
     per_post = posts.filter(F.col("post_id").isNotNull()).groupBy(*by, "post_id").agg(*sums)
-    side = current_analysis(analysis).filter(F.col(key).isNotNull())
+    side = current_analysis(analysis, [key]).filter(F.col(key).isNotNull())
     side = side.select(F.col("video_id").alias("_video"), F.col(key))
     joined = per_post.join(side, F.col("post_id") == F.col("_video"))
     return joined.groupBy(*by, key).agg(*[
@@ -134,27 +146,24 @@ def video_structure_means(posts: DataFrame, video_metric: str, by: Sequence[str]
     return mean_by(posts, video_metric, by=by, complete_rows=complete_rows)
 
 
-def category_spine(df: DataFrame, dimension: str, by: Sequence[str]) -> DataFrame:
-    """Every label of an ordered category, with its position, for each group of ``by``."""
-    labels = CATEGORY_LABELS[dimension]
-    spread = F.posexplode(F.array(*[F.lit(label) for label in labels])).alias("position", dimension)
-    if by:
-        return df.select(*by).distinct().select(*by, spread)
-    return df.sparkSession.range(1).select(spread)
-
-
 def timing_means(posts: DataFrame, dimension: str, metric: str = "reach", by: Sequence[str] = ()) -> DataFrame:
     """Mean metric for every time bucket or weekday, in category order.
 
-    Labels without posts are kept with a null mean; unknown labels are left out.
+    Labels without posts are kept with a null mean; unknown labels are left out. After
+    the means are taken each group has at most one row per label, so they fit in a map
+    that the full label list is then looked up in; no second scan or join is needed.
     """
-    choice(dimension, TIMING_DIMENSIONS)
+    label = choice(dimension, TIMING_DIMENSIONS)
     choice(metric, ENGAGEMENT_METRICS)
-    means = mean_by(posts, dimension, [metric], by)
-    # The labels of one account are few and fixed; with no account key the spine is
-    # the fixed label list itself and safe to broadcast the means against.
-    spine = category_spine(means if by else posts, dimension, by)
-    return spine.join(means, [*by, dimension], "left").orderBy(*by, "position")
+    labels = CATEGORY_LABELS[dimension]
+    known = posts.withColumn(dimension, F.when(label.isin(*labels), label))
+    means = known.groupBy(*by, dimension).agg(mean_of(metric).alias("_mean"))
+    entry = F.when(F.col(dimension).isNotNull(), F.struct(dimension, "_mean"))
+    maps = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_means"))
+    spread = F.posexplode(F.array(*[F.lit(text) for text in labels])).alias("position", dimension)
+    dense = maps.select(*by, "_means", spread)
+    mean = F.try_element_at("_means", F.col(dimension))
+    return dense.select(*by, "position", dimension, mean.alias(f"mean_{metric}")).orderBy(*by, "position")
 
 
 # --- point sets -----------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachlens import fixed_values as fv
 from reachlens.functions.dates import AsOf, as_date, days_after, iso_date
-from reachlens.functions.text import bullet_at, fill, is_filled, join_list, list_to_json, parse_idea, split_list
+from reachlens.functions.text import bullet_at, fill, is_filled, join_list, list_to_json, parsed_idea, split_list
 from reachlens.operators.common import first_rows, left_join_unique, row_digest
 
 # --- lookups -------------------------------------------------------------------------
@@ -163,9 +163,14 @@ def tweak_prompts(ideas: DataFrame, tweaks: DataFrame) -> DataFrame:
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
-    """The idea in each reply; replies without a readable JSON object give no row."""
-    idea = replies.withColumn("_idea", parse_idea(F.col("reply"))).filter(F.col("_idea").isNotNull())
-    return idea.select(*[c for c in replies.columns if c != "reply"], "_idea.*")
+    """The idea in each reply; replies without a readable JSON object give no row.
+
+    ``inline`` parses a reply once, whatever is then asked of its fields.
+    """
+    others = [c for c in replies.columns if c != "reply"]
+    candidates = replies.filter(F.contains("reply", F.lit("{")))
+    fields = candidates.select(*others, F.inline(F.array(parsed_idea(F.col("reply")))))
+    return fields.filter("_unreadable IS NULL").drop("_unreadable")
 
 
 def reply_ideas(replies: DataFrame, slots: DataFrame, source: str = fv.GENERATED_SOURCE) -> DataFrame:

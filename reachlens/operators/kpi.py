@@ -2,51 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import datetime as dt
+
+from pyspark.sql import DataFrame, functions as F
 
 from reachlens.fixed_values import KPI_FRAME_DAYS, KPI_LABELS, KPI_RATIOS, NO_DIFFERENCE
-from reachlens.functions.dates import AsOf, as_date, as_time, days_before, time_before
-from reachlens.functions.numbers import mean_of, pct_diff, safe_ratio
-from reachlens.functions.text import plain_number, sign_class, signed_percent, thousands, two_decimals
+from reachlens.functions.dates import AsOf, day_sql, moment_sql, to_day, to_moment
+from reachlens.functions.numbers import pct_diff_sql, safe_ratio_sql
+from reachlens.functions.text import (
+    plain_number_sql, sign_class_sql, signed_percent_sql, thousands_sql, two_decimals_sql,
+)
 from reachlens.operators.common import one_per_day
 
 METRICS = tuple(name for name, _ in KPI_LABELS)
+SIDES = ("cur", "prev")
 
 
-def _windows(as_of: AsOf, n: int, mode: str) -> dict[str, tuple[Column, Column]]:
+def _windows(as_of: AsOf, n: int, mode: str) -> tuple[list[str], list[str]]:
     """Predicates (current, previous) for post times and for account days.
 
     ``reference`` windows are closed on both ends. The previous one stops a day before
     the current one starts, so it is shorter and the posts of the day between count in
     neither. ``balanced`` windows are half open and equally long.
     """
-    moment, day = F.col("created_time"), F.col("date")
+    frame, one_day = dt.timedelta(n), dt.timedelta(1)
+    now, today = to_moment(as_of), to_day(as_of)
     if mode == "reference":
-        return {
-            "posts": (
-                moment.between(time_before(as_of, n), as_time(as_of)),
-                moment.between(time_before(as_of, 2 * n), time_before(as_of, n + 1)),
-            ),
-            "account": (
-                day.between(days_before(as_of, n), as_date(as_of)),
-                day.between(days_before(as_of, 2 * n), days_before(as_of, n + 1)),
-            ),
-        }
-    if mode == "balanced":
-        def half_open(x, start, end):
-            return (x > start) & (x <= end)
-
-        return {
-            "posts": (
-                half_open(moment, time_before(as_of, n), as_time(as_of)),
-                half_open(moment, time_before(as_of, 2 * n), time_before(as_of, n)),
-            ),
-            "account": (
-                half_open(day, days_before(as_of, n), as_date(as_of)),
-                half_open(day, days_before(as_of, 2 * n), days_before(as_of, n)),
-            ),
-        }
-    raise ValueError("mode must be 'reference' or 'balanced'")
+        posts = [(now - frame, now), (now - 2 * frame, now - frame - one_day)]
+        account = [(today - frame, today), (today - 2 * frame, today - frame - one_day)]
+        low = ">="
+    elif mode == "balanced":
+        posts = [(now - frame, now), (now - 2 * frame, now - frame)]
+        account = [(today - frame, today), (today - 2 * frame, today - frame)]
+        low = ">"
+    else:
+        raise ValueError("mode must be 'reference' or 'balanced'")
+
+    def inside(column, literal, bounds):
+        return [f"({column} {low} {literal(a)} AND {column} <= {literal(b)})" for a, b in bounds]
+
+    return inside("created_time", moment_sql, posts), inside("date", day_sql, account)
 
 
 def period_kpis(
@@ -58,126 +53,111 @@ def period_kpis(
     One conditional aggregation per table; both meet on page_id after they have
     shrunk to a row per account. Accounts with rows in neither window are not listed.
     """
-    windows = _windows(as_of, frame_days, mode)
-    sides = ("cur", "prev")
-
-    def total(inside: Column, column: str) -> Column:
-        return F.coalesce(F.sum(F.when(inside, F.col(column))), F.lit(0))
-
-    post_aggs, account_aggs = [], []
-    for side, in_posts, in_account in zip(sides, windows["posts"], windows["account"]):
-        post_aggs += [
-            F.count_if(in_posts).alias(f"{side}_total_posts"),
-            total(in_posts, "reach").alias(f"{side}_total_reach"),
-            total(in_posts, "like_count").alias(f"{side}_total_likes"),
-            total(in_posts, "comments_count").alias(f"{side}_total_comments"),
-        ]
-        account_aggs.append(total(in_account, "follower_count").alias(f"{side}_followers_gained"))
+    in_posts, in_account = _windows(as_of, frame_days, mode)
+    totals = []
+    for side, inside in zip(SIDES, in_posts):
+        totals.append(f"count_if({inside}) AS {side}_total_posts")
+        for name, column in (("reach", "reach"), ("likes", "like_count"), ("comments", "comments_count")):
+            totals.append(f"coalesce(sum({column}) FILTER (WHERE {inside}), 0) AS {side}_total_{name}")
+    gains = [
+        f"coalesce(sum(follower_count) FILTER (WHERE {inside}), 0) AS {side}_followers_gained"
+        for side, inside in zip(SIDES, in_account)
+    ]
+    per_page = _grouped(posts.filter(" OR ".join(in_posts)), totals)
+    gained = _grouped(account_daily.filter(" OR ".join(in_account)).dropDuplicates(), gains)
+    both = per_page.join(gained, "page_id", "full").na.fill(0)
+    return both.selectExpr("page_id", *[
+        f"{_value(side, name)} AS {side}_{name}" for side in SIDES for name in METRICS
+    ])
 
-    in_any_post, in_any_day = (w[0] | w[1] for w in (windows["posts"], windows["account"]))
-    per_page = posts.filter(in_any_post).groupBy("page_id").agg(*post_aggs)
-    gained = account_daily.filter(in_any_day).dropDuplicates().groupBy("page_id").agg(*account_aggs)
-    totals = per_page.join(gained, "page_id", "full").na.fill(0)
-    columns = []
-    for side in sides:
-        for name in METRICS:
-            if name in KPI_RATIOS:
-                top, bottom = KPI_RATIOS[name]
-                value = safe_ratio(F.col(f"{side}_{top}"), F.col(f"{side}_{bottom}"))
-            else:
-                value = F.col(f"{side}_{name}")
-            columns.append(value.alias(f"{side}_{name}"))
-    return totals.select("page_id", *columns)
+
+def _grouped(rows: DataFrame, figures: list[str]) -> DataFrame:
+    return rows.groupBy("page_id").agg(*[F.expr(figure) for figure in figures])
+
+
+def _value(side: str, name: str) -> str:
+    if name not in KPI_RATIOS:
+        return f"{side}_{name}"
+    top, bottom = KPI_RATIOS[name]
+    return safe_ratio_sql(f"{side}_{top}", f"{side}_{bottom}")
 
 
 def with_differences(kpis: DataFrame) -> DataFrame:
     """Percent change of every metric as ``diff_*``."""
-    return kpis.withColumns({
-        f"diff_{name}": pct_diff(F.col(f"cur_{name}").cast("double"), F.col(f"prev_{name}").cast("double"))
-        for name in METRICS
-    })
+    return kpis.selectExpr("*", *[
+        f"{pct_diff_sql(f'cur_{name}', f'prev_{name}')} AS diff_{name}" for name in METRICS
+    ])
 
 
-def _value_text(name: str) -> Column:
-    value = F.col(f"cur_{name}")
+def _value_text(name: str) -> str:
     if name not in KPI_RATIOS:
-        return thousands(value)
-    base = F.col(f"cur_{KPI_RATIOS[name][1]}")
-    return F.when(base > 0, plain_number(value)).otherwise(F.lit("0"))
+        return thousands_sql(f"cur_{name}")
+    return f"CASE WHEN cur_{KPI_RATIOS[name][1]} > 0 THEN {plain_number_sql(f'cur_{name}')} ELSE '0' END"
 
 
 def static_summary(kpis_with_differences: DataFrame) -> DataFrame:
     """One text per account: a line for each metric with its change."""
     lines = [
-        F.concat(
-            F.lit(f"{label}: "), _value_text(name), F.lit(" ("),
-            F.coalesce(signed_percent(F.col(f"diff_{name}")), F.lit(NO_DIFFERENCE)),
-            F.lit(" from the previous period)"),
-        )
+        f"concat('{label}: ', {_value_text(name)}, ' (', "
+        f"coalesce({signed_percent_sql(f'diff_{name}')}, '{NO_DIFFERENCE}'), ' from the previous period)')"
         for name, label in KPI_LABELS
     ]
-    return kpis_with_differences.select("page_id", F.concat_ws("\n", *lines).alias("summary"))
+    return kpis_with_differences.selectExpr("page_id", f"concat_ws('\\n', {', '.join(lines)}) AS summary")
 
 
 def change_rows(kpis_with_differences: DataFrame) -> DataFrame:
     """Long form: one row per account and metric with its change and change style."""
-    entries = [
-        F.struct(
-            F.lit(label).alias("metric"),
-            F.col(f"cur_{name}").cast("double").alias("current"),
-            F.col(f"prev_{name}").cast("double").alias("previous"),
-            F.col(f"diff_{name}").alias("difference"),
-        )
+    entries = ", ".join(
+        f"'{label}', CAST(cur_{name} AS DOUBLE), CAST(prev_{name} AS DOUBLE), diff_{name}"
         for name, label in KPI_LABELS
-    ]
-    rows = kpis_with_differences.select("page_id", F.inline(F.array(*entries)))
-    return rows.withColumn("style", sign_class(F.col("difference")))
+    )
+    stacked = f"stack({len(KPI_LABELS)}, {entries}) AS (metric, current, previous, difference)"
+    rows = kpis_with_differences.selectExpr("page_id", stacked)
+    return rows.selectExpr("*", f"{sign_class_sql('difference')} AS style")
+
+
+_CARDS = (
+    ("new_follows", "followers_gained", thousands_sql),
+    ("posts", "total_posts", thousands_sql),
+    ("avg_reach", "average_reach", two_decimals_sql),
+    ("avg_likes", "average_likes", two_decimals_sql),
+)
 
 
 def period_scorecards(kpis_with_differences: DataFrame) -> DataFrame:
     """The four weekly cards as display text, with change text and style."""
-    cards = (
-        ("new_follows", "followers_gained", 0), ("posts", "total_posts", 0),
-        ("avg_reach", "average_reach", 2), ("avg_likes", "average_likes", 2),
-    )
     columns = []
-    for card, name, decimals in cards:
-        value, diff = F.col(f"cur_{name}"), F.col(f"diff_{name}")
-        text = two_decimals(value) if decimals else thousands(value)
+    for card, name, shown in _CARDS:
+        diff = f"diff_{name}"
         columns += [
-            text.alias(card), signed_percent(diff).alias(f"{card}_change"),
-            sign_class(diff).alias(f"{card}_style"),
+            f"{shown(f'cur_{name}')} AS {card}", f"{signed_percent_sql(diff)} AS {card}_change",
+            f"{sign_class_sql(diff)} AS {card}_style",
         ]
-    return kpis_with_differences.select("page_id", *columns)
+    return kpis_with_differences.selectExpr("page_id", *columns)
 
 
 def alltime_kpis(posts: DataFrame, account_daily: DataFrame) -> DataFrame:
-    """Followers on the newest account day, number of posts, mean reach and likes."""
-    followers = one_per_day(account_daily, "total_followers").groupBy("page_id").agg(
-        F.max_by("total_followers", "date").alias("total_followers")
-    )
-    per_page = posts.groupBy("page_id").agg(
-        F.count(F.lit(1)).alias("total_posts"),
-        mean_of(F.col("reach")).alias("avg_reach"),
-        mean_of(F.col("like_count")).alias("avg_likes"),
-    )
-    joined = per_page.withColumn("_posted", F.lit(True)).join(
-        followers.withColumn("_tracked", F.lit(True)), "page_id", "full"
-    )
-    def or_zero(name: str, present: str) -> Column:
-        return F.when(F.col(present), F.col(name)).otherwise(F.lit(0)).alias(name)
+    """Followers on the newest account day, number of posts, mean reach and likes.
 
-    return joined.select(
-        "page_id", or_zero("total_followers", "_tracked"), or_zero("total_posts", "_posted"),
-        or_zero("avg_reach", "_posted"), or_zero("avg_likes", "_posted"),
+    An account without posts, or without account days, shows 0 for those figures.
+    """
+    followers = _grouped(one_per_day(account_daily, "total_followers"), [
+        "max_by(total_followers, date) AS total_followers", "true AS _tracked",
+    ])
+    per_page = _grouped(posts, [
+        "count(*) AS total_posts", "try_divide(sum(reach), count(reach)) AS avg_reach",
+        "try_divide(sum(like_count), count(like_count)) AS avg_likes", "true AS _posted",
+    ])
+    return per_page.join(followers, "page_id", "full").selectExpr(
+        "page_id", "CASE WHEN _tracked THEN total_followers ELSE 0 END AS total_followers",
+        "coalesce(total_posts, 0) AS total_posts", "CASE WHEN _posted THEN avg_reach ELSE 0D END AS avg_reach",
+        "CASE WHEN _posted THEN avg_likes ELSE 0D END AS avg_likes",
     )
 
 
 def alltime_scorecards(kpis: DataFrame) -> DataFrame:
     """The four all-time cards as display text."""
-    return kpis.select(
-        "page_id", thousands(F.col("total_followers")).alias("followers"),
-        thousands(F.col("total_posts")).alias("posts"),
-        two_decimals(F.col("avg_reach")).alias("avg_reach"),
-        two_decimals(F.col("avg_likes"), grouped=False).alias("avg_likes"),
+    return kpis.selectExpr(
+        "page_id", f"{thousands_sql('total_followers')} AS followers", f"{thousands_sql('total_posts')} AS posts",
+        f"{two_decimals_sql('avg_reach')} AS avg_reach", f"{two_decimals_sql('avg_likes', False)} AS avg_likes",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 _TYPES = {
     "long": T.LongType(),
@@ -116,4 +116,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ]
     if lossy:
         raise SchemaError("; ".join(lossy))
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return df.selectExpr(*[
+        f.name if have[f.name] == f.dataType.simpleString()
+        else f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}"
+        for f in schema
+    ])
