@@ -80,14 +80,19 @@ def title_label(name: Column) -> Column:
 # --- display formats: SQL text in, SQL text out ------------------------------------
 
 
+def _format_sql(pattern: str, x: str) -> str:
+    """``format_string`` that stays null for null, which Java would print as text."""
+    return f"CASE WHEN {x} IS NOT NULL THEN format_string('{pattern}', {x}) END"
+
+
 def thousands_sql(x: str) -> str:
     """1234567 -> 1,234,567."""
-    return f"format_string('%,d', CAST({x} AS BIGINT))"
+    return _format_sql("%,d", f"CAST({x} AS BIGINT)")
 
 
 def two_decimals_sql(x: str, grouped: bool = True) -> str:
     """Two decimals of the exact value; the rounding is done before formatting."""
-    return f"format_string('{'%,.2f' if grouped else '%.2f'}', {round2_exact_sql(x)})"
+    return let_sql(round2_exact_sql(x), _format_sql("%,.2f" if grouped else "%.2f", "v"))
 
 
 def currency_sql(x: str) -> str:
@@ -95,7 +100,7 @@ def currency_sql(x: str) -> str:
 
 
 def signed_percent_sql(x: str) -> str:
-    return f"format_string('%+.2f%%', {x})"
+    return _format_sql("%+.2f%%", x)
 
 
 def plain_number_sql(x: str) -> str:
@@ -112,7 +117,7 @@ def plain_number_sql(x: str) -> str:
     fraction = "regexp_replace(split_part(v, '.', 2), '0+$', '')"
     whole = "format_string('%,d', CAST(split_part(ltrim('-', v), '.', 1) AS BIGINT))"
     grouped = f"concat(regexp_extract(v, '^-', 0), {whole}, '.', CASE WHEN {fraction} = '' THEN '0' ELSE {fraction} END)"
-    return f"CASE WHEN {x} = 0 THEN '0.0' ELSE {let_sql(digits, grouped)} END"
+    return f"CASE WHEN {x} = 0 THEN '0.0' WHEN {x} IS NOT NULL THEN {let_sql(digits, grouped)} END"
 
 
 def sign_class_sql(diff: str) -> str:

@@ -216,7 +216,7 @@ def without_captions(ideas: DataFrame, deleted: DataFrame, scope: str = "page")
     task of a caption that very many ideas share.
     """
     keys = list(_scope(scope))
-    return ideas.join(deleted.select(*keys), keys, "left_anti")
+    return ideas.join(deleted.select(*keys), keys, "left_anti").select(*ideas.columns)
 
 
 def list_text(value: Column, is_list: bool) -> Column:
