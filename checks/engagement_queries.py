@@ -197,12 +197,14 @@ def engagement_points(spark, d):
     return engagement.engagement_points(joined(spark, d, "caption_length"), "caption_length")
 
 
-@check("sentiment_points", _JOINED + """
-SELECT post_id, polarity, like_count, subjectivity, reach FROM joined""")
-def sentiment_points(spark, d):
-    rows = joined(spark, d, "polarity", "subjectivity")
-    polarity = engagement.engagement_points(rows, "polarity", "like_count")
-    return polarity.join(engagement.engagement_points(rows, "subjectivity", "reach"), "post_id")
+@check("polarity_points", _JOINED + "SELECT post_id, polarity, like_count FROM joined")
+def polarity_points(spark, d):
+    return engagement.engagement_points(joined(spark, d, "polarity"), "polarity", "like_count")
+
+
+@check("subjectivity_points", _JOINED + "SELECT post_id, subjectivity, reach FROM joined")
+def subjectivity_points(spark, d):
+    return engagement.engagement_points(joined(spark, d, "subjectivity"), "subjectivity")
 
 
 @check("word_points", _JOINED + "SELECT post_id, common_word_count, most_common_word, reach, theme_repetition FROM joined")

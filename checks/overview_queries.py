@@ -8,6 +8,7 @@ from checks import standins as t
 from checks.sql import STYLE, change, exact2, fixed2, grouped, plain, signed
 from reachlens.fixed_values import KPI_LABELS, KPI_RATIOS
 from reachlens.functions.dates import iso_date, month_start, parse_time, yesterday_in_zone
+from reachlens.functions.numbers import to_number
 from reachlens.operators import audience, cards, engagement, kpi, series
 from reachlens.sources.tables import registered_pages, run_query, snapshot
 
@@ -230,6 +231,25 @@ def calendar_events(spark, d):
     return cards.calendar_events(t.posts(spark, d))
 
 
+@check("headed_series", t.with_sql("account") + """SELECT page_id, date, total_followers AS "Total Followers",
+follower_count AS "Followers Gained", reach AS "Reach", impressions AS "Impressions" FROM account""")
+def headed_series(spark, d):
+    return series.with_headings(t.account_daily(spark, d))
+
+
+@check("post_days", t.with_sql("posts") + "SELECT DISTINCT page_id, CAST(created_time AS DATE) AS date FROM posts")
+def post_days(spark, d):
+    return series.post_days(t.posts(spark, d))
+
+
+@check("numeric_coercion", """SELECT o_orderkey, TRY_CAST(
+CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderpriority END AS DOUBLE) AS number FROM orders""")
+def numeric_coercion(spark, d):
+    rows = t.table(spark, d, "orders").selectExpr(
+        "o_orderkey", "CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS STRING) ELSE o_orderpriority END AS text")
+    return rows.select("o_orderkey", to_number(F.col("text")).alias("number"))
+
+
 # --- audience --------------------------------------------------------------------
 
 

@@ -42,6 +42,14 @@ CAPTION_LABEL_CHARS = 50
 EVENT_TITLE_CHARS = 10
 TENANT_ZONE = "America/Los_Angeles"
 
+# --- Fixed values: headings of the account series --------------------------------
+SERIES_HEADINGS = {
+    "total_followers": "Total Followers",
+    "follower_count": "Followers Gained",
+    "reach": "Reach",
+    "impressions": "Impressions",
+}
+
 # --- Fixed values: run-time choices the pages offer -----------------------------
 ENGAGEMENT_METRICS = ("reach", "like_count")
 TIMING_DIMENSIONS = ("time_bucket", "weekday")

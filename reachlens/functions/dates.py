@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, functions as F
 
@@ -27,6 +28,11 @@ def to_day(as_of: AsOf) -> dt.date:
     return to_moment(as_of).date()
 
 
+def local_day(utc_moment: AsOf, zone: str = TENANT_ZONE) -> dt.date:
+    """The day it is in ``zone`` at a UTC moment, for use as ``as_of``."""
+    return to_moment(utc_moment).replace(tzinfo=dt.timezone.utc).astimezone(ZoneInfo(zone)).date()
+
+
 def day_sql(day: dt.date) -> str:
     return f"DATE '{day.isoformat()}'"
 

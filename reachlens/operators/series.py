@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reachlens.fixed_values import DAILY_COUNT_DAYS
+from reachlens.fixed_values import DAILY_COUNT_DAYS, SERIES_HEADINGS
 from reachlens.functions.dates import AsOf, days_before
 from reachlens.operators.common import one_per_day
 
-SERIES_METRICS = ("total_followers", "follower_count", "reach", "impressions")
+SERIES_METRICS = tuple(SERIES_HEADINGS)
 
 
 def posts_per_day(posts: DataFrame) -> DataFrame:
@@ -65,6 +65,11 @@ def series_extent(series: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def with_headings(series: DataFrame) -> DataFrame:
+    """Metric columns under the names they are shown by."""
+    return series.withColumnsRenamed(SERIES_HEADINGS)
+
+
 def post_days(posts: DataFrame) -> DataFrame:
     """Days on which an account posted."""
     return posts.select("page_id", F.to_date("created_time").alias("date")).distinct()

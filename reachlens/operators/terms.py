@@ -19,7 +19,10 @@ def term_counts(
 
     Every map task counts before the shuffle, so frequent terms travel once per task.
     """
-    words = posts.na.fill("", list(texts)).select(*by, F.explode(terms(*map(F.col, texts))).alias("term"))
+    # The outer form: for the inner one Spark adds a filter on the list being non-empty
+    # and would run the pattern a second time to evaluate it.
+    found = F.explode_outer(terms(*[F.coalesce(F.col(c), F.lit("")) for c in texts])).alias("term")
+    words = posts.select(*by, found).filter("term IS NOT NULL")
     kept = words.filter(~F.col("term").isin(list(stop_words))) if stop_words else words
     return kept.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("occurrences"))
 

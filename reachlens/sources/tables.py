@@ -35,5 +35,6 @@ def snapshot(df: DataFrame, as_of: AsOf, days_back: int = 1) -> DataFrame:
 
     ``insert_date`` is the partition column of the stored table: as a date it prunes
     directories, as a timestamp the comparison is turned into a pushed-down range.
+    Where yesterday is meant in an account's own zone, pass ``dates.local_day(...)``.
     """
     return df.filter(F.to_date("insert_date") == days_before(as_of, days_back))

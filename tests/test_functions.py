@@ -100,6 +100,12 @@ def test_yesterday_in_zone_follows_summer_time(values):
     assert got == [dt.date(2023, 12, 31), dt.date(2024, 1, 1), dt.date(2024, 6, 30), dt.date(2024, 7, 1)]
 
 
+def test_local_day():
+    assert dates.local_day("2024-01-02 07:59:00") == dt.date(2024, 1, 1)
+    assert dates.local_day("2024-07-02 07:00:00") == dt.date(2024, 7, 2)
+    assert dates.local_day("2024-01-02 20:00:00", "Asia/Tokyo") == dt.date(2024, 1, 3)
+
+
 def test_as_of_forms(spark):
     day = dt.date(2024, 3, 15)
     assert dates.to_day("2024-03-15 10:30:00") == dates.to_day(day) == dates.to_day(dt.datetime(2024, 3, 15, 23)) == day
