@@ -346,17 +346,18 @@ def file_names(spark, d):
 
 @check("clip_append", _LISTING + """SELECT file_no, page_id, context AS inspiration_context, DATE '2024-01-31' AS uploaded_date,
 CAST(36 AS INTEGER) AS id_length, split_part(name, '.', -1) AS ext FROM (
-SELECT file_no, file_no % 7 AS page_id, CASE WHEN file_no % 4 = 0 THEN ' ' ELSE url END AS context, name, mime FROM listing)
-WHERE mime LIKE 'video/%' AND trim(context) <> ''""")
+SELECT file_no, CAST(length(url) AS BIGINT) AS page_id, CASE WHEN contains(url, '//m.') THEN ' ' ELSE url || ' ' || CAST(file_no AS VARCHAR) END AS context,
+name, mime FROM listing) WHERE mime LIKE 'video/%' AND trim(context) <> ''""")
 def clip_append(spark, d):
-    uploads = t.listing(spark, d).select(
-        (F.col("file_no") % 7).alias("page_id"), "name", "mime",
-        F.when(F.col("file_no") % 4 == 0, F.lit(" ")).otherwise(F.col("url")).alias("inspiration_context"),
+    """Uploads without a reason (mobile links) and images are refused, the rest stored."""
+    uploads = t.listing(spark, d).selectExpr(
+        "CAST(length(url) AS BIGINT) AS page_id", "name", "mime",
+        "CASE WHEN contains(url, '//m.') THEN ' ' ELSE concat(url, ' ', file_no) END AS inspiration_context",
     )
-    stored = media.stored_names(sinks.append_clips(media.clip_rows(uploads, t.AS_OF), new_path(spark, "clips-table")))
-    by_url = t.listing(spark, d).select("file_no", F.col("url").alias("inspiration_context"), "name")
-    return by_url.join(stored, ["inspiration_context", "name"]).select(
-        "file_no", "page_id", "inspiration_context", "uploaded_date", F.length("video_id").alias("id_length"),
+    stored = sinks.append_clips(media.clip_rows(uploads, t.AS_OF), new_path(spark, "clips-table"))
+    return media.stored_names(stored).select(
+        F.substring_index("inspiration_context", " ", -1).cast("bigint").alias("file_no"), "page_id",
+        "inspiration_context", "uploaded_date", F.length("video_id").alias("id_length"),
         files.extension(F.col("stored_name")).alias("ext"),
     )
 

@@ -234,15 +234,15 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     """pages: one row is one stored file, named after the last part of its path."""
     return table(spark, folder, "pages").selectExpr(
         r"concat(regexp_extract(url, r'([0-9]+)[^0-9/]*[^/]*/?$', 1), "
-        "CASE WHEN page_id % 2 = 0 THEN '.mp4' ELSE '.mov' END) AS name",
-        "url", "CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'video/mp4' END AS mime", "page_id AS file_no",
+        "CASE WHEN url LIKE '%.net/%' THEN '.mov' ELSE '.mp4' END) AS name",
+        "url", "CASE WHEN url LIKE 'http:%' THEN 'image/png' ELSE 'video/mp4' END AS mime", "page_id AS file_no",
     )
 
 
 SQL["listing"] = r"""
 SELECT regexp_extract(url, '([0-9]+)[^0-9/]*[^/]*/?$', 1) || '.' ||
-    CASE WHEN page_id % 2 = 0 THEN 'mp4' ELSE 'mov' END AS name,
-  url, CASE WHEN page_id % 3 = 0 THEN 'image/png' ELSE 'video/mp4' END AS mime, page_id AS file_no
+    CASE WHEN url LIKE '%.net/%' THEN 'mov' ELSE 'mp4' END AS name,
+  url, CASE WHEN url LIKE 'http:%' THEN 'image/png' ELSE 'video/mp4' END AS mime, page_id AS file_no
 FROM pages"""
 
 

@@ -149,16 +149,15 @@ def video_structure_means(posts: DataFrame, video_metric: str, by: Sequence[str]
 def timing_means(posts: DataFrame, dimension: str, metric: str = "reach", by: Sequence[str] = ()) -> DataFrame:
     """Mean metric for every time bucket or weekday, in category order.
 
-    Labels without posts are kept with a null mean; unknown labels are left out. After
-    the means are taken each group has at most one row per label, so they fit in a map
-    that the full label list is then looked up in; no second scan or join is needed.
+    Labels without posts are kept with a null mean; unknown labels are left out. Known
+    labels have one mean each and fit in a map that the full label list is then looked
+    up in; no second scan or join is needed.
     """
     label = choice(dimension, TIMING_DIMENSIONS)
     choice(metric, ENGAGEMENT_METRICS)
     labels = CATEGORY_LABELS[dimension]
-    known = posts.withColumn(dimension, F.when(label.isin(*labels), label))
-    means = known.groupBy(*by, dimension).agg(mean_of(metric).alias("_mean"))
-    entry = F.when(F.col(dimension).isNotNull(), F.struct(dimension, "_mean"))
+    means = posts.groupBy(*by, dimension).agg(mean_of(metric).alias("_mean"))
+    entry = F.when(label.isin(*labels), F.struct(dimension, "_mean"))
     maps = means.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_means"))
     spread = F.posexplode(F.array(*[F.lit(text) for text in labels])).alias("position", dimension)
     dense = maps.select(*by, "_means", spread)

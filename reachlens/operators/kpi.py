@@ -65,7 +65,8 @@ def period_kpis(
     ]
     per_page = _grouped(posts.filter(" OR ".join(in_posts)), totals)
     gained = _grouped(account_daily.filter(" OR ".join(in_account)).dropDuplicates(), gains)
-    both = per_page.join(gained, "page_id", "full").na.fill(0)
+    both = per_page.join(gained, "page_id", "full")
+    both = both.na.fill(0, [c for c in both.columns if c != "page_id"])
     return both.selectExpr("page_id", *[
         f"{_value(side, name)} AS {side}_{name}" for side in SIDES for name in METRICS
     ])
