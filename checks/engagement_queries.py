@@ -23,7 +23,8 @@ def check(name: str, sql: str | None = None):
     return add
 
 
-_RATE = "round_even(CAST(like_count AS DOUBLE) / reach * 100.0::DOUBLE, 2) AS like_rate, CAST(created_time AS DATE) AS post_date"
+_RATE = """CASE WHEN reach <> 0 OR like_count > 0 THEN round_even(CAST(like_count AS DOUBLE) / reach * 100.0::DOUBLE, 2) END
+AS like_rate, CAST(created_time AS DATE) AS post_date"""
 _ANALYSIS_COLUMNS = (
     "a.video_id, main_theme, most_common_word, main_focus, color_scheme, time_of_day, a.time_bucket, a.weekday, video_len, shot_count, "
     "avg_shot_len, longest_shot, object_count, face_count, labels_extracted, background_imagery, text_from_video, "

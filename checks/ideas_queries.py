@@ -9,7 +9,7 @@ from checks.overview_queries import SUMMARY_CTE, kpis
 from checks.sql import template
 from reachlens import fixed_values as fv
 from reachlens.functions import files
-from reachlens.functions.text import bullet_at, bullets, title_label
+from reachlens.functions.text import bullets, piece_at, title_label
 from reachlens.operators import cards, conversation, ideas, kpi, media
 from reachlens.sources import sinks
 from reachlens.sources.schemas import POST_IDEAS
@@ -91,11 +91,10 @@ def latest_summary(spark, d):
 FROM (SELECT doc_id, {_PIECES.format('text', '@')} AS b FROM (
 SELECT doc_id, replace(text, chr(10), '@') AS text FROM documents))""")
 def bullet_pieces(spark, d):
-    rows = t.table(spark, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("@")).alias("text"))
-    text = F.col("text")
+    text = F.replace("text", F.lit("\n"), F.lit("@"))
+    rows = t.table(spark, d, "documents").select("doc_id", bullets(text, "@").alias("b"))
     return rows.select(
-        "doc_id", bullet_at(text, 0, "@").alias("first"), bullet_at(text, 1, "@").alias("second"),
-        F.size(bullets(text, "@")).alias("pieces"),
+        "doc_id", piece_at(F.col("b"), 0).alias("first"), piece_at(F.col("b"), 1).alias("second"), F.size("b").alias("pieces")
     )
 
 

@@ -284,8 +284,8 @@ def ad_scorecards(spark, d):
     return audience.ad_scorecards(audience.ad_totals(t.ads(spark, d), "RING"))
 
 
-@check("like_rate", t.with_sql("posts") + f"""
-SELECT post_id, round_even(CAST(like_count AS DOUBLE) / reach * 100.0::DOUBLE, 2) AS like_rate,
-CAST(created_time AS DATE) AS post_date FROM posts""")
+@check("like_rate", t.with_sql("posts") + """
+SELECT post_id, CASE WHEN reach <> 0 OR like_count > 0 THEN
+  round_even(CAST(like_count AS DOUBLE) / reach * 100.0::DOUBLE, 2) END AS like_rate, CAST(created_time AS DATE) AS post_date FROM posts""")
 def like_rate(spark, d):
     return engagement.with_like_rate(t.posts(spark, d)).select("post_id", "like_rate", "post_date")

@@ -41,9 +41,18 @@ def round2_exact_sql(x: str) -> str:
     return let_sql(f"CAST({x} AS DOUBLE)", body)
 
 
+def float_ratio(top: Column, bottom: Column) -> Column:
+    """Division as floats do it: something over 0 is infinite, 0 over 0 is missing."""
+    endless = F.lit(float("inf"))
+    return (
+        F.when((bottom == 0) & (top > 0), endless).when((bottom == 0) & (top < 0), -endless)
+        .otherwise(F.try_divide(top, bottom))
+    )
+
+
 def like_rate(likes: Column, reach: Column) -> Column:
-    """Likes per hundred people reached; null where nobody was reached."""
-    return round2(F.try_divide(likes, reach) * 100.0)
+    """Likes per hundred people reached. Likes without any reach rank above all."""
+    return round2(float_ratio(likes, reach) * 100.0)
 
 
 def safe_ratio_sql(top: str, bottom: str) -> str:

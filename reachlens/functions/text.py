@@ -9,8 +9,11 @@ from pyspark.sql import Column, functions as F, types as T
 from reachlens.fixed_values import BULLET, IDEA_FIELDS
 from reachlens.functions.numbers import let_sql, round2_exact_sql
 
-_SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
-_EDGE_SPACE = f"^{_SPACE}|{_SPACE}$"
+# Every character that counts as white space.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # Letters, digits and underscore of every script, with later apostrophes. The possessive
 # quantifier never gives characters back, which saves the matcher its bookkeeping.
 TERM_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']*+"
@@ -18,7 +21,7 @@ TERM_PATTERN = r"[\p{L}\p{N}_][\p{L}\p{N}_']*+"
 
 def strip_space(text: Column) -> Column:
     """Remove all leading and trailing white space, not only blanks."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def contains_ignoring_case(text: Column, needle: str) -> Column:
@@ -37,9 +40,9 @@ def bullets(text: Column, delimiter: str = BULLET) -> Column:
     return F.filter(pieces, lambda piece: piece != "")
 
 
-def bullet_at(text: Column, position: int, delimiter: str = BULLET) -> Column:
-    """One bullet by position, "" when there are fewer."""
-    return F.coalesce(F.get(bullets(text, delimiter), F.lit(position)), F.lit(""))
+def piece_at(pieces: Column, position: int) -> Column:
+    """One piece by position, "" when there are fewer."""
+    return F.coalesce(F.get(pieces, F.lit(position)), F.lit(""))
 
 
 def fill(template: str, **columns: Column) -> Column:
@@ -93,7 +96,9 @@ def thousands_sql(x: str) -> str:
 
 def two_decimals_sql(x: str, grouped: bool = True) -> str:
     """Two decimals of the exact value; the rounding is done before formatting."""
-    return let_sql(round2_exact_sql(x), _format_sql("%,.2f" if grouped else "%.2f", "v"))
+    shown = _format_sql("%,.2f" if grouped else "%.2f", "v")
+    finite = let_sql(round2_exact_sql(x), shown)
+    return f"CASE WHEN abs({x}) = double('Infinity') THEN if({x} > 0, 'inf', '-inf') ELSE {finite} END"
 
 
 def currency_sql(x: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from reachlens.fixed_values import CLICKS_PER_FOLLOW
-from reachlens.functions.numbers import money
+from reachlens.functions.numbers import float_ratio, money
 from reachlens.functions.text import contains_ignoring_case, currency_sql, plain_number_sql, thousands_sql
 from reachlens.operators.common import left_join_unique
 
@@ -52,7 +52,7 @@ def ad_totals(ads: DataFrame, name_contains: str = "Post", by: Sequence[str] = (
     follows = F.col("clicks") / F.lit(float(CLICKS_PER_FOLLOW))
     return totals.select(
         *by, "spend", "reach", follows.alias("boosted_follows"),
-        F.try_divide(F.col("spend"), follows).alias("cost_per_follow"),
+        float_ratio(F.col("spend"), follows).alias("cost_per_follow"),
     )
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachlens import fixed_values as fv
 from reachlens.functions.dates import AsOf, as_date, days_after, iso_date
-from reachlens.functions.text import bullet_at, fill, is_filled, join_list, list_to_json, parsed_idea, split_list
+from reachlens.functions.text import (
+    bullets, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list,
+)
 from reachlens.operators.common import first_rows, left_join_unique, row_digest
 
 # --- lookups -------------------------------------------------------------------------
@@ -33,9 +35,9 @@ def one_row_per_page(df: DataFrame, dated_by: str, pick: str = "oldest") -> Data
 def latest_summary(summaries: DataFrame) -> DataFrame:
     """Newest summary of each account as its first two bullets."""
     newest = one_row_per_page(summaries, "date", "latest")
-    text = F.col("summary")
-    return newest.select(
-        "page_id", "date", bullet_at(text, 0).alias("bullet_1"), bullet_at(text, 1).alias("bullet_2")
+    pieces = newest.select("page_id", "date", bullets(F.col("summary")).alias("_pieces"))
+    return pieces.select(
+        "page_id", "date", piece_at(F.col("_pieces"), 0).alias("bullet_1"), piece_at(F.col("_pieces"), 1).alias("bullet_2")
     )
 
 

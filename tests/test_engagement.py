@@ -25,7 +25,7 @@ def test_join_keeps_each_post_once_and_the_post_side(spark):
     one = rows["1"]
     assert (one.main_theme, one.reach, one.saved, one.like_rate, one.speech_rate) == ("new", 200, 4, 7.5, np.round(2.345, 2))
     assert (one.post_date, one.created_time) == (D(2024, 3, 1), T(2024, 3, 1, 9))
-    assert rows["2"].like_rate is None and rows["2"].main_theme is None and rows[None].main_theme is None
+    assert rows["2"].like_rate == float("inf") and rows["2"].main_theme is None and rows[None].main_theme is None
     assert engagement.join_analysis(p, a, repeats="all").count() == 4
     narrow = engagement.join_analysis(p, a, ["main_theme"])
     assert set(narrow.columns) - set(p.columns) == {"video_id", "main_theme"} and by_key(narrow, "post_id")["1"].main_theme == "new"
@@ -149,7 +149,7 @@ def test_ads(spark):
     rows = [(A, "Post 1", 10.1, 100, 10), (A, "repost", 20.2, 50, 15), (A, "x", 99.0, 9, 9), (A, None, 99.0, 9, 9), (B, "post", 5.0, 1, 0)]
     totals = by_key(audience.ad_totals(spark.createDataFrame(rows, schemas.ADS)), "page_id")
     assert tuple(totals[A])[1:] == (30.3, 150, 5.0, 30.3 / 5)
-    assert (totals[B].boosted_follows, totals[B].cost_per_follow) == (0.0, None)
+    assert (totals[B].boosted_follows, totals[B].cost_per_follow) == (0.0, float("inf"))
     overall = audience.ad_totals(spark.createDataFrame(rows, schemas.ADS), by=()).first()
     assert overall.spend == 35.3
     card = by_key(audience.ad_scorecards(audience.ad_totals(spark.createDataFrame(rows, schemas.ADS))), "page_id")[A]

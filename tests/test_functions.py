@@ -39,7 +39,7 @@ def test_display_formats_equal_python(values):
     assert values([12.5, -3.0, 0.0, None], "double", text.signed_percent_sql("x")) == ["+12.50%", "-3.00%", "+0.00%", None]
     for sql in (text.two_decimals_sql("x"), text.plain_number_sql("x"), text.thousands_sql("x"), text.currency_sql("x")):
         assert values([None], "double", sql) == [None]
-    assert values([1234.5], "double", text.currency_sql("x")) == ["$1,234.50"]
+    assert values([1234.5, float("inf")], "double", text.currency_sql("x")) == ["$1,234.50", "$inf"]
     assert values([1.0, 0.0, -2.0, None], "double", text.sign_class_sql("x")) == ["positive", "negative", "negative", None]
 
 
@@ -65,7 +65,10 @@ def test_ratios_and_means(spark):
     means = {r.g: r.m for r in frame.groupBy("g").agg(numbers.mean_of("a").alias("m")).collect()}
     assert means == {1: 3.0, 2: None}
     rate = [r.r for r in frame.select(numbers.like_rate(F.col("a"), F.col("b")).alias("r")).collect()]
-    assert rate == [None, 25.0, None]
+    assert rate == [float("inf"), 25.0, None]
+    edge = spark.createDataFrame([(0, 0), (None, 0), (3, None), (-1, 0), (1, 3)], "a bigint, b bigint")
+    got = [r.r for r in edge.select(numbers.float_ratio(F.col("a"), F.col("b")).alias("r")).collect()]
+    assert got == [None, None, None, float("-inf"), 1 / 3]
 
 
 def test_to_number_and_money(values):
@@ -123,8 +126,14 @@ def test_as_of_forms(spark):
 
 def test_bullets(values):
     texts = ["• one\n• two • three", "only", " • \t• ", "", None, "a•  b\t\n"]
-    assert values(texts, "string", lambda X: text.bullet_at(X, 0)) == ["one", "only", "", "", "", "a"]
-    assert values(texts, "string", lambda X: text.bullet_at(X, 1)) == ["two", "", "", "", "", "b"]
+    assert values(texts, "string", lambda X: text.piece_at(text.bullets(X), 0)) == ["one", "only", "", "", "", "a"]
+    assert values(texts, "string", lambda X: text.piece_at(text.bullets(X), 1)) == ["two", "", "", "", "", "b"]
+
+
+def test_strip_space_equals_python(values):
+    texts = [c + "x y" + c for c in map(chr, range(1, 0x3001)) if c.isspace()] + ["\u200bx", "", " \u3000 "]
+    assert len(texts) > 25
+    assert values(texts, "string", lambda X: text.strip_space(X)) == [v.strip() for v in texts]
 
 
 def test_contains_and_filled(values):
