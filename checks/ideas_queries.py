@@ -10,10 +10,11 @@ from checks.sql import template
 from reachlens import fixed_values as fv
 from reachlens.functions import files
 from reachlens.functions.text import bullets, piece_at, title_label
+from reachlens.operators.common import first_rows
 from reachlens.operators import cards, conversation, ideas, kpi, media
 from reachlens.sources import sinks
 from reachlens.sources.schemas import POST_IDEAS
-from reachlens.sources.shared import new_path, written
+from reachlens.sources.shared import new_path
 
 QUERIES, SQL = {}, {}
 
@@ -52,8 +53,6 @@ daily AS (SELECT * EXCLUDE n FROM ranked WHERE n = 1) """
 
 
 def _daily_notes(spark, d):
-    from reachlens.operators.common import first_rows
-
     return first_rows(t.notes(spark, d), ["page_id", "update_date"], [F.col("doc_id")])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import standins as t
-from checks.sql import STYLE, change, exact2, fixed2, grouped, plain, signed
+from checks.sql import STYLE, change, fixed2, grouped, plain, signed
 from reachlens.fixed_values import KPI_LABELS, KPI_RATIOS
 from reachlens.functions.dates import iso_date, month_start, parse_time, yesterday_in_zone
 from reachlens.functions.numbers import to_number

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from reachlens.fixed_values import TIME_BUCKETS, WEEKDAYS
 
 
@@ -76,8 +78,6 @@ def text(value: str) -> str:
 
 def template(pattern: str, **columns: str) -> str:
     """Concatenation that fills {name} marks."""
-    import re
-
     parts = re.split(r"\{(\w+)\}", pattern)
     out = [f"({columns[p]})" if i % 2 else text(p) for i, p in enumerate(parts) if p]
     return " || ".join(out)

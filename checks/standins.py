@@ -6,7 +6,7 @@ maps each of its rows; ``SQL`` holds the same mapping as common table expression
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachlens.sources.schemas import POST_ANALYSIS, POSTS, conform
 
@@ -79,10 +79,9 @@ def account_daily(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "CAST(created_time AS DATE) AS date", "comments_count AS follower_count",
         "CAST(post_id AS BIGINT) AS total_followers", "reach", "reach + like_count AS impressions",
     )
-    daily = rows.groupBy("page_id", "date")
-    return daily.agg({"follower_count": "sum", "total_followers": "max", "reach": "sum", "impressions": "sum"}).selectExpr(
-        "page_id", "date", "`sum(follower_count)` AS follower_count", "`max(total_followers)` AS total_followers",
-        "`sum(reach)` AS reach", "`sum(impressions)` AS impressions",
+    return rows.groupBy("page_id", "date").agg(
+        F.sum("follower_count").alias("follower_count"), F.max("total_followers").alias("total_followers"),
+        F.sum("reach").alias("reach"), F.sum("impressions").alias("impressions"),
     )
 
 

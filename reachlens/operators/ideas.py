@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachlens import fixed_values as fv
-from reachlens.functions.dates import AsOf, as_date, days_after, iso_date
+from reachlens.functions.dates import AsOf, as_date, iso_date
 from reachlens.functions.text import (
     bullets, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list,
 )

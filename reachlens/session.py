@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
@@ -19,7 +20,9 @@ SETTINGS = {
 
 def session(app: str = "reachlens", **overrides: str) -> SparkSession:
     """A session with the settings above; keyword arguments replace or add to them,
-    written with ``__`` for dots. Cluster size settings stay with the submitter."""
+    written with ``__`` for dots. The submitter sets what depends on the
+    cluster: memory, cores, and ``spark.sql.shuffle.partitions`` high enough that a
+    partition of the largest shuffle fits in memory; small shuffles are coalesced."""
     builder = SparkSession.builder.appName(app)
     extra = {key.replace("__", "."): value for key, value in overrides.items()}
     for key, value in {**SETTINGS, **extra}.items():

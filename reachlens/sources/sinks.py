@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reachlens.sources.shared import written
+
 _VERSION = "version="
 
 
@@ -21,8 +23,6 @@ def append_ideas(ideas: DataFrame, path: str) -> None:
 
 def append_clips(clips: DataFrame, path: str) -> DataFrame:
     """Add clip rows and return them as stored, so the generated ids are final."""
-    from reachlens.sources.shared import written
-
     stored = written(clips, "clips")
     stored.write.mode("append").parquet(path)
     return stored
@@ -54,7 +54,8 @@ def write_version(df: DataFrame, root: str) -> str:
     """Store ``df`` as the next version of the table under ``root``.
 
     Deletes and updates rewrite into a new folder and never over the files being
-    read; readers keep the previous version until the write has succeeded.
+    read; readers keep the previous version until the write has succeeded. One
+    writer at a time.
     """
     spark = df.sparkSession
     done = _versions(spark, root)

@@ -131,6 +131,10 @@ def test_updates(spark, planned):
     assert rows[(B, "c1")].date == "2024-04-01" and (A, "second") not in rows and (B, None) in rows
     everywhere = ideas.with_updates(planned, change, AS_OF, scope="all")
     assert everywhere.filter("caption = 'first'").count() == 2
+    replies = spark.createDataFrame([(A, "c3", '{"caption": "c3", "themes": "k", "tone": "dry"}')],
+                                    "page_id bigint, previous_caption string, reply string")
+    reworked = ideas.with_updates(planned, ideas.updates_from_replies(replies), AS_OF).filter(f"tone = 'dry' AND page_id = {A}")
+    assert [(r.caption, r.themes, r.date) for r in reworked.collect()] == [("c3", "k", "2024-03-15")]
     plain_text = change.withColumn("themes", F.lit("one,two"))
     assert ideas.with_updates(planned, plain_text, AS_OF).filter("themes = 'one,two'").count() == 2
 

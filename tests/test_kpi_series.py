@@ -4,7 +4,7 @@ import random
 import pandas as pd
 import pytest
 
-from fixtures import A, AS_OF, B, C, D, T, YESTERDAY, account, by_key, post, posts
+from fixtures import A, AS_OF, B, C, D, T, account, by_key, post, posts
 from reachlens.operators import kpi, series
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 import __spark_entry__ as entry_point
 from checks import compare
 from fixtures import A, AS_OF, B, C, D, T as Time, account, analysis, ideas as idea_rows, post, posts
-from reachlens.operators import common, engagement, kpi
+from reachlens.operators import common, engagement
 from reachlens.plans import pages
 from reachlens.session import SETTINGS
 from reachlens.sources import listing, schemas, shared, sinks, tables
