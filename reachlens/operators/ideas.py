@@ -63,12 +63,13 @@ def numbered_ideas(ideas: DataFrame, line: Column | None = None, k: int = fv.PAS
     Only the ``k`` rows that survive the ranking are gathered into a list. ``line`` is
     the text of an entry, by default its summary.
     """
-    order = [F.col("date").asc_nulls_first(), F.col("caption"), row_digest(ideas)]
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
     text = shown(F.col("post_summary")) if line is None else line
-    ranked = ideas.withColumn("_rank", rank).filter(F.col("_rank") <= k)
-    entries = F.array_sort(F.collect_list(F.struct("_rank", text.alias("text"))))
-    numbered = F.transform(entries, lambda e: F.concat(e["_rank"].cast("string"), F.lit(". "), e["text"]))
+    lines = ideas.select("page_id", "date", "caption", text.alias("_text"))
+    order = [F.col("date").asc_nulls_first(), F.col("caption"), F.col("_text")]
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(*order))
+    ranked = lines.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    entries = F.array_sort(F.collect_list(F.struct("_rank", "_text")))
+    numbered = F.transform(entries, lambda e: F.concat(e["_rank"].cast("string"), F.lit(". "), e["_text"]))
     return ranked.groupBy("page_id").agg(F.concat_ws("\n", numbered).alias("past_ideas"))
 
 
