@@ -220,7 +220,8 @@ def json_reply_parse(spark, d):
 
 @check("reply_ideas", _PARSED.replace("object->>", "checked->>") + f""", ideas AS ({t.SQL['ideas']}),
 slots AS (SELECT page_id, max(CAST(date AS DATE)) + 3 AS next_date FROM ideas GROUP BY 1)
-SELECT page_id, strftime(next_date, '%Y-%m-%d') AS date, post_summary, caption, post_type, themes, tone, 'ChatGPT' AS source
+SELECT page_id, strftime(next_date, '%Y-%m-%d') AS date, post_summary, caption, post_type,
+replace(themes, '","', '", "') AS themes, tone, 'ChatGPT' AS source
 FROM parsed LEFT JOIN slots USING (page_id)""")
 def reply_ideas(spark, d):
     slots = ideas.next_slots(t.ideas(spark, d), t.AS_OF)
@@ -344,13 +345,13 @@ def file_names(spark, d):
 
 @check("clip_append", _LISTING + """SELECT file_no, page_id, context AS inspiration_context, DATE '2024-01-31' AS uploaded_date,
 CAST(36 AS INTEGER) AS id_length, split_part(name, '.', -1) AS ext FROM (
-SELECT file_no, CAST(length(url) AS BIGINT) AS page_id, CASE WHEN contains(url, '//m.') THEN ' ' ELSE url || ' ' || CAST(file_no AS VARCHAR) END AS context,
-name, mime FROM listing) WHERE mime LIKE 'video/%' AND trim(context) <> ''""")
+SELECT file_no, CAST(length(url) AS BIGINT) AS page_id, CASE WHEN contains(url, '//m.') THEN '' ELSE url || ' ' || CAST(file_no AS VARCHAR) END AS context,
+name, mime FROM listing) WHERE mime LIKE 'video/%' AND context <> ''""")
 def clip_append(spark, d):
     """Uploads without a reason (mobile links) and images are refused, the rest stored."""
     uploads = t.listing(spark, d).selectExpr(
         "CAST(length(url) AS BIGINT) AS page_id", "name", "mime",
-        "CASE WHEN contains(url, '//m.') THEN ' ' ELSE concat(url, ' ', file_no) END AS inspiration_context",
+        "CASE WHEN contains(url, '//m.') THEN '' ELSE concat(url, ' ', file_no) END AS inspiration_context",
     )
     stored = sinks.append_clips(media.clip_rows(uploads, t.AS_OF), new_path(spark, "clips-table"))
     return media.stored_names(stored).select(

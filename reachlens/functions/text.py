@@ -76,6 +76,21 @@ def list_to_json(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", ", "null"), F.lit("]"))
 
 
+def _json_list(text: Column) -> Column:
+    """The items of a JSON array text; null for any other text."""
+    return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
+
+
+def stored_list(text: Column) -> Column:
+    """A JSON array text in the layout kept at rest; other text as it is."""
+    return F.coalesce(list_to_json(_json_list(text)), text)
+
+
+def comma_list(text: Column) -> Column:
+    """A JSON array text as its items joined by commas; other text as it is."""
+    return F.coalesce(join_list(_json_list(text)), text)
+
+
 def title_label(name: Column) -> Column:
     """Column name to heading: underscores to blanks, words capitalised."""
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reachlens import fixed_values as fv
 from reachlens.functions.dates import AsOf, as_date, iso_date
 from reachlens.functions.text import (
-    bullets, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list,
+    bullets, comma_list, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list, stored_list,
 )
 from reachlens.operators.common import first_rows, left_join_unique, row_digest
 
@@ -179,9 +179,8 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
 def reply_ideas(replies: DataFrame, slots: DataFrame, source: str = fv.GENERATED_SOURCE) -> DataFrame:
     """Parsed replies as idea rows on the next free day of their account."""
     dated = left_join_unique(parsed_replies(replies), slots, [("page_id", "page_id")])
-    return dated.select(
-        "page_id", iso_date(F.col("next_date")).alias("date"), *fv.IDEA_FIELDS, F.lit(source).alias("source")
-    )
+    fields = [stored_list(F.col(name)).alias(name) for name in fv.IDEA_FIELDS]
+    return dated.select("page_id", iso_date(F.col("next_date")).alias("date"), *fields, F.lit(source).alias("source"))
 
 
 def manual_ideas(entries: DataFrame, source: str = fv.MANUAL_SOURCE) -> DataFrame:
@@ -257,5 +256,6 @@ def with_updates(ideas: DataFrame, updates: DataFrame, as_of: AsOf, scope: str =
 
 
 def updates_from_replies(replies: DataFrame, fields: Sequence[str] = ("page_id", "previous_caption")) -> DataFrame:
-    """Rewrites taken from parsed tweak replies."""
-    return parsed_replies(replies).select(*fields, *fv.IDEA_FIELDS)
+    """Rewrites taken from tweak replies, listed themes and tones joined by commas."""
+    listed = {name: comma_list(F.col(name)) for name in ("themes", "tone")}
+    return parsed_replies(replies).withColumns(listed).select(*fields, *fv.IDEA_FIELDS)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from reachlens.functions.dates import AsOf, as_date
 from reachlens.functions.files import major_type, renamed, stem_or_empty, stem_or_name
-from reachlens.functions.text import is_filled
 from reachlens.operators.common import first_rows, left_join_unique, row_digest
 
 
@@ -41,7 +40,7 @@ def post_media(posts: DataFrame, listing: DataFrame) -> DataFrame:
 def accepted_uploads(uploads: DataFrame) -> DataFrame:
     """Video uploads that name their account and say why they were made."""
     is_video = F.coalesce(major_type(F.col("mime")) == "video", F.lit(False))
-    return uploads.filter(is_video & F.col("page_id").isNotNull() & is_filled(F.col("inspiration_context")))
+    return uploads.filter(is_video & (F.col("page_id") != 0) & (F.length("inspiration_context") > 0))
 
 
 def clip_rows(uploads: DataFrame, as_of: AsOf) -> DataFrame:

@@ -93,7 +93,7 @@ def test_replies(spark, planned):
     rows = sorted((r.page_id, r.caption) for r in ideas.parsed_replies(frame).collect())
     assert rows == [(A, "c"), (B, "only"), (C, "{braces}")]
     made = by_key(ideas.reply_ideas(frame, ideas.next_slots(planned, AS_OF)), "page_id")
-    assert json.loads(made[A].themes) == ["a", "b"] and made[A].date == "2024-03-10" and made[A].source == "ChatGPT"
+    assert made[A].themes == json.dumps(["a", "b"]) and made[A].date == "2024-03-10" and made[A].source == "ChatGPT"
     assert made[B].post_summary is None and made[C].date is None
 
 
@@ -131,10 +131,10 @@ def test_updates(spark, planned):
     assert rows[(B, "c1")].date == "2024-04-01" and (A, "second") not in rows and (B, None) in rows
     everywhere = ideas.with_updates(planned, change, AS_OF, scope="all")
     assert everywhere.filter("caption = 'first'").count() == 2
-    replies = spark.createDataFrame([(A, "c3", '{"caption": "c3", "themes": "k", "tone": "dry"}')],
+    replies = spark.createDataFrame([(A, "c3", '{"caption": "c3", "themes": ["k", "[l]"], "tone": "dry"}')],
                                     "page_id bigint, previous_caption string, reply string")
     reworked = ideas.with_updates(planned, ideas.updates_from_replies(replies), AS_OF).filter(f"tone = 'dry' AND page_id = {A}")
-    assert [(r.caption, r.themes, r.date) for r in reworked.collect()] == [("c3", "k", "2024-03-15")]
+    assert [(r.caption, r.themes, r.date) for r in reworked.collect()] == [("c3", "k,[l]", "2024-03-15")]
     plain_text = change.withColumn("themes", F.lit("one,two"))
     assert ideas.with_updates(planned, plain_text, AS_OF).filter("themes = 'one,two'").count() == 2
 
@@ -152,8 +152,8 @@ def test_media(spark):
 
 
 def test_upload_gate_and_clip_rows(spark):
-    rows = [(A, "a.mp4", "video/mp4", "why"), (A, "a.png", "image/png", "why"), (A, "b.mp4", "video/mp4", " \n"),
-            (None, "c.mp4", "video/mp4", "why"), (A, "d.mov", None, "why"), (B, "e.tar.mov", "video/quicktime", "y")]
+    rows = [(A, "a.mp4", "video/mp4", "why"), (A, "a.png", "image/png", "why"), (A, "b.mp4", "video/mp4", ""),
+            (None, "c.mp4", "video/mp4", "why"), (A, "f.mp4", "video/mp4", None), (0, "g.mp4", "video/mp4", "why"), (A, "d.mov", None, "why"), (B, "e.tar.mov", "video/quicktime", "y")]
     uploads = spark.createDataFrame(rows, "page_id bigint, name string, mime string, inspiration_context string")
     clips = media.stored_names(media.clip_rows(uploads, AS_OF)).collect()
     assert sorted(r.name for r in clips) == ["a.mp4", "e.tar.mov"]
