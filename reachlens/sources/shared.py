@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CONF = "spark.checkpoint.dir"
+_SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """``folder`` if given, else ``spark.checkpoint.dir``, else the session's warehouse.
 
-    A local session without the setting gets a folder of its own; on a cluster a
-    machine-local folder would be invisible to the other machines, so it must be set.
+    The order is the same for every master. All executors must reach the folder; its
+    owner empties it when no frame of the session reads from it any more (an expiry rule
+    on the store, or the removal of the job's folder), as nothing here can know that.
     """
-    folder = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="reachlens-")
-    spark.conf.set(_CONF, folder)
-    return folder
+    for name in _SETTINGS:
+        folder = folder or spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
+    return folder.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
