@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reachlens.llm import quality_rules
+from reachlens.llm import mixing, quality_rules, url_filters
+from reachlens.operators.common import left_join_unique
+from reachlens.sources.shared import written
 
 QUERIES, SQL = {}, {}
 
@@ -51,3 +53,48 @@ ratios AS (SELECT *, {', '.join(f'{top} / nullif({base}, 0) AS {name}' for name,
 SELECT *, NOT base_failed AND {_RULE_SQL} AS kept FROM ratios""")
 def op3_quality_rules(spark, folder):
     return quality_rules.judged(table(spark, folder, "documents"))
+
+
+# The rules of the query.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+
+
+@query("op10_url_filters", f"""
+WITH parts AS (SELECT page_id, coalesce(strpos(url, '://'), 0) > 0 AS has, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+urls AS (SELECT page_id, row_number() OVER () AS r,
+    CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN has THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM parts),
+rules(h, p, v) AS (VALUES {', '.join(map(str, URL_RULES))}),
+fits AS (SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC, v DESC) AS k
+    FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM urls LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (r)""")
+def op10_url_filters(spark, folder):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.filtered(table(spark, folder, "pages"), rules)
+
+
+@query("op9_mixing", r"""
+WITH sized AS (SELECT doc_id, source,
+    CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, CAST(list_extract([3, 1, 2], 1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER)) AS DOUBLE) AS w,
+    2.0::DOUBLE * source_size AS cap FROM sources),
+steps AS (SELECT w, cap, 1.5::DOUBLE * sum(source_size) OVER ()
+    - coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
+    sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM weighed),
+level AS (SELECT room, ws FROM steps WHERE room / ws <= cap / w ORDER BY cap / w LIMIT 1),
+goals AS (SELECT source, source_size, least(cap, coalesce(room * w / ws, cap)) AS target FROM weighed LEFT JOIN level ON true),
+placed AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS full_epochs,
+    CAST(floor(target) AS BIGINT) % greatest(source_size, 1)
+      - coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('17|' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(full_epochs * size + greatest(0, least(size, room)) AS BIGINT) AS taken FROM placed""")
+def op9_mixing(spark, folder):
+    sized = written(table(spark, folder, "documents").select("doc_id", "source", F.expr(mixing.size_sql()).alias("size")), "sized")
+    mix, figures = mixing.mixed(sized.withColumn("members", F.array("source")), "members", "size")
+    # One row per source, no more than the patterns the operator allows.
+    figures = F.broadcast(figures.withColumnRenamed("source", "s"))
+    return mix.join(figures, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
