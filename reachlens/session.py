@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes partitions after each shuffle and splits skewed ones; the
@@ -28,3 +30,10 @@ def session(app: str = "reachlens", **overrides: str) -> SparkSession:
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from the folder the driver has it in, or from
+    wherever it is installed on the executors."""
+    spark.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parent.parent)
+    return spark
