@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from reachlens.llm import mixing, quality_rules, url_filters
-from reachlens.operators.common import left_join_unique
-from reachlens.sources.shared import written
+from reachlens.llm import mixing, quality_rules, token_counts, token_output, url_filters
+from reachlens.session import on_workers
+from reachlens.sources.shared import new_path, written
 
 QUERIES, SQL = {}, {}
 
 
 def query(name: str, sql: str | None = None):
     def add(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, folder: fn(on_workers(spark), folder)
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -98,3 +99,17 @@ def op9_mixing(spark, folder):
     # One row per source, no more than the patterns the operator allows.
     figures = F.broadcast(figures.withColumnRenamed("source", "s"))
     return mix.join(figures, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark, folder):
+    lengths = token_counts.encoded_lengths(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    # Written, as three sums are taken of it and the texts should be encoded once.
+    return token_counts.suffix_sums(written(token_counts.histogram(lengths), "lengths"))
+
+
+@query("op7_token_ids")
+def op7_token_ids(spark, folder):
+    path = new_path(spark, "token-ids")
+    token_output.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return token_output.digests(token_output.read(spark, path))
