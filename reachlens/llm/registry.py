@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reachlens.llm import mixing, quality_rules, token_counts, token_output, url_filters
+from reachlens.llm import (
+    decontamination, license_scan, mixing, quality_rules, token_counts, token_output, toxicity, url_filters,
+)
 from reachlens.session import on_workers
 from reachlens.sources.shared import new_path, written
 
@@ -113,3 +115,19 @@ def op7_token_ids(spark, folder):
     path = new_path(spark, "token-ids")
     token_output.write(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
     return token_output.digests(token_output.read(spark, path))
+
+
+@query("op2_decontamination")
+def op2_decontamination(spark, folder):
+    return decontamination.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, folder, "labels")))
+
+
+@query("op5_license_scan")
+def op5_license_scan(spark, folder):
+    return license_scan.scanned(table(spark, folder, "documents"))
