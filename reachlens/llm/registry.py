@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from reachlens.llm import (
-    decontamination, license_scan, mixing, quality_rules, token_counts, token_output, toxicity, url_filters,
+    decontamination, license_scan, mixing, ngram_jaccard, quality_rules, token_counts, token_output, toxicity,
+    url_filters,
 )
 from reachlens.session import on_workers
 from reachlens.sources.shared import new_path, written
@@ -131,3 +132,8 @@ def op4_toxicity(spark, folder):
 @query("op5_license_scan")
 def op5_license_scan(spark, folder):
     return license_scan.scanned(table(spark, folder, "documents"))
+
+
+@query("op6_ngram_jaccard")
+def op6_ngram_jaccard(spark, folder):
+    return ngram_jaccard.classes(table(spark, folder, "documents"))
