@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from reachlens.llm import (
-    decontamination, license_scan, mixing, ngram_jaccard, quality_rules, token_counts, token_output, toxicity,
-    url_filters,
+    decontamination, license_scan, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, token_output,
+    toxicity, url_filters,
 )
 from reachlens.session import on_workers
 from reachlens.sources.shared import new_path, written
@@ -137,3 +137,8 @@ def op5_license_scan(spark, folder):
 @query("op6_ngram_jaccard")
 def op6_ngram_jaccard(spark, folder):
     return ngram_jaccard.classes(table(spark, folder, "documents"))
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, folder):
+    return suffix_dedup.removed(table(spark, folder, "documents")).drop("spans")
