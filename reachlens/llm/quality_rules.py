@@ -131,4 +131,8 @@ def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str
     prefix = "_quality"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix += "_"
-    return with_measures(docs, text_col, prefix).filter(~base_failed(prefix) & verdict(rules, prefix)).select(*docs.columns)
+    # A filter is not moved below a row number, which would put the measures into it in full,
+    # once for each time a rule names them.
+    numbered = with_measures(docs, text_col, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    passed = ~base_failed(prefix) & verdict(rules, prefix) & (F.col(f"{prefix}row") >= 0)
+    return numbered.filter(passed).select(*docs.columns)

@@ -15,6 +15,15 @@ from reachlens.sources.shared import new_path, written
 QUERIES, SQL = {}, {}
 
 
+def _pipeline(spark, folder):
+    import corpus_pipeline  # at the repository's top, beside the entry module
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES["pipeline"] = _pipeline
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, folder: fn(on_workers(spark), folder)
