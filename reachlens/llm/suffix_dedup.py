@@ -188,7 +188,7 @@ def merged_starts(a: list[bytes], b: list[bytes], length: int) -> tuple[np.ndarr
     marks = np.zeros(len(left) + 1, np.int64)
     np.add.at(marks, low[hit], 1)
     np.add.at(marks, high[hit], -1)
-    return at_left[np.cumsum(marks[:-1]) > 0], at_right[hit]
+    return np.sort(at_left[np.cumsum(marks[:-1]) > 0]), np.sort(at_right[hit])
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
