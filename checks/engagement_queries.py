@@ -47,21 +47,37 @@ def posts_left_analysis(spark, d):
 
 
 @check("posts_all_analyses", t.with_sql("sold_posts") + """
-SELECT p_partkey AS page_id, post_id, post_id AS video_id, s.created_time, reach, like_count, polarity, video_len, call_to_action
-FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id FROM part) LEFT JOIN sold_posts s ON id = post_id
-WHERE post_id IS NOT NULL""")
+SELECT p_partkey AS page_id, id AS post_id, post_id AS video_id, s.created_time, reach, like_count, polarity, video_len, call_to_action
+FROM (SELECT p_partkey, CAST(p_partkey + 100 AS VARCHAR) AS id FROM part) LEFT JOIN sold_posts s ON id = post_id""")
 def posts_all_analyses(spark, d):
     """Every repeated right-hand row is kept, as a plain merge would."""
     parts = t.table(spark, d, "part").select(
-        F.col("p_partkey").alias("page_id"), F.col("p_partkey").cast("string").alias("post_id")
+        F.col("p_partkey").alias("page_id"), (F.col("p_partkey") + 100).cast("string").alias("post_id")
     )
     sold = t.sold_posts(spark, d).drop("page_id").withColumnRenamed("post_id", "video_id")
     # Analysis columns named like post columns would be dropped, so they travel renamed.
     sides = sold.withColumnsRenamed({"created_time": "sold_at", "reach": "sold_reach", "like_count": "sold_likes"})
-    out = engagement.join_analysis(parts, sides, repeats="all").filter(F.col("sold_at").isNotNull())
+    out = engagement.join_analysis(parts, sides, repeats="all")
     return out.withColumnsRenamed({"sold_at": "created_time", "sold_reach": "reach", "sold_likes": "like_count"})
 
 
+@check("posts_newest_analysis", t.with_sql("sold_posts") + """, newest AS (SELECT * FROM (SELECT *, row_number() OVER (
+PARTITION BY post_id ORDER BY CAST(created_time AS DATE) DESC NULLS LAST, like_count NULLS FIRST, reach NULLS FIRST) AS rn
+FROM sold_posts) WHERE rn = 1)
+SELECT p_partkey AS page_id, id AS post_id, n.reach AS sold_reach, n.like_count AS sold_likes
+FROM (SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS id FROM part) LEFT JOIN newest n ON id = post_id""")
+def posts_newest_analysis(spark, d):
+    """Parts sold many times: the newest day counts, and its rows tie."""
+    parts = t.table(spark, d, "part").select(
+        F.col("p_partkey").alias("page_id"), F.col("p_partkey").cast("string").alias("post_id")
+    )
+    sold = t.sold_posts(spark, d).select(
+        F.col("post_id").alias("video_id"), F.to_date("created_time").alias("created_time"),
+        F.col("reach").alias("sold_reach"), F.col("like_count").alias("sold_likes"),
+    )
+    return engagement.join_analysis(parts, sold, ["sold_reach", "sold_likes"], ties=["sold_likes", "sold_reach"]).drop("video_id")
+
+
 # --- filters and rankings ------------------------------------------------------------
 
 

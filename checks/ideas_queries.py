@@ -47,43 +47,37 @@ def idea_labels(spark, d):
     return cards.idea_labels(t.ideas(spark, d))
 
 
-# Ties on the date are settled by doc_id: the frames hold one row per page and day.
-_DAILY_NOTES = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id, update_date ORDER BY doc_id) AS n FROM notes),
-daily AS (SELECT * EXCLUDE n FROM ranked WHERE n = 1) """
-
-
-def _daily_notes(spark, d):
-    return first_rows(t.notes(spark, d), ["page_id", "update_date"], [F.col("doc_id")])
+# Several notes of an account may have one date; the least doc_id settles it.
 
 
 def _pick_sql(order: str) -> str:
     return f"""SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (
-PARTITION BY page_id ORDER BY update_date {order}) AS rn FROM daily) WHERE rn = 1"""
+PARTITION BY page_id ORDER BY update_date {order}, doc_id) AS rn FROM notes) WHERE rn = 1"""
 
 
-@check("latest_row", _NOTES + _DAILY_NOTES + _pick_sql("DESC"))
+@check("latest_row", _NOTES + _pick_sql("DESC"))
 def latest_row(spark, d):
-    return ideas.one_row_per_page(_daily_notes(spark, d), "update_date", "latest")
+    return ideas.one_row_per_page(t.notes(spark, d), "update_date", "latest", ["doc_id"])
 
 
-@check("oldest_row", _NOTES + _DAILY_NOTES + _pick_sql("ASC"))
+@check("oldest_row", _NOTES + _pick_sql("ASC"))
 def oldest_row(spark, d):
-    return ideas.one_row_per_page(_daily_notes(spark, d), "update_date", "oldest")
+    return ideas.one_row_per_page(t.notes(spark, d), "update_date", "oldest", ["doc_id"])
 
 
 _PIECES = r"""list_filter(list_transform(string_split({0}, '{1}'),
 lambda x: regexp_replace(regexp_replace(x, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '')), lambda x: x <> '')"""
 
 
-@check("latest_summary", _NOTES + _DAILY_NOTES + f"""SELECT page_id, update_date AS date, coalesce(b[1], '') AS bullet_1,
+@check("latest_summary", _NOTES + f"""SELECT page_id, update_date AS date, coalesce(b[1], '') AS bullet_1,
 coalesce(b[2], '') AS bullet_2 FROM (SELECT *, {_PIECES.format("'•' || replace(text, chr(10), '•')", '•')} AS b
 FROM ({_pick_sql('DESC')}))""")
 def latest_summary(spark, d):
-    rows = _daily_notes(spark, d).select(
-        "page_id", F.col("update_date").alias("date"),
+    rows = t.notes(spark, d).select(
+        "page_id", "doc_id", F.col("update_date").alias("date"),
         F.concat(F.lit("•"), F.replace("text", F.lit("\n"), F.lit("•"))).alias("summary"),
     )
-    return ideas.latest_summary(rows)
+    return ideas.latest_summary(rows, ["doc_id"])
 
 
 @check("bullets", f"""SELECT doc_id, coalesce(b[1], '') AS first, coalesce(b[2], '') AS second, CAST(len(b) AS INTEGER) AS pieces
@@ -141,7 +135,7 @@ def next_slot_overall(spark, d):
 
 # --- context and prompts --------------------------------------------------------------
 
-_CONTEXT = t.with_sql("ideas", "notes") + _DAILY_NOTES + f""", pages AS (SELECT c_custkey AS page_id, c_name AS strategy,
+_CONTEXT = t.with_sql("ideas", "notes") + f""", pages AS (SELECT c_custkey AS page_id, c_name AS strategy,
   CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS user_context FROM customer),
 lists AS (SELECT page_id, string_agg(CAST(rn AS VARCHAR) || '. ' || post_summary, chr(10) ORDER BY rn) AS past_ideas
   FROM ({_RANKED}) WHERE rn <= 5 GROUP BY 1),
@@ -157,11 +151,11 @@ def _context(spark, d):
         F.col("c_custkey").alias("page_id"), F.col("c_name").alias("strategy"),
         F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("user_context"),
     )
-    dated = _daily_notes(spark, d)
-    inspiration = dated.select("page_id", "update_date", F.col("lang").alias("post_structure"), F.col("text").alias("post_ideas"))
-    concepts = dated.select("page_id", "update_date", F.col("lang").alias("past_ideas"))
-    insights = dated.select("page_id", "update_date", F.col("text").alias("notes"))
-    return ideas.account_context(pages, t.ideas(spark, d), inspiration, concepts, insights)
+    dated = t.notes(spark, d)
+    inspiration = dated.select("page_id", "doc_id", "update_date", F.col("lang").alias("post_structure"), F.col("text").alias("post_ideas"))
+    concepts = dated.select("page_id", "doc_id", "update_date", F.col("lang").alias("past_ideas"))
+    insights = dated.select("page_id", "doc_id", "update_date", F.col("text").alias("notes"))
+    return ideas.account_context(pages, t.ideas(spark, d), inspiration, concepts, insights, ties=["doc_id"])
 
 
 @check("account_context", _CONTEXT + "SELECT * FROM context")
@@ -308,24 +302,19 @@ def media_semi(spark, d):
 
 @check("media_gallery", t.with_sql("listing", "notes") + r"""SELECT video_id, lang, text, public_url FROM (
 SELECT CAST(doc_id AS VARCHAR) AS video_id, lang, text FROM notes) JOIN (
-SELECT regexp_replace(name, '\.[^.]*$', '') AS video_id, arg_max(url, name || url) AS public_url FROM listing GROUP BY 1)
+SELECT regexp_replace(name, '\.[^.]*$', '') AS video_id, first(url ORDER BY name DESC, url DESC) AS public_url FROM listing GROUP BY 1)
 USING (video_id)""")
 def media_gallery(spark, d):
     clips = t.notes(spark, d).select(F.col("doc_id").cast("string").alias("video_id"), "lang", "text")
-    return media.gallery(clips, _distinct_names(spark, d, F.max("url")))
-
-
-def _distinct_names(spark, d, url):
-    """A folder holds a name once; the stand-in repeats names, so one url is kept."""
-    return t.listing(spark, d).groupBy("name").agg(url.alias("url"))
+    return media.gallery(clips, t.listing(spark, d))
 
 
 @check("media_link", t.with_sql("posts", "listing") + r"""SELECT post_id, video_url FROM posts LEFT JOIN (
 SELECT CASE WHEN contains(name, '.') THEN regexp_replace(name, '\.[^.]*$', '') ELSE '' END AS stem,
-  arg_min(url, name || url) AS video_url FROM listing GROUP BY 1) ON post_id = stem""")
+  first(url ORDER BY name, url) AS video_url FROM listing GROUP BY 1) ON post_id = stem""")
 def media_link(spark, d):
     posts = t.posts(spark, d).select("post_id")
-    return media.post_media(posts, _distinct_names(spark, d, F.min("url")))
+    return media.post_media(posts, t.listing(spark, d))
 
 
 @check("file_names", _LISTING + r"""SELECT file_no, regexp_replace(name, '\.[^.]*$', '') AS stem,

@@ -105,6 +105,18 @@ def kpis(spark, d):
     return kpi.with_differences(kpi.period_kpis(t.posts(spark, d), t.account_daily(spark, d), t.AS_OF))
 
 
+def _accounts(spark, d):
+    """Every customer is an account, with or without rows elsewhere."""
+    return t.table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"))
+
+
+@check("period_kpis_all_accounts", t.with_sql("account") + f""", k AS ({_KPIS}), accounts AS (SELECT c_custkey AS page_id FROM customer)
+SELECT page_id, {', '.join(f"coalesce({side}_{m}, 0) AS {side}_{m}" for side in ('cur', 'prev') for m, _ in KPI_LABELS)}
+FROM accounts LEFT JOIN k USING (page_id)""")
+def period_kpis_all_accounts(spark, d):
+    return kpi.period_kpis(t.posts(spark, d), t.account_daily(spark, d), t.AS_OF, accounts=_accounts(spark, d))
+
+
 @check("period_kpis", t.with_sql("account") + _KPIS)
 def period_kpis(spark, d):
     return kpi.period_kpis(t.posts(spark, d), t.account_daily(spark, d), t.AS_OF)
@@ -168,6 +180,14 @@ def alltime_kpis(spark, d):
     return kpi.alltime_kpis(t.posts(spark, d), t.account_daily(spark, d))
 
 
+@check("alltime_kpis_all_accounts", _ALLTIME + """, accounts AS (SELECT c_custkey AS page_id FROM customer)
+SELECT page_id, CASE WHEN k.page_id IS NULL THEN 0 ELSE total_followers END AS total_followers, coalesce(total_posts, 0) AS total_posts,
+  CASE WHEN k.page_id IS NULL THEN 0 ELSE avg_reach END AS avg_reach, CASE WHEN k.page_id IS NULL THEN 0 ELSE avg_likes END AS avg_likes
+FROM accounts LEFT JOIN k USING (page_id)""")
+def alltime_kpis_all_accounts(spark, d):
+    return kpi.alltime_kpis(t.posts(spark, d), t.account_daily(spark, d), _accounts(spark, d))
+
+
 @check("alltime_scorecards", _ALLTIME + f"""SELECT page_id, {grouped('total_followers')} AS followers,
 {grouped('total_posts')} AS posts, {fixed2('avg_reach')} AS avg_reach, {fixed2('avg_likes', False)} AS avg_likes FROM k""")
 def alltime_scorecards(spark, d):
@@ -269,8 +289,9 @@ def breakdown_list(spark, d):
 _ADS = t.with_sql("ads") + """, totals AS (
 SELECT page_id, spend, reach, clicks / 5.0::DOUBLE AS boosted_follows,
   CASE WHEN clicks <> 0 THEN spend / (clicks / 5.0::DOUBLE) END AS cost_per_follow FROM (
-  SELECT page_id, CAST(sum(CAST(spend AS DECIMAL(18, 2))) AS DOUBLE) AS spend, CAST(sum(reach) AS BIGINT) AS reach,
-    CAST(sum(clicks) AS BIGINT) AS clicks FROM ads WHERE contains(lower(ad_name), 'ring') GROUP BY 1)) """
+  SELECT page_id, CAST(coalesce(sum(CAST(spend AS DECIMAL(28, 9))) FILTER (hit), 0) AS DOUBLE) AS spend,
+    CAST(coalesce(sum(reach) FILTER (hit), 0) AS BIGINT) AS reach, CAST(coalesce(sum(clicks) FILTER (hit), 0) AS BIGINT) AS clicks
+  FROM (SELECT *, contains(lower(ad_name), 'ring') AS hit FROM ads) GROUP BY 1)) """
 
 
 @check("ad_totals", _ADS + "SELECT * FROM totals")
@@ -278,6 +299,13 @@ def ad_totals(spark, d):
     return audience.ad_totals(t.ads(spark, d), "RING")
 
 
+@check("ad_totals_all_accounts", _ADS + """, accounts AS (SELECT c_custkey AS page_id FROM customer)
+SELECT page_id, coalesce(spend, 0) AS spend, coalesce(reach, 0) AS reach, coalesce(boosted_follows, 0) AS boosted_follows,
+  cost_per_follow FROM accounts LEFT JOIN totals USING (page_id)""")
+def ad_totals_all_accounts(spark, d):
+    return audience.ad_totals(t.ads(spark, d), "RING", accounts=_accounts(spark, d))
+
+
 @check("ad_scorecards", _ADS + f"""SELECT page_id, '$' || {plain('spend')} AS ad_spend, {grouped('reach')} AS reach,
 {plain('boosted_follows')} AS boosted_follows, '$' || {fixed2('cost_per_follow')} AS cost_per_follow FROM totals""")
 def ad_scorecards(spark, d):

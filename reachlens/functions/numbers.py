@@ -83,5 +83,5 @@ def to_number(x: Column) -> Column:
 
 
 def money(x: Column) -> Column:
-    """Exact two-decimal amount, so that sums do not depend on row order."""
-    return x.cast("decimal(18,2)")
+    """Exact amount of up to nine decimals, so that sums do not depend on row order."""
+    return x.cast("decimal(28,9)")

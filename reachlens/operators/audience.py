@@ -10,6 +10,7 @@ from reachlens.fixed_values import CLICKS_PER_FOLLOW
 from reachlens.functions.numbers import float_ratio, money
 from reachlens.functions.text import contains_ignoring_case, currency_sql, plain_number_sql, thousands_sql
 from reachlens.operators.common import left_join_unique
+from reachlens.operators.kpi import for_accounts
 
 
 def followers_by_value(demographics: DataFrame, breakdown: str | None = None) -> DataFrame:
@@ -41,14 +42,19 @@ def breakdown_list(demographics: DataFrame) -> DataFrame:
     return demographics.select("page_id", "breakdown").distinct()
 
 
-def ad_totals(ads: DataFrame, name_contains: str = "Post", by: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Spend, reach, follows bought and their price over the ads whose name matches."""
-    chosen = ads.filter(contains_ignoring_case(F.col("ad_name"), name_contains))
-    totals = chosen.groupBy(*by).agg(
-        F.coalesce(F.sum(money(F.col("spend"))).cast("double"), F.lit(0.0)).alias("spend"),
-        F.coalesce(F.sum("reach"), F.lit(0)).alias("reach"),
-        F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"),
-    )
+def ad_totals(
+    ads: DataFrame, name_contains: str = "Post", by: Sequence[str] = ("page_id",), accounts: DataFrame | None = None,
+) -> DataFrame:
+    """Spend, reach, follows bought and their price over the ads whose name matches.
+
+    A group none of whose ads match shows zeros and no price, and so does an account that
+    has no ads at all but is among ``accounts``.
+    """
+    def total(column, value):
+        return F.sum(F.when(contains_ignoring_case(F.col("ad_name"), name_contains), value)).alias(column)
+
+    sums = ads.groupBy(*by).agg(total("spend", money(F.col("spend"))), total("reach", F.col("reach")), total("clicks", F.col("clicks")))
+    totals = for_accounts(sums, accounts).withColumn("spend", F.col("spend").cast("double")).na.fill(0, ["spend", "reach", "clicks"])
     follows = F.col("clicks") / F.lit(float(CLICKS_PER_FOLLOW))
     return totals.select(
         *by, "spend", "reach", follows.alias("boosted_follows"),

@@ -31,6 +31,13 @@ def row_digest(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
 
 
+def tie_order(df: DataFrame, ties: Sequence[str] = ()) -> list[Column]:
+    """Order among rows that are equal in what a pick goes by: the named columns, nulls
+    first, then a digest of all columns of ``df``. Which columns the caller goes on with
+    plays no part, so any choice of columns comes from the same row."""
+    return [*[F.col(c).asc_nulls_first() for c in ties], row_digest(df)]
+
+
 def left_join_unique(
     left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
 ) -> DataFrame:

@@ -32,20 +32,26 @@ def with_timing(posts: DataFrame) -> DataFrame:
     })
 
 
-def current_analysis(analysis: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def current_analysis(
+    analysis: DataFrame, columns: Sequence[str] | None = None, ties: Sequence[str] = ()
+) -> DataFrame:
     """One analysis per video, the newest, with all or only the named columns.
 
-    Equally new ones are told apart by a digest of the columns asked for, so that a
-    few narrow columns can be had without reading the long texts.
+    An analysis repeats the time of its post, so equally new ones are the rule; ``ties``
+    settles them (as in :func:`tie_order`) whatever columns are asked for. The digest is
+    taken while scanning, so long texts that are not asked for are never shuffled.
     """
-    if columns is not None:
-        analysis = analysis.select(*dict.fromkeys(["video_id", "created_time", *columns]))
-    order = [F.col("created_time").desc_nulls_last(), row_digest(analysis)]
-    return first_rows(analysis.filter(F.col("video_id").isNotNull()), ["video_id"], order)
+    kept = analysis.columns if columns is None else list(dict.fromkeys(["video_id", "created_time", *columns]))
+    marked = analysis.filter(F.col("video_id").isNotNull()).select(
+        *kept, *[F.col(c).alias(f"_tie_{c}") for c in ties], row_digest(analysis).alias("_digest")
+    )
+    order = [F.col("created_time").desc_nulls_last(), *[F.col(f"_tie_{c}").asc_nulls_first() for c in ties], F.col("_digest")]
+    return first_rows(marked, ["video_id"], order).select(*kept)
 
 
 def join_analysis(
-    posts: DataFrame, analysis: DataFrame, columns: Sequence[str] | None = None, repeats: str = "newest"
+    posts: DataFrame, analysis: DataFrame, columns: Sequence[str] | None = None, repeats: str = "newest",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Posts LEFT JOIN analysis on post_id = video_id, with all or the named columns.
 
@@ -55,7 +61,7 @@ def join_analysis(
     if repeats not in ("newest", "all"):
         raise ValueError("repeats must be 'newest' or 'all'")
     if repeats == "newest":
-        side = current_analysis(analysis, columns)
+        side = current_analysis(analysis, columns, ties)
     else:
         side = analysis if columns is None else analysis.select("video_id", *columns)
     dropped = set(posts.columns) | set(_POST_SIDE)
@@ -116,7 +122,7 @@ def mean_by(
 
 def mean_by_attribute(
     posts: DataFrame, analysis: DataFrame, key: str,
-    metrics: Sequence[str] = ENGAGEMENT_METRICS, by: Sequence[str] = (),
+    metrics: Sequence[str] = ENGAGEMENT_METRICS, by: Sequence[str] = (), ties: Sequence[str] = (),
 ) -> DataFrame:
     """Mean post metrics per analysis attribute, adding up before joining.
 
@@ -126,7 +132,7 @@ def mean_by_attribute(
     """
     sums = [F.sum(m).alias(f"_s_{m}") for m in metrics] + [F.count(m).alias(f"_n_{m}") for m in metrics]
     per_post = posts.filter(F.col("post_id").isNotNull()).groupBy(*by, "post_id").agg(*sums)
-    side = current_analysis(analysis, [key]).filter(F.col(key).isNotNull())
+    side = current_analysis(analysis, [key], ties).filter(F.col(key).isNotNull())
     side = side.select(F.col("video_id").alias("_video"), F.col(key))
     joined = per_post.join(side, F.col("post_id") == F.col("_video"))
     return joined.groupBy(*by, key).agg(*[

@@ -11,7 +11,7 @@ from reachlens.functions.dates import AsOf, as_date, iso_date
 from reachlens.functions.text import (
     bullets, comma_list, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list, stored_list,
 )
-from reachlens.operators.common import first_rows, left_join_unique, row_digest
+from reachlens.operators.common import first_rows, left_join_unique, row_digest, tie_order
 
 # --- lookups -------------------------------------------------------------------------
 
@@ -23,18 +23,21 @@ def idea_schedule(ideas: DataFrame) -> DataFrame:
     ).orderBy("page_id", "date", "caption")
 
 
-def one_row_per_page(df: DataFrame, dated_by: str, pick: str = "oldest") -> DataFrame:
-    """The oldest or latest row of each account, undated rows counting as oldest."""
+def one_row_per_page(
+    df: DataFrame, dated_by: str, pick: str = "oldest", ties: Sequence[str] = ()
+) -> DataFrame:
+    """The oldest or latest row of each account, undated rows counting as oldest. Rows of
+    one day are settled by ``ties`` (see :func:`tie_order`)."""
     if pick not in ("oldest", "latest"):
         raise ValueError("pick must be 'oldest' or 'latest'")
     day = F.col(dated_by)
     order = day.asc_nulls_first() if pick == "oldest" else day.desc_nulls_last()
-    return first_rows(df, ["page_id"], [order, row_digest(df)])
+    return first_rows(df, ["page_id"], [order, *tie_order(df, ties)])
 
 
-def latest_summary(summaries: DataFrame) -> DataFrame:
+def latest_summary(summaries: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """Newest summary of each account as its first two bullets."""
-    newest = one_row_per_page(summaries, "date", "latest")
+    newest = one_row_per_page(summaries, "date", "latest", ties)
     pieces = newest.select("page_id", "date", bullets(F.col("summary")).alias("_pieces"))
     return pieces.select(
         "page_id", "date", piece_at(F.col("_pieces"), 0).alias("bullet_1"), piece_at(F.col("_pieces"), 1).alias("bullet_2")
@@ -103,22 +106,23 @@ def next_slot_overall(ideas: DataFrame, as_of: AsOf, gap: int = fv.SLOT_GAP_DAYS
 
 def account_context(
     pages: DataFrame, ideas: DataFrame, inspiration: DataFrame, past_concepts: DataFrame,
-    insights: DataFrame, pick: str = "oldest",
+    insights: DataFrame, pick: str = "oldest", ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Four lookups per account on one row, each with its text for "nothing found"."""
+    """Four lookups per account on one row, each with its text for "nothing found".
+    ``ties`` are columns that all three dated frames have."""
     structure, inspired = shown(F.col("post_structure")), shown(F.col("post_ideas"))
     parts = (
         ("past_ideas", numbered_ideas(ideas), F.col("past_ideas"), fv.NO_PAST_POSTS),
         (
-            "inspiration", one_row_per_page(inspiration, "update_date", pick),
+            "inspiration", one_row_per_page(inspiration, "update_date", pick, ties),
             F.concat(F.lit("Post structure: "), structure, F.lit(". Post ideas: "), inspired, F.lit(".")),
             fv.NO_INSPIRATION,
         ),
         (
-            "past_concepts", one_row_per_page(past_concepts, "update_date", pick),
+            "past_concepts", one_row_per_page(past_concepts, "update_date", pick, ties),
             shown(F.col("past_ideas")), fv.NO_PAST_CONCEPTS,
         ),
-        ("insights", one_row_per_page(insights, "update_date", pick), shown(F.col("notes")), fv.NO_INSIGHTS),
+        ("insights", one_row_per_page(insights, "update_date", pick, ties), shown(F.col("notes")), fv.NO_INSIGHTS),
     )
     context = pages
     for name, rows, text, missing in parts:

@@ -46,12 +46,13 @@ def _windows(as_of: AsOf, n: int, mode: str) -> tuple[list[str], list[str]]:
 
 def period_kpis(
     posts: DataFrame, account_daily: DataFrame, as_of: AsOf,
-    frame_days: int = KPI_FRAME_DAYS, mode: str = "reference",
+    frame_days: int = KPI_FRAME_DAYS, mode: str = "reference", accounts: DataFrame | None = None,
 ) -> DataFrame:
     """Current and previous period of each account on one row: ``cur_*`` and ``prev_*``.
 
     One conditional aggregation per table; both meet on page_id after they have
-    shrunk to a row per account. Accounts with rows in neither window are not listed.
+    shrunk to a row per account. With ``accounts`` each of its page_ids has a row, idle
+    ones zeros; without, accounts with rows in neither window are not listed.
     """
     in_posts, in_account = _windows(as_of, frame_days, mode)
     totals = []
@@ -65,13 +66,20 @@ def period_kpis(
     ]
     per_page = _grouped(posts.filter(" OR ".join(in_posts)), totals)
     gained = _grouped(account_daily.filter(" OR ".join(in_account)).dropDuplicates(), gains)
-    both = per_page.join(gained, "page_id", "full")
+    both = for_accounts(per_page.join(gained, "page_id", "full"), accounts)
     both = both.na.fill(0, [c for c in both.columns if c != "page_id"])
     return both.selectExpr("page_id", *[
         f"{_value(side, name)} AS {side}_{name}" for side in SIDES for name in METRICS
     ])
 
 
+def for_accounts(figures: DataFrame, accounts: DataFrame | None) -> DataFrame:
+    """A row for each ``page_id`` of ``accounts``, whether or not it has figures."""
+    if accounts is None:
+        return figures
+    return accounts.select("page_id").distinct().join(figures, "page_id", "left")
+
+
 def _grouped(rows: DataFrame, figures: list[str]) -> DataFrame:
     return rows.groupBy("page_id").agg(*[F.expr(figure) for figure in figures])
 
@@ -137,10 +145,11 @@ def period_scorecards(kpis_with_differences: DataFrame) -> DataFrame:
     return kpis_with_differences.selectExpr("page_id", *columns)
 
 
-def alltime_kpis(posts: DataFrame, account_daily: DataFrame) -> DataFrame:
+def alltime_kpis(posts: DataFrame, account_daily: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """Followers on the newest account day, number of posts, mean reach and likes.
 
-    An account without posts, or without account days, shows 0 for those figures.
+    An account without posts, or without account days, shows 0 for those figures; one
+    without either is listed if it is among ``accounts``.
     """
     followers = _grouped(one_per_day(account_daily, "total_followers"), [
         "max_by(total_followers, date) AS total_followers", "true AS _tracked",
@@ -149,7 +158,7 @@ def alltime_kpis(posts: DataFrame, account_daily: DataFrame) -> DataFrame:
         "count(*) AS total_posts", "try_divide(sum(reach), count(reach)) AS avg_reach",
         "try_divide(sum(like_count), count(like_count)) AS avg_likes", "true AS _posted",
     ])
-    return per_page.join(followers, "page_id", "full").selectExpr(
+    return for_accounts(per_page.join(followers, "page_id", "full"), accounts).selectExpr(
         "page_id", "CASE WHEN _tracked THEN total_followers ELSE 0 END AS total_followers",
         "coalesce(total_posts, 0) AS total_posts", "CASE WHEN _posted THEN avg_reach ELSE 0D END AS avg_reach",
         "CASE WHEN _posted THEN avg_likes ELSE 0D END AS avg_likes",

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from reachlens.functions.dates import AsOf, as_date
 from reachlens.functions.files import major_type, renamed, stem_or_empty, stem_or_name
-from reachlens.operators.common import first_rows, left_join_unique, row_digest
+from reachlens.operators.common import first_rows, left_join_unique, tie_order
 
 
 def files_by_stem(listing: DataFrame) -> DataFrame:
-    """One url per file stem; of files sharing a stem the last listed one counts."""
+    """One url per file stem; of files sharing a stem the one with the last name, then url."""
     stem = stem_or_name(F.col("name")).alias("video_id")
-    return listing.groupBy(stem).agg(F.max_by("url", "name").alias("public_url"))
+    return listing.groupBy(stem).agg(F.max(F.struct("name", "url"))["url"].alias("public_url"))
 
 
 def listed_analyses(analysis: DataFrame, listing: DataFrame) -> DataFrame:
@@ -21,19 +23,20 @@ def listed_analyses(analysis: DataFrame, listing: DataFrame) -> DataFrame:
     return analysis.join(stems, "video_id", "left_semi")
 
 
-def gallery(analysis: DataFrame, listing: DataFrame) -> DataFrame:
-    """Each analysed clip with the url of its file, one row per clip."""
-    per_clip = first_rows(analysis.filter(F.col("video_id").isNotNull()), ["video_id"], [row_digest(analysis)])
+def gallery(analysis: DataFrame, listing: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
+    """Each analysed clip with the url of its file, one row per clip: the first by ``ties``
+    (see :func:`tie_order`)."""
+    per_clip = first_rows(analysis.filter(F.col("video_id").isNotNull()), ["video_id"], tie_order(analysis, ties))
     return per_clip.join(files_by_stem(listing), "video_id")
 
 
 def post_media(posts: DataFrame, listing: DataFrame) -> DataFrame:
-    """Posts with the url of the first listed file named after the post, else null.
+    """Posts with the url of the file named after the post (first name, then url), else null.
 
     The listing is read once and joined, however many posts there are.
     """
     stem = stem_or_empty(F.col("name")).alias("_stem")
-    first_file = listing.groupBy(stem).agg(F.min_by("url", "name").alias("video_url"))
+    first_file = listing.groupBy(stem).agg(F.min(F.struct("name", "url"))["url"].alias("video_url"))
     return left_join_unique(posts, first_file, [("post_id", "_stem")])
 
 
