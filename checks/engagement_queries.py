@@ -180,7 +180,7 @@ def mean_complete_rows(spark, d):
 
 @check("mean_by_theme_desc", _SOLD_PARTS + _mean_sql("main_theme", _SOLD_JOIN, False))
 def mean_by_theme_desc(spark, d):
-    means = engagement.mean_by_attribute(t.sold_posts(spark, d), t.part_analysis(spark, d), "main_theme", ["reach"])
+    means = engagement.mean_by_attribute(t.sold_posts(spark, d), t.part_analysis(spark, d), "main_theme", ["reach"], ties=["shot_count"])
     return engagement.ordered_means(means, "mean_reach", ascending=False)
 
 

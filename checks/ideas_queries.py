@@ -214,12 +214,12 @@ def json_reply_parse(spark, d):
 
 @check("reply_ideas", _PARSED.replace("object->>", "checked->>") + f""", ideas AS ({t.SQL['ideas']}),
 slots AS (SELECT page_id, max(CAST(date AS DATE)) + 3 AS next_date FROM ideas GROUP BY 1)
-SELECT page_id, strftime(next_date, '%Y-%m-%d') AS date, post_summary, caption, post_type,
+SELECT page_id, strftime(coalesce(next_date, DATE '2024-01-31' + 3), '%Y-%m-%d') AS date, post_summary, caption, post_type,
 replace(themes, '","', '", "') AS themes, tone, 'ChatGPT' AS source
 FROM parsed LEFT JOIN slots USING (page_id)""")
 def reply_ideas(spark, d):
     slots = ideas.next_slots(t.ideas(spark, d), t.AS_OF)
-    return ideas.reply_ideas(t.replies(spark, d), slots)
+    return ideas.reply_ideas(t.replies(spark, d), slots, t.AS_OF)
 
 
 @check("manual_ideas", _IDEAS + """SELECT page_id, date, post_summary, caption, post_type,
@@ -272,12 +272,36 @@ SELECT i.page_id, CASE WHEN u.page_id IS NULL THEN date ELSE '2024-01-31' END AS
   CASE WHEN u.page_id IS NULL THEN tone ELSE 'calm' END AS tone, source
 FROM ideas i LEFT JOIN updates u ON i.page_id = u.page_id AND i.caption = u.previous""")
 def ideas_update(spark, d):
-    updates = _deleted(spark, d).select(
+    return ideas.with_updates(t.ideas(spark, d), _updates(spark, d), t.AS_OF)
+
+
+def _updates(spark, d):
+    return _deleted(spark, d).select(
         "page_id", F.col("caption").alias("previous_caption"), F.lit("New").alias("post_summary"),
         F.concat(F.lit("Again: "), "caption").alias("caption"), F.lit("Reel").alias("post_type"),
         F.split(F.lit("x,y"), ",").alias("themes"), F.lit("calm").alias("tone"),
     )
-    return ideas.with_updates(t.ideas(spark, d), updates, t.AS_OF)
+
+
+def _stored_ideas(spark, d):
+    """The ideas as the newest version of a stored table, and its folder."""
+    root = new_path(spark, "postideas-versions")
+    sinks.write_version(t.ideas(spark, d), root)
+    return root, sinks.read_version(spark, root)
+
+
+@check("ideas_delete_stored", SQL["ideas_delete"])
+def ideas_delete_stored(spark, d):
+    root, stored = _stored_ideas(spark, d)
+    sinks.write_version(ideas.without_captions(stored, _deleted(spark, d)), root)
+    return sinks.read_version(spark, root)
+
+
+@check("ideas_update_stored", SQL["ideas_update"])
+def ideas_update_stored(spark, d):
+    root, stored = _stored_ideas(spark, d)
+    sinks.write_version(ideas.with_updates(stored, _updates(spark, d), t.AS_OF), root)
+    return sinks.read_version(spark, root)
 
 
 @check("ideas_append", _IDEAS + f"SELECT {_COLUMNS} FROM ideas UNION ALL SELECT {_COLUMNS} FROM ideas")

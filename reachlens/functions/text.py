@@ -81,9 +81,30 @@ def _json_list(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
 
 
-def stored_list(text: Column) -> Column:
-    """A JSON array text in the layout kept at rest; other text as it is."""
-    return F.coalesce(list_to_json(_json_list(text)), text)
+def spaced_json(text: Column, ascii_only: bool = True) -> Column:
+    """Compact JSON text as kept at rest: a blank after each comma and colon outside strings
+    and, with ``ascii_only``, other characters as ``\\uXXXX``."""
+    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'), F.lit(0))
+    spaced = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
+    if not ascii_only:
+        return spaced
+
+    def escaped(char: Column) -> Column:
+        code = F.ascii(char)
+        unit = lambda c: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(c), 4, "0")))
+        over = code - 0x10000
+        pair = F.concat(unit(F.floor(over / 0x400) + 0xD800), unit(over % 0x400 + 0xDC00))
+        return F.when(code < 0x80, char).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    every = F.array_join(F.transform(F.split(spaced, ""), escaped), "")
+    return F.when(spaced.rlike(r"[^\x00-\x7F]"), every).otherwise(spaced)
+
+
+def stored_value(value: str, text: Column, ascii_only: bool = True) -> Column:
+    """A parsed field as kept at rest: a list as JSON text with its items as they are; any
+    other value as the text it has. ``value`` is SQL for the field as a variant."""
+    is_list = F.startswith(F.expr(f"schema_of_variant({value})"), F.lit("ARRAY"))
+    return F.when(is_list, spaced_json(F.expr(f"to_json({value})"), ascii_only)).otherwise(text)
 
 
 def comma_list(text: Column) -> Column:
@@ -127,18 +148,25 @@ def signed_percent_sql(x: str) -> str:
 def plain_number_sql(x: str) -> str:
     """Shortest text that reads back as the same double, with grouped thousands.
 
-    Java may print one digit more than needed, so 15 and 16 digits are tried first.
-    Good for 0 and for sizes from 0.0001 up to 10^16, where no exponent is printed.
+    Below 0.0001 and from 10^16 on it has an exponent. Java may print one digit more than
+    needed, so 15 and 16 digits are tried first, 16 both rounded and cut.
     """
-    shortest = "format_string('%.16e', v)"
-    for digits in (15, 14):
-        shorter = f"format_string('%.{digits}e', v)"
+    longest = "format_string('%.16e', v)"
+    shortest = longest
+    for shorter in (f"regexp_replace({longest}, '[0-9]e', 'e')", "format_string('%.15e', v)", "format_string('%.14e', v)"):
         shortest = f"CASE WHEN CAST({shorter} AS DOUBLE) = v THEN {shorter} ELSE {shortest} END"
-    digits = let_sql(f"CAST({x} AS DOUBLE)", f"CAST(CAST({shortest} AS DECIMAL(38, 20)) AS STRING)")
-    fraction = "regexp_replace(split_part(v, '.', 2), '0+$', '')"
-    whole = "format_string('%,d', CAST(split_part(ltrim('-', v), '.', 1) AS BIGINT))"
-    grouped = f"concat(regexp_extract(v, '^-', 0), {whole}, '.', CASE WHEN {fraction} = '' THEN '0' ELSE {fraction} END)"
-    return f"CASE WHEN {x} = 0 THEN '0.0' WHEN {x} IS NOT NULL THEN {let_sql(digits, grouped)} END"
+    printed = let_sql(f"CAST({x} AS DOUBLE)", shortest)
+    parts = let_sql(printed, """named_struct(
+        'sign', regexp_extract(v, '^-', 0), 'e', CAST(split_part(v, 'e', 2) AS INT),
+        'd', regexp_replace(replace(ltrim('-', split_part(v, 'e', 1)), '.', ''), '(?<=.)0+$', ''))""")
+    scientific = """concat(left(v.d, 1), if(length(v.d) > 1, concat('.', substring(v.d, 2)), ''),
+        'e', if(v.e < 0, '-', '+'), lpad(CAST(abs(v.e) AS STRING), greatest(2, length(CAST(abs(v.e) AS STRING))), '0'))"""
+    small = "concat('0.', repeat('0', -v.e - 1), v.d)"
+    large = """concat(format_string('%,d', CAST(rpad(left(v.d, v.e + 1), v.e + 1, '0') AS BIGINT)),
+        '.', if(length(v.d) > v.e + 1, substring(v.d, v.e + 2), '0'))"""
+    shown = f"concat(v.sign, CASE WHEN v.e < -4 OR v.e > 15 THEN {scientific} WHEN v.e < 0 THEN {small} ELSE {large} END)"
+    return f"""CASE WHEN isnan({x}) THEN 'nan' WHEN abs({x}) = double('Infinity') THEN if({x} > 0, 'inf', '-inf')
+        WHEN {x} = 0 THEN '0.0' WHEN {x} IS NOT NULL THEN {let_sql(parts, shown)} END"""
 
 
 def sign_class_sql(diff: str) -> str:
@@ -161,6 +189,13 @@ _REPLY_TYPE = T.StructType([
 ])
 
 
+def is_json_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: the lenient reader of the fields
+    would also take single quotes and skip whatever follows the value."""
+    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    return F.coalesce(F.try_parse_json(text).isNotNull() & alone, F.lit(False))
+
+
 def parsed_idea(reply: Column) -> Column:
     """The idea fields of a reply as a struct, with the text itself in a last field
     if it is not a JSON object. Array values keep their JSON text, as stored."""

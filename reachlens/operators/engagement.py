@@ -33,25 +33,27 @@ def with_timing(posts: DataFrame) -> DataFrame:
 
 
 def current_analysis(
-    analysis: DataFrame, columns: Sequence[str] | None = None, ties: Sequence[str] = ()
+    analysis: DataFrame, columns: Sequence[str] | None = None, ties: Sequence[str] | None = None
 ) -> DataFrame:
     """One analysis per video, the newest, with all or only the named columns.
 
-    An analysis repeats the time of its post, so equally new ones are the rule; ``ties``
-    settles them (as in :func:`tie_order`) whatever columns are asked for. The digest is
-    taken while scanning, so long texts that are not asked for are never shuffled.
+    An analysis repeats the time of its post, so equally new ones are the rule. What
+    settles them does not depend on the columns asked for: by default a digest of all
+    columns, taken while scanning, so that long texts are read but never shuffled. Named
+    ``ties`` (ascending, nulls first; a load time, say) spare the read; they must tell the
+    analyses of a video apart, and rows equal in them count as one analysis.
     """
     kept = analysis.columns if columns is None else list(dict.fromkeys(["video_id", "created_time", *columns]))
-    marked = analysis.filter(F.col("video_id").isNotNull()).select(
-        *kept, *[F.col(c).alias(f"_tie_{c}") for c in ties], row_digest(analysis).alias("_digest")
-    )
-    order = [F.col("created_time").desc_nulls_last(), *[F.col(f"_tie_{c}").asc_nulls_first() for c in ties], F.col("_digest")]
+    settled = [row_digest(analysis)] if ties is None else [F.col(c) for c in ties]
+    named = [f"_tie_{i}" for i in range(len(settled))]
+    marked = analysis.filter(F.col("video_id").isNotNull()).select(*kept, *[c.alias(n) for c, n in zip(settled, named)])
+    order = [F.col("created_time").desc_nulls_last(), *[F.col(n).asc_nulls_first() for n in named]]
     return first_rows(marked, ["video_id"], order).select(*kept)
 
 
 def join_analysis(
     posts: DataFrame, analysis: DataFrame, columns: Sequence[str] | None = None, repeats: str = "newest",
-    ties: Sequence[str] = (),
+    ties: Sequence[str] | None = None,
 ) -> DataFrame:
     """Posts LEFT JOIN analysis on post_id = video_id, with all or the named columns.
 
@@ -122,7 +124,7 @@ def mean_by(
 
 def mean_by_attribute(
     posts: DataFrame, analysis: DataFrame, key: str,
-    metrics: Sequence[str] = ENGAGEMENT_METRICS, by: Sequence[str] = (), ties: Sequence[str] = (),
+    metrics: Sequence[str] = ENGAGEMENT_METRICS, by: Sequence[str] = (), ties: Sequence[str] | None = None,
 ) -> DataFrame:
     """Mean post metrics per analysis attribute, adding up before joining.
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from reachlens import fixed_values as fv
 from reachlens.functions.dates import AsOf, as_date, iso_date
 from reachlens.functions.text import (
-    bullets, comma_list, fill, is_filled, join_list, list_to_json, parsed_idea, piece_at, split_list, stored_list,
+    bullets, comma_list, fill, is_filled, is_json_value, join_list, json_object_text, list_to_json, parsed_idea, piece_at,
+    split_list, stored_value,
 )
 from reachlens.operators.common import first_rows, left_join_unique, row_digest, tie_order
 
@@ -176,15 +177,27 @@ def parsed_replies(replies: DataFrame) -> DataFrame:
     """
     others = [c for c in replies.columns if c != "reply"]
     candidates = replies.filter(F.contains("reply", F.lit("{")))
-    fields = candidates.select(*others, F.inline(F.array(parsed_idea(F.col("reply")))))
+    strict = candidates.filter(is_json_value(json_object_text(F.col("reply"))))
+    fields = strict.select(*others, F.inline(F.array(parsed_idea(F.col("reply")))))
     return fields.filter("_unreadable IS NULL").drop("_unreadable")
 
 
-def reply_ideas(replies: DataFrame, slots: DataFrame, source: str = fv.GENERATED_SOURCE) -> DataFrame:
-    """Parsed replies as idea rows on the next free day of their account."""
-    dated = left_join_unique(parsed_replies(replies), slots, [("page_id", "page_id")])
-    fields = [stored_list(F.col(name)).alias(name) for name in fv.IDEA_FIELDS]
-    return dated.select("page_id", iso_date(F.col("next_date")).alias("date"), *fields, F.lit(source).alias("source"))
+def reply_ideas(
+    replies: DataFrame, slots: DataFrame, as_of: AsOf, source: str = fv.GENERATED_SOURCE, ascii_only: bool = True,
+) -> DataFrame:
+    """Parsed replies as idea rows on the next free day of their account; an account without
+    ideas, and so without a slot, gets the day a gap after ``as_of``.
+
+    Lists are kept as JSON text with the types of their items; a text that merely looks like
+    a list stays as it is.
+    """
+    valued = replies.withColumn("_value", F.try_parse_json(json_object_text(F.col("reply"))))
+    parsed = parsed_replies(valued)
+    fields = [stored_value(f"try_variant_get(_value, '$.{c}')", F.col(c), ascii_only).alias(c) for c in fv.IDEA_FIELDS]
+    rows = parsed.select("page_id", *fields)
+    dated = left_join_unique(rows, slots.select("page_id", "next_date"), [("page_id", "page_id")])
+    day = F.coalesce("next_date", F.date_add(as_date(as_of), fv.SLOT_GAP_DAYS))
+    return dated.select("page_id", iso_date(day).alias("date"), *fv.IDEA_FIELDS, F.lit(source).alias("source"))
 
 
 def manual_ideas(entries: DataFrame, source: str = fv.MANUAL_SOURCE) -> DataFrame:

@@ -143,7 +143,7 @@ def scheduler(tables: Tables, pages: DataFrame, as_of: AsOf, user_context: str |
     if "tweaks" in tables:
         frames["tweak_prompts"] = ideas.tweak_prompts(planned, tables["tweaks"])
     if "model_replies" in tables:
-        frames["new_ideas"] = ideas.reply_ideas(tables["model_replies"], slots)
+        frames["new_ideas"] = ideas.reply_ideas(tables["model_replies"], slots, as_of)
     return frames
 
 

@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachlens.fixed_values import PUBLIC_URL_BASE
-from reachlens.functions.files import base_name, public_url
+from reachlens.functions.files import public_url
 
 
 def list_media(
     spark: SparkSession, folder: str, bucket: str, base: str = PUBLIC_URL_BASE
 ) -> DataFrame:
-    """name, url and length of every file; the bytes are never read."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    name = base_name(F.col("path"))
-    return files.select(name.alias("name"), public_url(bucket, name, base).alias("url"), "length")
+    """name, url and length of every object, sub-folders and hidden-looking names included.
+
+    A name is the object's path below ``folder``. The file system is asked for its objects
+    one by one and no file is opened; this is for folders whose listing a driver can hold. A
+    larger bucket has an inventory that is stored as a table (``media_listing`` in
+    ``sources.schemas``), which every function that takes a listing reads as well.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = files.resolvePath(path).toUri().getPath().rstrip("/") + "/"
+    rows, found = [], files.listFiles(path, True)
+    while found.hasNext():
+        status = found.next()
+        rows.append((status.getPath().toUri().getPath().removeprefix(root), status.getLen()))
+    listed = spark.createDataFrame(rows, "name string, length long")
+    return listed.select("name", public_url(bucket, F.col("name"), base).alias("url"), "length")

@@ -33,8 +33,8 @@ def write_snapshot(posts: DataFrame, path: str) -> None:
     posts.hint("rebalance", "insert_date").write.mode("append").partitionBy("insert_date").parquet(path)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished versions; unfinished ones lack the success mark."""
+def _versions(spark: SparkSession, root: str, finished: bool = True) -> list[int]:
+    """Numbers of the finished versions, or of all; unfinished ones lack the success mark."""
     jvm = spark._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -43,9 +43,9 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     found = []
     for status in fs.listStatus(base):
         name = status.getPath().getName()
-        if name.startswith(_VERSION) and fs.exists(
+        if name.startswith(_VERSION) and (not finished or fs.exists(
             jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        ):
+        )):
             found.append(int(name[len(_VERSION):]))
     return sorted(found)
 
@@ -54,13 +54,14 @@ def write_version(df: DataFrame, root: str) -> str:
     """Store ``df`` as the next version of the table under ``root``.
 
     Deletes and updates rewrite into a new folder and never over the files being
-    read; readers keep the previous version until the write has succeeded. One
-    writer at a time.
+    read; readers keep the previous version until the write has succeeded. A second
+    writer that chose the same number fails and leaves the first one's files alone; a
+    number that an unfinished write left behind is not used again.
     """
     spark = df.sparkSession
-    done = _versions(spark, root)
-    path = f"{root}/{_VERSION}{(done[-1] + 1) if done else 1:06d}"
-    df.write.mode("overwrite").parquet(path)
+    taken = _versions(spark, root, finished=False)
+    path = f"{root}/{_VERSION}{(taken[-1] + 1) if taken else 1:06d}"
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 

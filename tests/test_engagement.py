@@ -154,3 +154,14 @@ def test_ads(spark):
     assert overall.spend == 35.3
     card = by_key(audience.ad_scorecards(audience.ad_totals(spark.createDataFrame(rows, schemas.ADS))), "page_id")[A]
     assert (card.ad_spend, card.reach, card.boosted_follows, card.cost_per_follow) == ("$30.3", "150", "5.0", "$6.06")
+
+
+def test_any_choice_of_columns_comes_from_the_same_analysis(spark):
+    rnd = random.Random(3)
+    rows = [(str(v), "2024-01-01", rnd.choice("abc"), rnd.choice("xyz"), rnd.randint(1, 3)) for v in range(40) for _ in range(4)]
+    frame = spark.createDataFrame(rows, "video_id string, created_time string, main_theme string, main_focus string, loaded int")
+    for ties in (None, ["loaded", "main_theme", "main_focus"]):
+        whole = {r.video_id: r for r in engagement.current_analysis(frame, ties=ties).collect()}
+        for columns in (["main_theme"], ["main_focus"], ["loaded", "main_focus"]):
+            for r in engagement.current_analysis(frame.repartition(3), columns, ties).collect():
+                assert all(r[c] == whole[r.video_id][c] for c in columns)

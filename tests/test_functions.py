@@ -34,6 +34,10 @@ def test_display_formats_equal_python(values):
     xs = _samples(1000) + [(0.1 + rng.random()) * 10 ** rng.randint(-3, 9) for _ in range(1000)]
     assert values(xs, "double", text.two_decimals_sql("x")) == [f"{x:,.2f}".replace("-0.00", "-0.00") for x in xs]
     assert values(xs, "double", text.plain_number_sql("x")) == [f"{x:,}" for x in xs]
+    rnd = random.Random(1)
+    wide = [rnd.uniform(-10, 10) * 10.0 ** e for e in range(-12, 21) for _ in range(4)]
+    wide += [10.0 ** e for e in range(-12, 21)] + [5e-05, 0.0001, 9999999999999998.0, 1e100, 1e-300, float("inf"), -float("inf"), float("nan")]
+    assert values(wide, "double", text.plain_number_sql("x")) == [f"{x:,}" for x in wide]
     assert values([0.0, 1234.5], "double", text.two_decimals_sql("x", grouped=False)) == ["0.00", "1234.50"]
     assert values([5, 1234567, -1234], "bigint", text.thousands_sql("x")) == ["5", "1,234,567", "-1,234"]
     assert values([12.5, -3.0, 0.0, None], "double", text.signed_percent_sql("x")) == ["+12.50%", "-3.00%", "+0.00%", None]
@@ -73,7 +77,7 @@ def test_ratios_and_means(spark):
 
 def test_to_number_and_money(values):
     assert values(["1.5", "x", None, "7"], "string", lambda X: numbers.to_number(X)) == [1.5, None, None, 7.0]
-    assert [str(v) for v in values([1.005, 2.5], "double", lambda X: numbers.money(X))] == ["1.01", "2.50"]
+    assert [str(v) for v in values([1.005, 2.5], "double", lambda X: numbers.money(X))] == ["1.005000000", "2.500000000"]
 
 
 # --- dates --------------------------------------------------------------------------

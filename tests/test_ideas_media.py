@@ -92,9 +92,28 @@ def test_replies(spark, planned):
     frame = spark.createDataFrame(replies, schemas.MODEL_REPLIES)
     rows = sorted((r.page_id, r.caption) for r in ideas.parsed_replies(frame).collect())
     assert rows == [(A, "c"), (B, "only"), (C, "{braces}")]
-    made = by_key(ideas.reply_ideas(frame, ideas.next_slots(planned, AS_OF)), "page_id")
+    made = by_key(ideas.reply_ideas(frame, ideas.next_slots(planned, AS_OF), AS_OF), "page_id")
     assert made[A].themes == json.dumps(["a", "b"]) and made[A].date == "2024-03-10" and made[A].source == "ChatGPT"
-    assert made[B].post_summary is None and made[C].date is None
+    assert made[B].post_summary is None and made[C].date == "2024-03-18"
+
+
+def test_replies_are_read_as_strictly_as_json(spark):
+    texts = [
+        "{'caption': 'c'}", '{"caption":"a"} and {"caption":"b"}', '{"caption":"a"} {"caption":"b"}', '{"caption": "x",}',
+        '{"caption": "[1,2]", "themes": [1, 2.5, true, null], "tone": ["é, \\"ü\\": 😀", "b:c"]}', '{"themes": [{"x": [1, "a,b"]}, []], "caption": "[]"}',
+        '{"themes": [], "tone": "[", "caption": "plain é"}', 'before {"caption": 5} after',
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schemas.MODEL_REPLIES)
+    slots = spark.createDataFrame([], "page_id long, next_date date")
+    got = by_key(ideas.reply_ideas(frame, slots, AS_OF), "page_id")
+    for i, text in enumerate(texts):
+        try:
+            whole = json.loads(text[text.index("{"):text.rindex("}") + 1])
+        except json.JSONDecodeError:
+            assert i not in got, text
+            continue
+        for name, value in whole.items():
+            assert got[i][name] == (json.dumps(value) if isinstance(value, list) else str(value)), (text, name)
 
 
 def test_manual_ideas(spark):
