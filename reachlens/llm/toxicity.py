@@ -45,7 +45,7 @@ class Model:
 
 
 def fit(
-    rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_cols: int, l1: float = 1e-4, steps: int = 500,
+    rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_cols: int, l1: float = 1.5e-4, steps: int = 3000,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from a 0/1 matrix in coordinate form, by accelerated proximal
     gradient steps on the mean negative log likelihood of the cumulative-link model."""

@@ -86,7 +86,7 @@ def test_toxicity_on_held_out_documents(session, documents):
     rnd = random.Random(4)
     bad = ["grumf", "blarg", "snerk", "vlop", "drix", "quazz"]
     made, truth = [], {}
-    for i in range(600):
+    for i in range(1200):
         words = [w + str(rnd.randint(0, 9)) for w in prose(rnd, rnd.randint(20, 80)).split()]
         n = rnd.randint(1, 6) if i % 4 == 0 else 0
         for w in rnd.sample(bad, n):
@@ -94,16 +94,16 @@ def test_toxicity_on_held_out_documents(session, documents):
         made.append((i, " ".join(words)))
         truth[i] = n
     labels = session.createDataFrame(
-        [(i, int(truth[i] > 0), 1) for i in range(300)] + [(None, 1, 1), (5, None, 1), (10**6, 0, 1)], "doc_id long, toxic int, text int")
-    docs = documents(made + [(1000, None), (1001, ""), (None, "grumf " * 5000), (7, made[7][1])])
+        [(i, int(truth[i] > 0), 1) for i in range(900)] + [(None, 1, 1), (5, None, 1), (10**6, 0, 1)], "doc_id long, toxic int, text int")
+    docs = documents(made + [(2000, None), (2001, ""), (None, "grumf " * 5000), (7, made[7][1])])
     model = toxicity.trained(docs, labels)
     got = toxicity.scored(docs, model).collect()
-    assert len(got) == 604
-    held_out = [r for r in got if r.doc_id is not None and 300 <= r.doc_id < 600]
+    assert len(got) == 1204
+    held_out = [r for r in got if r.doc_id is not None and 900 <= r.doc_id < 1200]
     assert sum(r.toxic == (truth[r.doc_id] > 0) for r in held_out) >= 0.95 * len(held_out)
     by_count = [np.mean([r.severity for r in held_out if low <= truth[r.doc_id] <= high]) for low, high in ((0, 0), (1, 1), (2, 4), (5, 6))]
     assert by_count == sorted(by_count) and by_count[0] < 0.3 and by_count[-1] > 2
-    assert all(r.severity < 0.5 for r in got if r.doc_id in (1000, 1001))
+    assert all(r.severity < 0.5 for r in got if r.doc_id in (2000, 2001))
     again = toxicity.trained(docs.repartition(5), labels)
     assert again.weights.keys() == model.weights.keys() and np.allclose(again.thresholds, model.thresholds)
     assert list(model.thresholds) == sorted(model.thresholds)
@@ -242,8 +242,8 @@ def test_suffix_array_against_sorted_suffixes():
             assert right.tolist() == [i for i, w in windows(b) if w in {x for _, x in windows(a)}]
 
 
-@pytest.mark.parametrize("shard_bytes", [4 << 20, 3000])
-def test_suffix_dedup_against_brute_force(documents, rows, shard_bytes):
+@pytest.mark.parametrize("block_bytes", [4 << 20, 3000])
+def test_suffix_dedup_against_brute_force(documents, rows, block_bytes):
     rnd = random.Random(9)
     common = [prose(rnd, 60), "ü" + prose(rnd, 45), prose(rnd, 38)]
     made = []
@@ -256,7 +256,7 @@ def test_suffix_dedup_against_brute_force(documents, rows, shard_bytes):
         made.append((i, text))
     made += [(80, made[3][1]), (3, made[3][1]), (3, made[3][1]), (3, prose(rnd, 80)), (None, made[9][1]), (81, None), (82, ""), (83, "x" * 199)]
     made += [(84, "ab" * 300), (85, "y" * 200), (86, "z" * 201), (87, prose(rnd, 6000)), (88, "é" * 150), (89, "short")]
-    got = suffix_dedup.removed(documents(made), shard_bytes=shard_bytes)
+    got = suffix_dedup.removed(documents(made), shard_bytes=9000, block_bytes=block_bytes)
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert Counter(rows(got, *columns)) == Counter(removed_by_force(made, 200))
     assert suffix_dedup.removed(documents([])).count() == 0
