@@ -1,7 +1,8 @@
 """Each function returns the named frames one page shows, for every account at once.
 
-Nothing runs until a frame is used. ``tables`` maps the names of
-``sources.schemas.TABLES`` to frames.
+What several frames of a page share (period figures, posts joined with their analyses) is
+written once when the page is asked for; the rest runs when a frame is used. ``tables`` maps
+the names of ``sources.schemas.TABLES`` to frames.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ Frames = dict[str, DataFrame]
 
 
 def account_overview(tables: Tables, as_of: AsOf, metric: str = "total_followers") -> Frames:
-    """Cards, summary text, series, markers, calendar, demographics, ads."""
+    """Cards, summary text, series, markers, calendar, demographics, ads. With a table
+    ``accounts`` each of its accounts has figures, idle ones zeros."""
     posts = snapshot(tables["postdata"], as_of)
-    account = tables["accountdata"]
-    kpis = kpi.with_differences(kpi.period_kpis(posts, account, as_of))
-    alltime = kpi.alltime_kpis(posts, account)
+    account, accounts = tables["accountdata"], tables.get("accounts")
+    kpis = written(kpi.with_differences(kpi.period_kpis(posts, account, as_of, accounts=accounts)), "period-kpis")
+    alltime = kpi.alltime_kpis(posts, account, accounts)
     filled = series.fill_gaps(account, metric)
     frames = {
         "daily": series.daily_counts(posts, account, as_of),
@@ -42,7 +44,7 @@ def account_overview(tables: Tables, as_of: AsOf, metric: str = "total_followers
         "breakdowns": audience.breakdown_list(tables["demographicdata"]),
     }
     if "ads" in tables:
-        frames["ads"] = audience.ad_totals(tables["ads"])
+        frames["ads"] = audience.ad_totals(tables["ads"], accounts=accounts)
     if "summarytable" in tables:
         frames["insight_bullets"] = ideas.latest_summary(tables["summarytable"])
     if "postideas" in tables:
@@ -59,8 +61,11 @@ def analysed_posts(tables: Tables, as_of: AsOf) -> DataFrame:
 
 
 def posts_overview(tables: Tables, as_of: AsOf) -> Frames:
-    """Default view, time filters, rankings, cards, and media of the posts."""
-    joined = analysed_posts(tables, as_of)
+    """Default view, time filters, rankings, cards, and media of the posts.
+
+    All frames read one stored copy of the joined posts, so the join runs once.
+    """
+    joined = written(analysed_posts(tables, as_of), "posts-overview")
     frames = {
         "newest": engagement.newest_posts(joined),
         "last_30_days": engagement.recent(joined, as_of, "30d"),
