@@ -1,28 +1,30 @@
 """Encoding of whole texts with a tokenizer file, in Arrow batches.
 
-A byte-level BPE splits a text into pieces that are encoded independently, and a space that
-follows a visible character always opens a new piece. Texts are therefore cut at such
-spaces, the distinct chunks of a batch are encoded once, and a worker remembers chunks and
-pieces it has met; both memories are emptied at a fixed number of entries. The ids are those
-the tokenizer gives for the whole text.
+A byte-level BPE first splits a text into pieces (words with the space before them, numbers,
+runs of other signs, white space) and encodes each piece by itself. The split is computed
+here for a whole batch at once from the class of every character; the distinct pieces of the
+batch are then encoded once by the tokenizer, and a worker remembers the pieces it met last,
+a fixed number of them. The ids are those the tokenizer gives for the whole text. Texts with
+characters whose class depends on the Unicode version, or with a string that the tokenizer
+treats apart, are handed to it whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# How the byte-level pre-tokenizer splits, and the string it treats apart.
-PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The contractions that the byte-level split keeps as pieces.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
-_REMEMBERED = 400_000
-_BATCH_BYTES = 4 << 20
-_CUT = re.compile(r"(?<=\S) ")
+_SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
+_REMEMBERED = 250_000
+_BATCH_BYTES = 3 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -33,74 +35,106 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _character_classes() -> np.ndarray:
+    """Class of every code point; unsure where an old and the present Unicode disagree."""
+    old, out = unicodedata.ucd_3_2_0, np.full(0x110000, _UNSURE, np.uint8)
+    for code in range(0x30000):
+        char = chr(code)
+        kind = unicodedata.category(char)
+        if kind != old.category(char) or kind in ("Cn", "Cs"):
+            continue
+        out[code] = _LETTER if kind[0] == "L" else _NUMBER if kind[0] == "N" else _OTHER
+        if kind[0] == "Z":
+            out[code] = _SPACE
+    out[list(range(9, 14)) + [0x85]] = _SPACE
+    out[list(range(0x1C, 0x20)) + [0x180E, 0x200B]] = _UNSURE
+    return out
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._pieces = regex.compile(PIECES).findall
-        self._known: dict[str, bytes] = {}
-        self._known_pieces: dict[str, bytes] = {}
+        self._class = _character_classes()
+        self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks not met before. Plain ones are put together from pieces; the rest,
-        whose letters another Unicode version might class differently, go in whole."""
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
+
+    def _table(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pieces end to end, and where each begins."""
         if len(self._known) > _REMEMBERED:
-            self._known.clear()
-        if len(self._known_pieces) > _REMEMBERED:
-            self._known_pieces.clear()
-        plain = [c for c in chunks if c and max(c) < "ɐ" and not any(s in c for s in self._special)]
-        parts = {c: self._pieces(c) for c in plain}
-        new = list({p for split in parts.values() for p in split if p not in self._known_pieces})
-        whole = [c for c in chunks if c not in parts]
-        encoded = self._tokenizer.encode_batch_fast(new + whole, add_special_tokens=False)
-        ids = [np.array(e.ids, np.uint32).tobytes() for e in encoded]
-        self._known_pieces.update(zip(new, ids))
-        self._known.update(zip(whole, ids[len(new):]))
-        for chunk, split in parts.items():
-            self._known[chunk] = b"".join([self._known_pieces[p] for p in split])
-
-    def _table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks end to end, and where each begins."""
-        missing = [c for c in chunks if c not in self._known]
-        if missing:
-            self._learn(missing)
-            if lost := [c for c in chunks if c not in self._known]:  # the memory was emptied
-                self._learn(lost)
-        found = [self._known[c] for c in chunks]
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        found = [known.get(p) or older.get(p) for p in pieces]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, self._ids([pieces[i].decode() for i in missing])):
+            found[i] = ids
+        known.update(zip(pieces, found))
         bounds = np.zeros(len(found) + 1, np.int64)
         np.cumsum([len(b) // 4 for b in found], out=bounds[1:])
         return np.frombuffer(b"".join(found), np.uint32), bounds
 
+    def _cuts(self, code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where pieces begin. ``first`` marks the first character of each text."""
+        space = kind == _SPACE
+        last = np.append(first[1:], True)
+        cut = first.copy()
+        # A change of class begins a piece, except after a plain space, which joins what follows.
+        cut[1:] |= (kind[1:] != kind[:-1]) & (code[:-1] != 0x20)
+        # Of several white spaces before something visible, the last stands apart.
+        cut[1:] |= space[1:] & space[:-1] & ~last[1:] & ~np.append(space[2:], True)
+        for at in np.flatnonzero(code == 0x27):
+            # Only where a piece begins at the apostrophe can it open a contraction.
+            if not cut[at]:
+                continue
+            for short in CONTRACTIONS:
+                end = at + len(short)
+                if end <= len(code) and not first[at + 1:end].any() and all(code[at + i] == ord(c) for i, c in enumerate(short)):
+                    cut[at + 1:end] = False
+                    if end < len(code):
+                        cut[end] = True
+                    break
+        return np.flatnonzero(cut)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (a null is empty), and the bounds of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        pieces = pc.split_pattern(texts, " ")
-        odd = pc.match_substring_regex(texts, r"[\s\p{Z}\x{85}\x{1c}-\x{1f}] ")
-        if pc.any(odd).as_py():  # white space before a space: cut with a look behind instead
-            lists = pieces.to_pylist()
-            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-                lists[i] = _CUT.split(texts[i].as_py())
-            pieces = pa.array(lists, pa.large_list(pa.large_string()))
-        offsets = np.asarray(pieces.offsets, np.int64)
-        flat = pieces.flatten()
-        offsets = offsets - offsets[0]
-        coded = flat.dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        # The first chunk of a text has no space in front.
-        first = offsets[:-1]
-        opening, place = np.unique(index[first], return_inverse=True)
-        index[first] = len(words) + place
-        pool, bounds = self._table([" " + w for w in words] + [words[i] for i in opening])
+        joined = "".join(texts.to_pylist())
+        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        length = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        start, offset = np.cumsum(length) - length, np.cumsum(size) - size
+        kind = self._class[code]
+        owner_end = np.cumsum(np.append(0, kind == _UNSURE))
+        whole = owner_end[start + length] > owner_end[start]
+        for special in self._special:
+            if special in joined:
+                whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        first = np.zeros(len(code), bool)
+        first[start[length > 0]] = True
+        begins = self._cuts(code, kind, first) if len(code) else np.zeros(0, np.int64)
+        if whole.any():  # such texts are one piece each
+            inside = np.repeat(whole, length)[begins]
+            begins = begins[~inside | first[begins]]
+        width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
+        byte_at = np.cumsum(width, dtype=np.int64) - width
+        offsets = np.append(byte_at[begins], size.sum())
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
+        coded = pieces.dictionary_encode()
+        index = coded.indices.to_numpy()
+        pool, bounds = self._table(coded.dictionary.to_pylist())
         lengths = np.diff(bounds)[index]
         ends = np.cumsum(lengths)
-        shift = np.repeat(bounds[index] - (ends - lengths), lengths)
-        ids = pool[shift + np.arange(len(shift))]
-        return ids, np.concatenate([[0], ends])[offsets]
+        ids = pool[np.repeat(bounds[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bound_at = np.searchsorted(offsets[:-1], np.append(offset, size.sum()))
+        return ids, np.append(0, ends)[bound_at]
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
