@@ -38,6 +38,7 @@ from reachlens.sources.shared import written
 
 LENGTH = 200
 _GRAM = 50
+_SIGNS = 7
 _BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -100,36 +101,50 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tupl
 
 def suffix_array(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix array over the parts end to end, each closed by a sentinel of its own; with it
-    the rank of every place, and the text as small numbers (sentinels are below all bytes)."""
-    n_parts = len(parts)
-    text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + n_parts
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    text[ends] = np.arange(n_parts)
-    n = len(text)
-    # Ranks are the place of the last of their group, so that splitting a group keeps others.
-    order = np.argsort(text, kind="stable")
-    same = np.concatenate([text[order][1:] == text[order][:-1], [False]])
+    the rank of every place, and the text as small numbers (sentinels are below all bytes).
+
+    The first order is by seven signs at once. A rank is the place of the last of its group,
+    so that splitting a group leaves the others as they are.
+    """
+    sign = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 1
+    n = len(sign)
+    size = np.array([len(p) + 1 for p in parts])
+    ends = np.cumsum(size) - 1
+    sign[ends] = 0
+    left = np.repeat(ends, size) - np.arange(n)  # signs before the sentinel
+    first = sign.copy()
+    for k in range(1, min(_SIGNS, n)):
+        first <<= 9
+        first[:n - k] |= np.where(left[:n - k] >= k, sign[k:], 0)
+    order = np.argsort(first)
+    short = np.flatnonzero(left[order] < _SIGNS)
+    order[short] = order[short][np.lexsort((order[short], first[order[short]]))]
+    ordered = first[order]
+    same = np.append((ordered[1:] == ordered[:-1]) & (left[order[:-1]] >= _SIGNS), False)
     rank = np.empty(n, np.int64)
     last = np.flatnonzero(~same)
-    rank[order] = last[np.searchsorted(last, np.arange(n))]
-    h = 1
+    rank[order] = np.repeat(last, np.diff(last, prepend=-1))
+    h = _SIGNS
     while True:
-        loose = np.flatnonzero(same | np.concatenate([[False], same[:-1]]))
+        loose = np.flatnonzero(same | np.append(False, same[:-1]))
         if not len(loose):
-            return order, rank, text
+            break
         at = order[loose]
-        ahead = rank[np.minimum(at + h, n - 1)]
-        by = np.lexsort((ahead, rank[at]))
-        order[loose] = at[by]
-        group, key = rank[at][by], ahead[by]
-        equal = np.concatenate([(group[1:] == group[:-1]) & (key[1:] == key[:-1]), [False]])
+        key = rank[at] << 32 | rank[np.minimum(at + h, n - 1)]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[loose] = at
+        equal = np.append(key[1:] == key[:-1], False)
         same[loose] = equal
         last = np.flatnonzero(~equal)
-        rank[order[loose]] = loose[last[np.searchsorted(last, np.arange(len(loose)))]]
+        rank[at] = np.repeat(loose[last], np.diff(last, prepend=-1))
         h *= 2
+    text = sign + len(parts)
+    text[ends] = np.arange(len(parts))
+    return order, rank, text
 
 
-def common_prefixes(order: np.ndarray, rank: np.ndarray, text: np.ndarray) -> np.ndarray:
+def common_prefixes(order: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For every place its common prefix with the suffix before it in the suffix array.
 
     Kasai's rule says the value falls by at most one from a place to the next, and by exactly
@@ -160,8 +175,8 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, text: np.ndarray) -> np
 def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
     """Places in the parts end to end (a sentinel after each) whose next ``length`` bytes
     also start at another place."""
-    order, rank, text = suffix_array(parts)
-    prefix = common_prefixes(order, rank, text)
+    order, _, text = suffix_array(parts)
+    prefix = common_prefixes(order, text)
     long = prefix >= length
     after = np.zeros(len(order), bool)
     after[order[:-1]] = long[order[1:]]
@@ -222,13 +237,13 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate([[0], breaks + 1])], places[np.concatenate([breaks, [len(places) - 1]])]
 
 
-def _in_shards(fetched: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def _in_shards(fetched: DataFrame, length: int, shard_bytes: int, block_bytes: int) -> DataFrame:
     """``minimizer, digest, low, high``: runs of repeated windows inside different segments,
     from rows ``minimizer, digest, bytes``."""
     sizes = fetched.groupBy("minimizer").agg(F.sum(F.length("bytes")).alias("size"))
     total = written(sizes, "shard-sizes")
     n_shards = max(1, ceil((total.agg(F.sum("size")).first()[0] or 0) / shard_bytes))
-    rows = fetched.join(total, "minimizer").withColumn("n", F.ceil(F.col("size") / shard_bytes).cast("int"))
+    rows = fetched.join(total, "minimizer").withColumn("n", F.ceil(F.col("size") / block_bytes).cast("int"))
     # A minimizer that fits goes to a shard with others; a crowded one to pairs of its blocks.
     rows = rows.withColumn("blk", F.expr("CAST(pmod(xxhash64(digest), n) AS INT)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     rows = rows.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
@@ -270,10 +285,11 @@ def _in_shards(fetched: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 
 
 def removed(
-    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, length: int = LENGTH, shard_bytes: int = 512 << 10, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and the
-    removed ``spans`` as an array of (start, end)."""
+    removed ``spans`` as an array of (start, end). Minimizers share shards of ``shard_bytes``;
+    one with more than ``block_bytes`` is cut into blocks."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")) \
         .select("doc_id", F.xxhash64("text").alias("th"), "text")
     stored = written(_all_segments(texts, length), "segments")
@@ -296,7 +312,7 @@ def removed(
             f"transform(cuts, c -> struct(c.minimizer, c.digest, substring(text, CAST(c.first AS INT) + 1, CAST(c.windows AS INT) + {length - 1}) AS bytes))"
         )).alias("c")).select("c.*").dropDuplicates(["minimizer", "digest"])
     )
-    runs = _in_shards(written(fetched, "fetched"), length, shard_bytes)
+    runs = _in_shards(written(fetched, "fetched"), length, shard_bytes, block_bytes)
     whole = distinct.filter("n > 1").select("minimizer", "digest", F.lit(0).cast("long").alias("low"), (F.col("at.windows") - 1).alias("high"))
     found = mixed.select("doc_id", "th", "first", "minimizer", "digest").join(runs.unionByName(whole), ["minimizer", "digest"])
     spans = found.selectExpr("doc_id", "th", "first + low AS a", f"first + high + {length} AS b").unionByName(
