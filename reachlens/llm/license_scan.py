@@ -1,14 +1,15 @@
 """Licence scan: a positional index of rare template words, aligned and verified per file.
 
-Templates are short licence notices with the key phrases they must contain. The index maps a
-template word to its postings (template, position). A file's highest-IDF licence words are
-looked up; every occurrence votes for the places a template would have to begin for the word
-to stand where the posting says (the intersection of postings by relative position). At the
-places with votes the mandatory phrases must stand word by word; the score is the IDF mass
-of the template words found in place. Inverse document frequencies are counted over all
+Templates are short licence notices with the key phrases they must contain. Of each template
+the highest-IDF word of its key phrases is indexed, with its posting (template, position). A
+match must hold that word, so every occurrence in a file gives the place the template would
+have to begin for the word to stand where the posting says, and no match begins anywhere
+else. At these places the mandatory phrases must stand word by word; the score is the IDF
+mass of the template words found in place. Inverse document frequencies are counted over all
 documents, for the words of the templates only, so they are few whatever the corpus.
 
-A file without the rarest word of any key phrase can match nothing and is left at once.
+A file without any indexed word can match nothing and is left at once. No file is too full of
+notices: all occurrences of all indexed words are aligned.
 
 Defined results: a null text is empty (no words, no labels, score 0); repeated rows and ids
 are scanned row by row; an empty table gives an empty result; other columns are not read.
@@ -80,28 +81,26 @@ def document_frequencies(docs: DataFrame, templates: Sequence[Template] = TEMPLA
 
 
 class Index:
-    """Templates as word lists, postings, IDF, and the words without which nothing matches."""
+    """Templates as word lists, IDF, and the postings of the words without which nothing matches."""
 
-    def __init__(self, templates: Sequence[Template], n_docs: int, frequency: dict[bytes, int], looked_up: int):
-        self.looked_up = looked_up
+    def __init__(self, templates: Sequence[Template], n_docs: int, frequency: dict[bytes, int]):
         self.labels = [t.label for t in templates]
         self.words = [words_of(t.text.encode()) for t in templates]
         self.idf = {w: log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for ws in self.words for w in ws}
         self.mass = [sum(self.idf[w] for w in ws) for ws in self.words]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.phrases: list[list[tuple[int, list[bytes]]]] = []
-        keys = set()
         for i, t in enumerate(templates):
-            for p, w in enumerate(self.words[i]):
-                self.postings[w].append((i, p))
             placed = []
             for phrase in t.phrases:
                 parts = words_of(phrase.encode())
                 at = next(p for p in range(len(self.words[i])) if self.words[i][p:p + len(parts)] == parts)
                 placed.append((at, parts))
-                keys.add(max(parts, key=lambda w: (self.idf[w], w)))
             self.phrases.append(placed)
-        self.postings, self.keys = dict(self.postings), frozenset(keys)
+            key, p = max(((w, at + k) for at, parts in placed for k, w in enumerate(parts)), key=lambda x: (self.idf[x[0]], x))
+            self.postings[key].append((i, p))
+        self.postings = dict(sorted(self.postings.items(), key=lambda x: (-self.idf[x[0]], x[0])))
+        self.keys = frozenset(self.postings)
 
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the templates found, each with its best score."""
@@ -109,12 +108,10 @@ class Index:
             return {}
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
-            if w in self.postings:
+            if w in self.keys:
                 places[w].append(i)
-        rare = sorted(places, key=lambda w: (-self.idf[w], w))[:self.looked_up]
-        starts = {(t, i - p) for w in rare for i in places[w] for t, p in self.postings[w]}
         found: dict[str, float] = {}
-        for t, start in starts:
+        for t, start in ((t, i - p) for w in self.postings if w in places for t, p in self.postings[w] for i in places[w]):
             if all(start + at >= 0 and words[start + at:start + at + len(parts)] == parts for at, parts in self.phrases[t]):
                 held = sum(self.idf[w] for p, w in enumerate(self.words[t]) if 0 <= start + p < len(words) and words[start + p] == w)
                 found[self.labels[t]] = max(found.get(self.labels[t], 0.0), min(1.0, held / self.mass[t]))
@@ -135,10 +132,10 @@ def base_places(words: list[bytes]) -> tuple[list[int], set[str]]:
 
 
 def scanned(
-    docs: DataFrame, templates: Sequence[Template] = TEMPLATES, looked_up: int = 12, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: words, places of base phrases, labels and score."""
-    index = Index(templates, *document_frequencies(docs, templates, text_col), looked_up)
+    index = Index(templates, *document_frequencies(docs, templates, text_col))
     schema = ("doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, "
               "labels string, score double")
     names = [c.split()[0] for c in schema.split(", ")]

@@ -1,5 +1,7 @@
 """Quality rules, licence scan, URL filters."""
 
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -87,6 +89,33 @@ def test_licence_templates(documents, rows, text, labels, score):
     assert got[1] == labels and 0 <= got[2] <= 1 and (score is None or got[2] == score)
 
 
+def licences_by_force(words, idf):
+    """Best score of each label, with every template tried at every place."""
+    best = {}
+    for t in license_scan.TEMPLATES:
+        own = t.text.split()
+        for start in range(-len(own), len(words)):
+            there = [words[start + p] if 0 <= start + p < len(words) else None for p in range(len(own))]
+            if all(any(there[p:p + len(q)] == q == own[p:p + len(q)] for p in range(len(own))) for q in (x.split() for x in t.phrases)):
+                score = sum(idf(w) for w, x in zip(own, there) if w == x) / sum(map(idf, own))
+                best[t.label] = max(best.get(t.label, 0.0), min(1.0, score))
+    return best
+
+
+def test_licence_files_of_many_notices(documents, rows):
+    notices = [t.text for t in license_scan.TEMPLATES[len(license_scan.BASE):]]
+    files = [" ".join(c) for k in (1, 2, 3, 4) for c in itertools.combinations(notices, k)]
+    files += [" ".join(notices), " ".join(notices[::-1]), " x ".join(t.phrases[0] for t in license_scan.TEMPLATES)]
+    docs = [f.split() for f in files]
+    frequency = Counter(w for d in docs for w in set(d))
+    got = rows(license_scan.scanned(documents([*enumerate(files)])), "doc_id", "labels", "score")
+    assert [i for i, _, _ in got] == list(range(len(files)))
+    for (_, labels, score), words in zip(got, docs):
+        best = licences_by_force(words, lambda w: math.log((len(docs) + 1) / (frequency[w] + 1)) + 1e-6)
+        assert labels == ",".join(sorted(best)) and score == pytest.approx(max(best.values()))
+    assert set(got[-3][1].split(",")) == {t.label for t in license_scan.TEMPLATES} - {"reserved"}
+
+
 URLS = [
     "http://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://a.www.example.com/en/1", "http://example.com", "http://example.com/",
     "http://notexample.com/en/", "x.net/es/", "http://x.net/es/a", "http://net/fr/", "http://x.net/es", None, "", "://", "http:///p", "a://b://c.com/en/",
