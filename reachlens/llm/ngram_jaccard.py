@@ -257,7 +257,7 @@ def _exact(components_of: DataFrame, threshold: float, block: int, block_places:
             common = _intersections(sets)
             linked = bottom * common >= top * (size[:, None] + size[None, :] - common)
             np.fill_diagonal(linked, False)
-            if blk.min() != blk.max():  # two blocks: pairs inside one are counted elsewhere
+            if group.column("bi")[0] != group.column("bj")[0]:  # pairs inside a block, even the only one with rows, are counted elsewhere
                 linked &= blk[:, None] != blk[None, :]
             root = np.arange(len(rid))
             while True:

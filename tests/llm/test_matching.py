@@ -174,6 +174,19 @@ def test_jaccard_join_against_brute_force(documents, rows, copies, block, places
     assert Counter(rows(got, "doc_id", "class_id", "n_links")) == Counter(expected)
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_jaccard_of_few_long_texts_with_empty_blocks(documents, rows, n):
+    rnd = random.Random(12)
+    made = []
+    for g in range(8):  # more blocks than texts in each component, so some are empty whatever the hashes
+        text = prose(rnd, 400)
+        made += [(10 * g + i, f"{text} end{i}") for i in range(n)]
+    expected, _ = joined_by_force(made)
+    assert {links for _, _, links in expected} == {n - 1}
+    got = ngram_jaccard.classes(documents(made), block_places=100)
+    assert Counter(rows(got, "doc_id", "class_id", "n_links")) == Counter(expected)
+
+
 def test_jaccard_keeps_one_of_each_class(documents, copies):
     _, group = joined_by_force(copies)
     docs = documents(copies)
