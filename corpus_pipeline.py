@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachlens.llm import decontamination, mixing, ngram_jaccard, quality_rules, token_output
+from reachlens.operators.common import free_names
 from reachlens.session import on_workers
 from reachlens.sources.shared import new_path, written
 
@@ -32,10 +33,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, each as often as the mix takes it (not at all, once or twice)."""
-    extra = ("_members", "_size")
-    sized = docs.withColumn("_members", F.array("source")).withColumn("_size", F.expr(mixing.size_sql()))
-    mixed, _ = mixing.mixed(sized, *extra)
-    return mixing.repeated(mixed, "_size", docs.columns)
+    members, size, taken = free_names(docs.columns, "_members", "_size", "taken")
+    sized = docs.withColumn(members, F.array("source")).withColumn(size, F.expr(mixing.size_sql()))
+    mixed, _ = mixing.mixed(sized, members, size, taken_col=taken)
+    return mixing.repeated(mixed, size, docs.columns, taken)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

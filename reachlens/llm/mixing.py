@@ -27,6 +27,7 @@ from math import floor
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from reachlens.operators.common import free_names
 from reachlens.sources.shared import written
 
 # Fixed values of the mix: weights in turn, share of all words, repeats at most.
@@ -127,17 +128,23 @@ def _ordered(docs: DataFrame, members: str, seed: int, key: Sequence[str]) -> Da
 
 def mixed(
     docs: DataFrame, members: str, size: str, quota: dict | None = None, key: Sequence[str] = ("doc_id",), seed: int = 17,
-    weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, max_patterns: int = 100_000,
+    weights: Sequence[int] = WEIGHTS, share: Fraction = SHARE, epochs: int = EPOCHS, max_patterns: int = 100_000, taken_col: str = "taken",
 ) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``taken`` words per row, and a frame of ``source, source_size, target``.
+    """``docs`` with the words taken per row as ``taken_col``, and a frame of ``source, source_size, target``.
 
     ``members`` names an array column of sources a row may serve, ``size`` its words. Without
     a ``quota`` the targets follow from ``weights`` over the sizes of the sources; a word in
     several sources counts for each. Rows are never shuffled: patterns and cuts, one row per
-    pattern and so within ``max_patterns``, are broadcast to them.
+    pattern and so within ``max_patterns``, are broadcast to them. Columns of ``docs`` may have
+    any names but ``taken_col``: inside they go by their places.
     """
     spark = docs.sparkSession
-    ordered = _ordered(docs, members, seed, key)
+    if free_names(docs.columns, taken_col) != [taken_col]:
+        raise ValueError(f"the documents have a column {taken_col}")
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own = dict(zip(docs.columns, placed.columns))
+    members, size = own[members], own[size]
+    ordered = _ordered(placed, members, seed, [own[k] for k in key])
     buckets = written(ordered.groupBy("_p", "_b").agg(
         F.first(F.array_sort(members)).alias("_m"), F.sum(size).alias("_n")), "mix-buckets")
     patterns = buckets.groupBy("_p").agg(F.first("_m").alias("m"), F.sum("_n").alias("n")).limit(max_patterns + 1).collect()
@@ -172,14 +179,15 @@ def mixed(
         WHEN _o = _cut THEN {size} * _part DIV _cut_size ELSE 0 END""")
     result = (
         ordered.join(F.broadcast(plan), "_p").join(F.broadcast(cuts), "_p", "left")
-        .select(*docs.columns, F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+        .select(*[F.col(c).alias(name) for name, c in own.items()], F.coalesce(taken, F.lit(0)).cast("long").alias(taken_col))
     )
     figures = spark.createDataFrame(
         [(s, n, float(goal.get(s, 0))) for s, n in zip(sources, sizes)], "source string, source_size long, target double")
     return result, figures
 
 
-def repeated(mix: DataFrame, size: str, columns: Sequence[str]) -> DataFrame:
+def repeated(mix: DataFrame, size: str, columns: Sequence[str], taken_col: str = "taken") -> DataFrame:
     """Whole documents as often as taken: once per full size, once more from half a size on."""
-    copies = F.expr(f"CAST(floor(taken / nullif({size}, 0) + 0.5) AS INT)")
-    return mix.filter(copies > 0).select(*columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select(*columns)
+    copies = F.expr(f"CAST(floor(`{taken_col}` / nullif(`{size}`, 0) + 0.5) AS INT)")
+    (copy,) = free_names(columns, "_copy")
+    return mix.filter(copies > 0).select(*columns, F.explode(F.array_repeat(F.lit(0), copies)).alias(copy)).select(*columns)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reachlens.llm.graph import components, grouped
-from reachlens.operators.common import left_join_unique
+from reachlens.operators.common import free_names, left_join_unique
 from reachlens.sources.shared import written
 
 SHINGLE = 5
@@ -324,13 +324,12 @@ def kept_documents(
     id (a null id last), then the least text key. Documents without words all stay."""
     rows, texts = _labelled(docs, threshold, tolerance, block, block_places, id_col, text_col)
     chosen = texts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), "first_id", "t1", "t2")).alias("k"))
-    keys = [f"_k{i}" for i in range(3)]
-    while set(keys) & set(docs.columns):
-        keys = [k + "_" for k in keys]
-    chosen = chosen.select(F.col("k.first_id").alias("c0"), F.col("k.t1").alias("c1"), F.col("k.t2").alias("c2"))
+    names = free_names(docs.columns, "_k0", "_k1", "_k2", "_c0", "_c1", "_c2")
+    keys, of_class = names[:3], names[3:]
+    chosen = chosen.select(*[F.col(f"k.{k}").alias(c) for k, c in zip(("first_id", "t1", "t2"), of_class)])
     t1, t2 = _text_keys(text_col)
     keyed = docs.select("*", F.col(id_col).cast("long").alias(keys[0]), t1.alias(keys[1]), t2.alias(keys[2]))
     has_words = F.expr(f"coalesce(`{text_col}`, '') rlike r'[^\\x20\\x09-\\x0D]'")
-    same = F.col(keys[0]).eqNullSafe(F.col("c0")) & (F.col(keys[1]) == F.col("c1")) & (F.col(keys[2]) == F.col("c2"))
-    first = keyed.filter(has_words).join(chosen, same).drop("c0", "c1", "c2").dropDuplicates(keys)
+    same = F.col(keys[0]).eqNullSafe(F.col(of_class[0])) & (F.col(keys[1]) == F.col(of_class[1])) & (F.col(keys[2]) == F.col(of_class[2]))
+    first = keyed.filter(has_words).join(chosen, same).drop(*of_class).dropDuplicates(keys)
     return first.select(*docs.columns).unionByName(docs.filter(~has_words))

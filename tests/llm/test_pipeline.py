@@ -47,6 +47,20 @@ def test_stages_take_effect(session, folder):
     assert set(left["mix"]) <= clean and set(left["mix"].values()) <= {1, 2} and sum(left["mix"].values()) > 45
 
 
+def test_stages_hand_on_columns_of_any_name(session, folder, tmp_path):
+    names = ["taken", "_full", "_rest", "_left", "_Cut", "_part", "_cut_size", "_p", "_o", "_b", "_members", "_size", "_copy", "c0", "c1", "c2", "_k0", "_c1"]
+    docs = plain = session.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20 OR doc_id = 100")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = (corpus_pipeline.written(stage(session, x, folder), name) for x in (docs, plain))
+        assert docs.columns == columns
+        got = docs.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in plain.collect())
+    assert corpus_pipeline.STAGES[-1][1](session, docs, folder).count() == docs.count() > 0
+
+
 def test_pipeline_against_its_parts(session, folder):
     got = corpus_pipeline.run(session, folder).orderBy("start").collect()
     docs = session.read.parquet(f"{folder}/documents.parquet")
