@@ -28,10 +28,10 @@ _BLOCK = 1024
 def encoded_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """One row per document with its number of tokens."""
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        for batch in small_batches(batches):
-            _, bounds = encode(batch.column(0))
-            yield pa.record_batch([pa.array(bounds[1:] - bounds[:-1], pa.int64())], ["n_tokens"])
+        with encoder(tokenizer) as own:
+            for batch in small_batches(batches):
+                _, bounds = own.encode(batch.column(0))
+                yield pa.record_batch([pa.array(bounds[1:] - bounds[:-1], pa.int64())], ["n_tokens"])
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(lengths, "n_tokens long")
 

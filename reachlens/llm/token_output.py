@@ -42,17 +42,18 @@ LAYOUT = {
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id``, and write one file per range of ids."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start, own = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in small_batches(batches):
-            ids, bounds = own.encode(batch.column("text"))
-            rows = batch.num_rows
-            ended = np.insert(ids, bounds[1:], end_id).astype(np.int32)
-            bounds = bounds + np.arange(rows + 1)
-            yield pa.record_batch([
-                batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.full(rows, part, np.int32)), pa.array(start + bounds[:-1]),
-                pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ended)),
-            ], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
-            start += int(bounds[-1])
+        part, start = TaskContext.get().partitionId(), 0
+        with encoder(tokenizer) as own:
+            for batch in small_batches(batches):
+                ids, bounds = own.encode(batch.column("text"))
+                rows = batch.num_rows
+                ended = np.insert(ids, bounds[1:], end_id).astype(np.int32)
+                bounds = bounds + np.arange(rows + 1)
+                yield pa.record_batch([
+                    batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(np.full(rows, part, np.int32)), pa.array(start + bounds[:-1]),
+                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ended)),
+                ], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
+                start += int(bounds[-1])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]

@@ -1,19 +1,26 @@
 """Encoding of whole texts with a tokenizer file, in Arrow batches.
 
 A byte-level BPE first splits a text into pieces (words with the space before them, numbers,
-runs of other signs, white space) and encodes each piece by itself. The split is computed
-here for a whole batch at once from the class of every character; the distinct pieces of the
-batch are then encoded once by the tokenizer, and a worker remembers the pieces it met last,
-a fixed number of them. The ids are those the tokenizer gives for the whole text. Texts with
-characters whose class depends on the Unicode version, or with a string that the tokenizer
-treats apart, are handed to it whole.
+runs of other signs, white space) and encodes each piece by itself. :class:`Splitter` computes
+that split for a whole batch at once from the class of every character; :class:`Encoder` has
+the distinct pieces of the batch encoded once by the tokenizer and remembers pieces it met,
+up to a number of bytes, until its task ends. The ids are those the tokenizer gives for the
+whole text. Texts with characters whose class depends on the Unicode version, or with a string
+that the tokenizer treats apart, are handed to it whole; so is every text if the file is not
+of the plain byte-level kind (no normalizer, no added prefix, no post-processing).
+
+A text of more than a few megabytes is encoded in segments that end where a piece ends
+whatever stands around it: before white space that follows something visible, or between a
+letter and a sign. A text without such a place is one segment.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +30,9 @@ import pyarrow.compute as pc
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
-_REMEMBERED = 250_000
+_REMEMBERED_BYTES = 24 << 20
 _BATCH_BYTES = 3 << 20
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+_SEGMENT_CHARS = 1 << 20
 
 
 def _character_classes() -> np.ndarray:
@@ -51,34 +51,30 @@ def _character_classes() -> np.ndarray:
     return out
 
 
-class Encoder:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._class = _character_classes()
-        self._known: dict[bytes, bytes] = {}
-        self._older: dict[bytes, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in encoded]
+def is_plain(path: str) -> bool:
+    """Whether the file is a byte-level BPE whose split is the one computed here."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        not any(spec.get(part) for part in ("normalizer", "truncation", "padding"))
+        and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        and (spec.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel" and model.get("type") == "BPE"
+        and not any(model.get(part) for part in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+        and not any(t.get(part) for t in spec.get("added_tokens", ()) for part in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
 
-    def _table(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given pieces end to end, and where each begins."""
-        if len(self._known) > _REMEMBERED:
-            self._known, self._older = {}, self._known
-        known, older = self._known, self._older
-        found = [known.get(p) or older.get(p) for p in pieces]
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(missing, self._ids([pieces[i].decode() for i in missing])):
-            found[i] = ids
-        known.update(zip(pieces, found))
-        bounds = np.zeros(len(found) + 1, np.int64)
-        np.cumsum([len(b) // 4 for b in found], out=bounds[1:])
-        return np.frombuffer(b"".join(found), np.uint32), bounds
+
+class Splitter:
+    """Cuts the texts of a batch into pieces. ``special`` are strings treated apart."""
+
+    def __init__(self, special: Sequence[str] = (), plain: bool = True):
+        self._special, self._plain = list(special), plain
+        self._class = _character_classes()
 
     def _cuts(self, code: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pieces begin. ``first`` marks the first character of each text."""
@@ -102,39 +98,180 @@ class Encoder:
                     break
         return np.flatnonzero(cut)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (a null is empty), and the bounds of each text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        joined = "".join(texts.to_pylist())
-        code = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        length = pc.utf8_length(texts).to_numpy().astype(np.int64)
-        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+    def segments(self, text: str) -> list[str]:
+        """The text in parts of about a million characters whose pieces are its pieces."""
+        if len(text) <= _SEGMENT_CHARS or not self._plain or any(c.isspace() for s in self._special for c in s):
+            return [text]
+        out, start, look = [], 0, _SEGMENT_CHARS
+        while start + look < len(text):
+            kind = self._class[_codes(text[start + look - 1:start + look + 4096])]
+            before, here = kind[:-1], kind[1:]
+            seen = (before == _LETTER) | (before == _NUMBER) | (before == _OTHER)
+            places = np.flatnonzero(seen & (here == _SPACE))
+            if not len(places) and not self._special:
+                places = np.flatnonzero((before == _LETTER) & (here == _OTHER))
+            if len(places):
+                end = start + look + int(places[0])
+                out.append(text[start:end])
+                start, look = end, _SEGMENT_CHARS
+            else:
+                look += 4096
+        return [*out, text[start:]]
+
+    def split(self, texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray, np.ndarray, set[bytes]]:
+        """Distinct pieces; for every piece of the batch its place among them; the bounds of
+        each text in that; and those pieces that are texts left whole."""
+        array = pa.array(texts, pa.large_string())
+        joined = "".join(texts)
+        data = joined.encode()
+        code = _codes(joined)
+        length = pc.utf8_length(array).to_numpy().astype(np.int64)
+        size = pc.binary_length(array).to_numpy().astype(np.int64)
         start, offset = np.cumsum(length) - length, np.cumsum(size) - size
-        kind = self._class[code]
-        owner_end = np.cumsum(np.append(0, kind == _UNSURE))
-        whole = owner_end[start + length] > owner_end[start]
-        for special in self._special:
-            if special in joined:
-                whole |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        if self._plain:
+            kind = self._class[code]
+            unsure = np.cumsum(np.append(0, kind == _UNSURE), dtype=np.int32)
+            whole = unsure[start + length] > unsure[start]
+            for special in self._special:
+                if special in joined:
+                    whole |= pc.match_substring(array, special).to_numpy(zero_copy_only=False)
+        else:
+            whole = np.ones(len(texts), bool)
         first = np.zeros(len(code), bool)
         first[start[length > 0]] = True
-        begins = self._cuts(code, kind, first) if len(code) else np.zeros(0, np.int64)
-        if whole.any():  # such texts are one piece each
-            inside = np.repeat(whole, length)[begins]
-            begins = begins[~inside | first[begins]]
+        if whole.all():
+            begins = np.flatnonzero(first)
+        else:
+            begins = self._cuts(code, kind, first)
+            if whole.any():  # such texts are one piece each
+                inside = np.repeat(whole, length)[begins]
+                begins = begins[~inside | first[begins]]
         width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
         byte_at = np.cumsum(width, dtype=np.int64) - width
-        offsets = np.append(byte_at[begins], size.sum())
-        pieces = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
+        offsets = np.append(byte_at[begins], len(data))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
-        index = coded.indices.to_numpy()
-        pool, bounds = self._table(coded.dictionary.to_pylist())
-        lengths = np.diff(bounds)[index]
-        ends = np.cumsum(lengths)
-        ids = pool[np.repeat(bounds[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bound_at = np.searchsorted(offsets[:-1], np.append(offset, size.sum()))
-        return ids, np.append(0, ends)[bound_at]
+        bounds = np.searchsorted(offsets[:-1], np.append(offset, len(data)))
+        return coded.dictionary, coded.indices.to_numpy(), bounds, {texts[i].encode() for i in np.flatnonzero(whole)}
+
+    def groups(self, texts: pa.Array) -> Iterator[tuple[list[str], list[int]]]:
+        """The texts of a batch (a null is empty) as segments, a few megabytes at a time, with
+        the row each comes from."""
+        parts, owners, held = [], [], 0
+        for row, text in enumerate(texts):
+            for part in self.segments(text.as_py() or ""):
+                parts.append(part)
+                owners.append(row)
+                held += len(part)
+                if held >= _BATCH_BYTES:
+                    yield parts, owners
+                    parts, owners, held = [], [], 0
+        if parts:
+            yield parts, owners
+
+
+def spread(pool: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries ``index`` of a pool end to end, and where each ends (from 0 on)."""
+    lengths = np.diff(bounds)[index]
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return pool[:0], np.zeros(1, np.int64)
+    return pool[np.repeat(bounds[index] - (ends - lengths), lengths) + np.arange(ends[-1])], np.append(0, ends)
+
+
+class Remembered:
+    """Ids of short pieces: sorted keys of 16 bytes, and the ids of each in one pool. When it
+    would hold more than a number of bytes, it starts again from the newest pieces."""
+
+    _WIDTH = 16
+
+    def __init__(self):
+        self._keys, self._bounds, self._pool = np.zeros(0, f"S{self._WIDTH}"), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def keys(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """A key for each piece, and which pieces have one: no zero bytes, which keys cannot end in."""
+        offsets, data = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:][:len(pieces) + 1], np.frombuffer(pieces.buffers()[2], np.uint8)
+        size, signs = np.diff(offsets), np.zeros((len(pieces), self._WIDTH), np.uint8)
+        fits = (size > 0) & (size <= self._WIDTH)
+        for place in range(self._WIDTH):
+            rows = np.flatnonzero(fits & (size > place))
+            signs[rows, place] = data[offsets[rows] + place]
+        fits &= (signs != 0).sum(1) == size
+        return signs.view(f"S{self._WIDTH}").ravel(), fits
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        if not len(self._keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, at, -1)
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spread(self._pool, self._bounds, entries)
+
+    def add(self, keys: np.ndarray, bounds: np.ndarray, pool: np.ndarray) -> None:
+        if self._keys.nbytes + self._bounds.nbytes + self._pool.nbytes > _REMEMBERED_BYTES:
+            self.__init__()
+        keys, bounds = np.concatenate([self._keys, keys]), np.concatenate([self._bounds, len(self._pool) + bounds[1:]])
+        order = np.argsort(keys, kind="stable")
+        self._keys = keys[order]
+        self._pool, self._bounds = spread(np.concatenate([self._pool, pool]), bounds, order)
+
+
+class Encoder:
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_file(path)
+        self._splitter = Splitter([t.content for t in self._tokenizer.get_added_tokens_decoder().values()], is_plain(path))
+        self._remembered = Remembered()
+
+    def _table(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pieces end to end, and where each begins."""
+        keys, fits = self._remembered.keys(pieces)
+        entry = np.where(fits, self._remembered.find(keys), -1)
+        known, missing = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
+        old, old_ends = self._remembered.ids(entry[known])
+        texts = pieces.take(pa.array(missing)).cast(pa.large_string()).to_pylist()
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        new_ends = np.append(0, np.cumsum(sizes))
+        pool, ends = np.concatenate([old, new]), np.concatenate([old_ends, len(old) + new_ends[1:]])
+        back = np.empty(len(pieces), np.int64)
+        back[known], back[missing] = np.arange(len(known)), len(known) + np.arange(len(missing))
+        kept = np.flatnonzero(fits[missing])
+        kept_pool, kept_ends = spread(new, new_ends, kept)
+        self._remembered.add(keys[missing[kept]], kept_ends, kept_pool)
+        return spread(pool, ends, back)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (a null is empty), and the bounds of each text."""
+        ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        for parts, owners in self._splitter.groups(texts):
+            pieces, index, piece_bounds, _ = self._splitter.split(parts)
+            found, ends = spread(*self._table(pieces), index)
+            ids.append(found)
+            np.add.at(counts, owners, np.diff(ends[piece_bounds]))
+        return np.concatenate(ids), np.append(0, np.cumsum(counts))
+
+    def forget(self) -> None:
+        self._remembered = Remembered()
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder for a tokenizer file; what it remembers goes when the task ends."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    try:
+        yield _ENCODERS[path]
+    finally:
+        _ENCODERS[path].forget()
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reachlens.llm import mixing, token_counts, token_output
+from reachlens.llm import mixing, token_counts, token_output, tokens
 from reachlens.llm.tokens import Encoder
 from reachlens.sources.shared import new_path
 
@@ -128,3 +128,40 @@ def test_overlapping_mix_and_repeats(documents, rows):
     assert mix.agg(F.sum("taken")).first()[0] == 130
     out = mixing.repeated(mix, "size", docs.columns)
     assert out.columns == docs.columns and 30 <= out.count() <= 35
+
+
+def test_long_texts_are_encoded_in_segments(monkeypatch):
+    monkeypatch.setattr(tokens, "_SEGMENT_CHARS", 50)
+    monkeypatch.setattr(tokens, "_BATCH_BYTES", 120)
+    own, whole = Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["".join(random_texts(60, s)) for s in range(20)] + ["x" * 9000 + " y" * 300, None, "a  b" * 500, "é—" * 400]
+    ids, bounds = own.encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert "".join(own._splitter.segments(t or "")) == (t or "")
+        assert list(ids[bounds[i]:bounds[i + 1]]) == whole.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_remembered_pieces_stay_within_their_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBERED_BYTES", 2000)
+    own, whole = Encoder(PATH), Tokenizer.from_file(PATH)
+    for text in [*random_texts(300, 8), "a\0b \0 c\0", "\0" * 20, "longer than sixteen bytes: " + "q" * 40]:
+        ids, _ = own.encode(pa.array([text]))
+        assert list(ids) == whole.encode(text, add_special_tokens=False).ids
+        assert own._remembered._keys.nbytes < 6000
+
+
+def test_a_file_of_another_kind_is_left_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, whole = Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Words, here", "", "don't  stop", "é ñ"]
+    ids, bounds = own.encode(pa.array(texts))
+    assert [list(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokens.is_plain(PATH) and not tokens.is_plain(path)
+
+
+def test_what_a_task_remembers_ends_with_it():
+    with tokens.encoder(PATH) as own:
+        own.encode(pa.array(["some words"]))
+        assert len(own._remembered._keys)
+    with tokens.encoder(PATH) as again:
+        assert again is own and not len(own._remembered._keys)
