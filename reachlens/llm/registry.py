@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from reachlens.llm import (
-    decontamination, license_scan, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, token_output,
+    bpe_automaton, decontamination, license_scan, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, token_output,
     toxicity, url_filters,
 )
 from reachlens.session import on_workers
@@ -151,3 +151,9 @@ def op6_ngram_jaccard(spark, folder):
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark, folder):
     return suffix_dedup.removed(table(spark, folder, "documents")).drop("spans")
+
+
+@query("op12_bpe_automaton")
+def op12_bpe_automaton(spark, folder):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe_automaton.digests(bpe_automaton.encoded(table(spark, folder, "documents"), path), path)
