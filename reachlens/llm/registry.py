@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from reachlens.llm import (
-    bpe_automaton, decontamination, license_scan, mixing, ngram_jaccard, quality_rules, suffix_dedup, token_counts, token_output,
+    bpe_automaton, decontamination, license_scan, mixing, ngram_jaccard, prefix_trie, quality_rules, suffix_dedup, token_counts, token_output,
     toxicity, url_filters,
 )
 from reachlens.session import on_workers
@@ -157,3 +157,8 @@ def op8_suffix_dedup(spark, folder):
 def op12_bpe_automaton(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe_automaton.digests(bpe_automaton.encoded(table(spark, folder, "documents"), path), path)
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
