@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from reachlens.llm import (
-    bpe_automaton, decontamination, license_scan, mixing, ngram_jaccard, prefix_trie, quality_rules, suffix_dedup, token_counts, token_output,
-    toxicity, url_filters,
+    bpe_automaton, decontamination, license_scan, mixing, ngram_jaccard, prefix_trie, quality_rules, structure_repair, suffix_dedup, token_counts,
+    token_output, toxicity, url_filters,
 )
 from reachlens.session import on_workers
 from reachlens.sources.shared import new_path, written
@@ -162,3 +162,8 @@ def op12_bpe_automaton(spark, folder):
 @query("op11_prefix_trie")
 def op11_prefix_trie(spark, folder):
     return prefix_trie.conversation_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_structure_repair")
+def op13_structure_repair(spark, folder):
+    return structure_repair.repaired(table(spark, folder, "conversations"))

@@ -81,7 +81,7 @@ def test_pipeline_over_nothing(session, folder, tmp_path):
 
 def test_registered():
     names = [n for n in entry_point.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry_point.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry_point.queries()
 
 
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op10_url_filters"])
