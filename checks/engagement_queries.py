@@ -287,6 +287,44 @@ def term_freq(spark, d):
     return terms.cloud_terms(_term_counts(spark, d))
 
 
+_PHRASES = rf"""WITH posts AS (SELECT source AS page_id, row_number() OVER () AS r, coalesce(text, '') || ' ' || coalesce(lang, '') AS text FROM documents),
+found AS (SELECT page_id, r, list_filter(list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_'']*'),
+  lambda w: CASE WHEN lower(w) LIKE '%''s' THEN left(w, length(w) - 2) ELSE w END), lambda w: NOT regexp_full_match(w, '\p{{Nd}}+')) AS words FROM posts),
+placed AS (SELECT page_id, words, unnest(range(1, len(words) + 1)) AS i FROM found),
+both_words AS (SELECT page_id, words[i] AS w1, words[i + 1] AS w2 FROM placed),
+kept AS (SELECT page_id, '' AS head, lower(w1) AS key, w1 AS spelled FROM both_words WHERE lower(w1) NOT IN ({_STOP})
+  UNION ALL SELECT page_id, lower(w1), lower(w2), w1 || ' ' || w2 FROM both_words
+  WHERE w2 IS NOT NULL AND lower(w1) NOT IN ({_STOP}) AND lower(w2) NOT IN ({_STOP})),
+stems AS (SELECT *, CASE WHEN regexp_matches(key, '(^|[^s])s$') THEN left(key, length(key) - 1) ELSE key END AS stem FROM kept),
+groups AS (SELECT *, bool_or(key = stem) OVER (PARTITION BY page_id, head, stem) AS has FROM stems),
+variants AS (SELECT page_id, head, stem, CASE WHEN has AND key <> stem THEN left(spelled, length(spelled) - 1) ELSE spelled END AS v, count(*) AS n
+  FROM groups GROUP BY ALL),
+fused AS (SELECT page_id, head, stem, CAST(sum(n) AS BIGINT) AS n, first(v ORDER BY n DESC, v) AS term FROM variants GROUP BY ALL),
+words AS (SELECT * FROM fused WHERE head = ''),
+totals AS (SELECT page_id, sum(n) AS total FROM words GROUP BY 1),
+pairs AS (SELECT p.page_id, p.term, p.stem, p.n, CASE WHEN regexp_matches(p.head, '(^|[^s])s$') THEN left(p.head, length(p.head) - 1) ELSE p.head END AS lead
+  FROM fused p WHERE head <> ''),
+counted AS (SELECT p.*, CAST(p.n AS DOUBLE) AS c12, CAST(a.n AS DOUBLE) AS c1, CAST(b.n AS DOUBLE) AS c2, CAST(total AS DOUBLE) AS t FROM pairs p
+  JOIN words a ON a.page_id = p.page_id AND a.stem = p.lead JOIN words b ON b.page_id = p.page_id AND b.stem = p.stem
+  JOIN totals s ON s.page_id = p.page_id),
+likely AS (SELECT *, CASE WHEN t <= c1 OR t <= c2 THEN 0 ELSE 2 * (
+    ln(greatest(c12 / c1, 1e-10)) * c12 + ln(greatest(1 - c12 / c1, 1e-10)) * (c1 - c12)
+    + ln(greatest((c2 - c12) / (t - c1), 1e-10)) * (c2 - c12) + ln(greatest(1 - (c2 - c12) / (t - c1), 1e-10)) * (t - c1 - c2 + c12)
+    - ln(greatest(c2 / t, 1e-10)) * c2 - ln(greatest(1 - c2 / t, 1e-10)) * (t - c2)) END AS score FROM counted),
+phrases AS (SELECT * FROM likely WHERE score > 30),
+inside AS (SELECT page_id, stem, CAST(sum(n) AS BIGINT) AS inside FROM (SELECT page_id, lead AS stem, n FROM phrases
+  UNION ALL SELECT page_id, stem, n FROM phrases) GROUP BY 1, 2)
+SELECT page_id, term, n - coalesce(inside, 0) AS occurrences FROM words LEFT JOIN inside USING (page_id, stem) WHERE n > coalesce(inside, 0)
+UNION ALL SELECT page_id, term, n FROM phrases"""
+
+
+@check("term_phrases", _PHRASES)
+def term_phrases(spark, d):
+    texts = t.table(spark, d, "documents").select(
+        F.col("source").alias("page_id"), F.col("text").alias("processed_speech"), F.col("lang").alias("caption"))
+    return terms.phrase_counts(texts)
+
+
 # --- the shared stored frame -----------------------------------------------------------
 
 

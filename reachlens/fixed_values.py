@@ -38,6 +38,7 @@ SHOWN_IDEAS = 3
 SLOT_GAP_DAYS = 3
 CLICKS_PER_FOLLOW = 5
 CLOUD_TERMS = 200
+COLLOCATION_THRESHOLD = 30.0
 CAPTION_LABEL_CHARS = 50
 EVENT_TITLE_CHARS = 10
 TENANT_ZONE = "America/Los_Angeles"

@@ -62,6 +62,19 @@ def terms(*texts: Column) -> Column:
     return F.regexp_extract_all(F.lower(joined), F.lit(TERM_PATTERN), F.lit(0))
 
 
+def cloud_words(*texts: Column) -> Column:
+    """Words of the joined texts as a word cloud takes them: spelled as they are, without a
+    final ``'s``, numbers left out, in order."""
+    found = F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(TERM_PATTERN), F.lit(0))
+    bare = F.transform(found, lambda w: F.when(F.lower(F.right(w, F.lit(2))) == "'s", F.left(w, F.length(w) - 2)).otherwise(w))
+    return F.filter(bare, lambda w: ~w.rlike(r"^\p{Nd}+$"))
+
+
+def singular(word: Column) -> Column:
+    """A word without the ``s`` that may be a plural's; ``ss`` is none."""
+    return F.when(word.rlike("(^|[^s])s$"), F.left(word, F.length(word) - 1)).otherwise(word)
+
+
 def split_list(text: Column) -> Column:
     return F.split(text, ",")
 

@@ -1,14 +1,15 @@
-"""Term counts over the spoken and written text of posts."""
+"""Term and phrase counts over the spoken and written text of posts."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from reachlens.fixed_values import CLOUD_TERMS, STOP_WORDS
-from reachlens.functions.text import terms
-from reachlens.operators.common import first_rows
+from reachlens.fixed_values import CLOUD_TERMS, COLLOCATION_THRESHOLD, STOP_WORDS
+from reachlens.functions.text import cloud_words, singular, terms
+from reachlens.operators.common import first_rows, left_join_unique
+from reachlens.sources.shared import written
 
 
 def term_counts(
@@ -30,3 +31,81 @@ def term_counts(
 def cloud_terms(counts: DataFrame, k: int = CLOUD_TERMS, by: Sequence[str] = ("page_id",)) -> DataFrame:
     """The ``k`` most frequent terms of each account, those a word cloud shows."""
     return first_rows(counts, by, [F.col("occurrences").desc(), F.col("term")], k)
+
+
+# --- phrases ----------------------------------------------------------------------------
+
+
+def _log_likelihood(k: Column, n: Column, x: Column) -> Column:
+    tiny = F.lit(1e-10)
+    return F.log(F.greatest(x, tiny)) * k + F.log(F.greatest(1 - x, tiny)) * (n - k)
+
+
+def collocation_score(both: Column, first: Column, second: Column, total: Column) -> Column:
+    """Dunning's likelihood ratio of two words that stand together: how much better the
+    counts are explained if the second word depends on the first. 0 if a word is all there is."""
+    alone = second / total
+    after, elsewhere = both / first, (second - both) / (total - first)
+    score = (
+        _log_likelihood(both, first, alone) + _log_likelihood(second - both, total - first, alone)
+        - _log_likelihood(both, first, after) - _log_likelihood(second - both, total - first, elsewhere)
+    )
+    return F.when((total <= first) | (total <= second), F.lit(0.0)).otherwise(-2 * score)
+
+
+def _spelled_counts(posts: DataFrame, texts: Sequence[str], by: Sequence[str], stop_words: Sequence[str]) -> DataFrame:
+    """``head, stem, key, spelled, n``: every spelling of every word (``head`` is empty) and of
+    every two words in a row (``head`` is the first, lower-cased)."""
+    words = posts.select(*by, cloud_words(*[F.coalesce(F.col(c), F.lit("")) for c in texts]).alias("_w"))
+    # The words and pairs of a text in one list: texts are read and matched once for both counts.
+    listed = words.select(*by, F.explode_outer(F.expr("""
+        concat(transform(_w, w -> named_struct('a', '', 'b', w)),
+               zip_with(slice(_w, 1, greatest(size(_w) - 1, 0)), slice(_w, 2, greatest(size(_w) - 1, 0)), (v, w) -> named_struct('a', v, 'b', w)))""")).alias("_e"))
+    # As spelled, so that only distinct words and pairs are put in lower case and folded.
+    counts = listed.filter("_e IS NOT NULL").groupBy(*by, F.col("_e.a").alias("_a"), F.col("_e.b").alias("_b")).agg(F.count(F.lit(1)).alias("n"))
+    lowered = counts.select(*by, F.lower("_a").alias("head"), F.lower("_b").alias("key"), F.ltrim(F.concat_ws(" ", "_a", "_b")).alias("spelled"), "n")
+    if stop_words:
+        lowered = lowered.filter(~F.col("key").isin(list(stop_words)) & ~F.col("head").isin(list(stop_words)))
+    return lowered.select(*by, "head", singular(F.col("key")).alias("stem"), "key", "spelled", "n")
+
+
+def phrase_counts(
+    posts: DataFrame, texts: Sequence[str] = ("processed_speech", "caption"), by: Sequence[str] = ("page_id",),
+    stop_words: Sequence[str] = STOP_WORDS, threshold: float = COLLOCATION_THRESHOLD,
+) -> DataFrame:
+    """``term, occurrences`` of a word cloud with its default settings.
+
+    Words that differ in case count as one, shown as spelled most often (equally often: the
+    least in code-point order); a plural in ``s`` joins its singular where that occurs too. Two
+    words in a row, neither a stop word, are a phrase if their likelihood ratio exceeds
+    ``threshold``; its occurrences are then taken off both words, and words of which nothing is
+    left are dropped. Pairs stay inside a post.
+
+    Words and pairs are counted in one aggregation with its sums in the map tasks; everything
+    after that handles distinct spellings. Spellings of one word are few.
+    """
+    by = list(by)
+    counts = _spelled_counts(posts, texts, by, stop_words)
+    # A stem's group holds the singular, the plural or both: one term in any case.
+    fused = counts.groupBy(*by, "head", "stem").agg(
+        F.bool_or(F.col("key") == F.col("stem")).alias("has"), F.sum("n").alias("n"),
+        F.collect_list(F.struct("spelled", F.when(F.col("key") == F.col("stem"), F.col("spelled")).otherwise(
+            F.left("spelled", F.length("spelled") - 1)).alias("bare"), "n")).alias("v"))
+    fused = fused.withColumn("v", F.expr("transform(v, x -> named_struct('w', if(has, x.bare, x.spelled), 'n', x.n))"))
+    most = """array_min(transform(array_distinct(transform(v, x -> x.w)), w -> named_struct(
+        'n', -aggregate(filter(v, x -> x.w = w), 0L, (s, x) -> s + x.n), 'w', w))).w"""
+    # Written: words are looked up three times, and texts should be read and matched once.
+    terms_of = written(fused.select(*by, "head", "stem", "n", F.expr(most).alias("term")), "terms")
+    words, pairs = terms_of.filter("head = ''").drop("head"), terms_of.filter("head <> ''")
+    totals = words.groupBy(*by).agg(F.sum("n").alias("total"))
+    renamed = lambda df, tag, kept: df.select(*[F.col(c).alias(f"_{tag}_{c}") for c in (*by, *kept)])
+    keys = lambda tag, own: [*[(c, f"_{tag}_{c}") for c in by], *([(own, f"_{tag}_stem")] if own else [])]
+    scored = left_join_unique(pairs.withColumn("left", singular(F.col("head"))), renamed(words, "l", ["stem", "n"]), keys("l", "left"))
+    scored = left_join_unique(scored, renamed(words, "r", ["stem", "n"]), keys("r", "stem"))
+    scored = left_join_unique(scored, renamed(totals, "t", ["total"]), keys("t", None))
+    likely = scored.filter(collocation_score(F.col("n"), F.col("_l_n"), F.col("_r_n"), F.col("_t_total")) > threshold)
+    phrases = written(likely.select(*by, "left", "stem", "n", "term"), "phrases")
+    parts = phrases.select(*by, F.explode(F.array("left", "stem")).alias("stem"), "n").groupBy(*by, "stem").agg(F.sum("n").alias("inside"))
+    rest = left_join_unique(words, renamed(parts, "p", ["stem", "inside"]), keys("p", "stem"))
+    single = rest.select(*by, "term", (F.col("n") - F.coalesce("_p_inside", F.lit(0))).alias("occurrences")).filter("occurrences > 0")
+    return single.unionByName(phrases.select(*by, "term", F.col("n").alias("occurrences")))

@@ -165,3 +165,71 @@ def test_any_choice_of_columns_comes_from_the_same_analysis(spark):
         for columns in (["main_theme"], ["main_focus"], ["loaded", "main_focus"]):
             for r in engagement.current_analysis(frame.repartition(3), columns, ties).collect():
                 assert all(r[c] == whole[r.video_id][c] for c in columns)
+
+
+def plain_phrases(rows, stop_words, threshold):
+    """A word cloud's counts, in plain Python; each text stands by itself."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def stem(word):
+        return word[:-1] if re.search("(^|[^s])s$", word) else word
+
+    def fused(spellings):
+        groups = defaultdict(Counter)
+        for word in spellings:
+            groups[word.rsplit(" ", 1)[0].lower() if " " in word else "", stem(word.lower().rsplit(" ", 1)[-1])][word] += 1
+        out = {}
+        for (head, s), cases in groups.items():
+            known = any(c.lower().rsplit(" ", 1)[-1] == s for c in cases)
+            shown = Counter()
+            for c, n in cases.items():
+                shown[c[:-1] if known and c.lower().rsplit(" ", 1)[-1] != s else c] += n
+            out[head, s] = (sum(cases.values()), min(shown, key=lambda c: (-shown[c], c)))
+        return out
+
+    singles, pairs = [], []
+    for text in rows:
+        words = [w[:-2] if w.lower().endswith("'s") else w for w in re.findall(r"\w[\w']*", text)]
+        words = [w for w in words if not w.isdigit()]
+        singles += [w for w in words if w.lower() not in stop_words]
+        pairs += [f"{a} {b}" for a, b in zip(words, words[1:]) if not {a.lower(), b.lower()} & set(stop_words)]
+    words, total = fused(singles), len(singles)
+    left, out = {s: n for (_, s), (n, _) in words.items()}, {}
+    log = lambda k, n, x: math.log(max(x, 1e-10)) * k + math.log(max(1 - x, 1e-10)) * (n - k)
+    for (head, s), (n, shown) in fused(pairs).items():
+        a, b = words["", stem(head)][0], words["", s][0]
+        if total <= a or total <= b:
+            continue
+        p, p1, p2 = b / total, n / a, (b - n) / (total - a)
+        if -2 * (log(n, a, p) + log(b - n, total - a, p) - log(n, a, p1) - log(b - n, total - a, p2)) > threshold:
+            out[shown] = n
+            left[stem(head)] -= n
+            left[s] -= n
+    return out | {shown: left[s] for (_, s), (_, shown) in words.items() if left[s] > 0}
+
+
+def test_phrases_and_plurals(spark):
+    import random
+
+    rnd = random.Random(2)
+    vocabulary = ["cat", "Cat", "cats", "Cats", "dogs", "bus", "buss", "Glass", "New York", "new york", "NEW yorks", "it's", "Ann's", "the", "of", "12", "3rd", "São", "is", "S"]
+    made = [(i % 2, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))), None if i % 7 == 0 else "Best coffee's beans") for i in range(60)] + [(3, None, None), (4, "one one one", "")]
+    posts = spark.createDataFrame(made, "page_id long, processed_speech string, caption string")
+    for threshold in (30.0, 2.0):
+        got = {}
+        for r in terms.phrase_counts(posts, stop_words=("the", "of"), threshold=threshold).collect():
+            assert (r.page_id, r.term) not in got
+            got[r.page_id, r.term] = r.occurrences
+        wanted = {}
+        for page in {r[0] for r in made}:
+            texts = [f"{a or ''} {b or ''}" for p, a, b in made if p == page]
+            wanted |= {(page, t): n for t, n in plain_phrases(texts, ("the", "of"), threshold).items()}
+        assert got == wanted
+
+
+def test_phrase_counts_after_one_reading_of_the_texts(spark):
+    posts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("source AS page_id", "text AS processed_speech", "lang AS caption")
+    plan = terms.phrase_counts(posts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "regexp_extract_all" not in plan  # only counts are read from here on
