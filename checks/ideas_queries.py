@@ -304,6 +304,36 @@ def ideas_update_stored(spark, d):
     return sinks.read_version(spark, root)
 
 
+def _bucketed_ideas(spark, d):
+    root = new_path(spark, "postideas-buckets")
+    sinks.write_bucketed(t.ideas(spark, d), root)
+    return root
+
+
+@check("ideas_delete_bucketed", SQL["ideas_delete"])
+def ideas_delete_bucketed(spark, d):
+    root, deleted = _bucketed_ideas(spark, d), _deleted(spark, d)
+    sinks.rewrite_touched(spark, root, deleted, ["page_id", "caption"], lambda rows: ideas.without_captions(rows, deleted))
+    return sinks.read_bucketed(spark, root)
+
+
+@check("ideas_update_bucketed", SQL["ideas_update"])
+def ideas_update_bucketed(spark, d):
+    root, updates = _bucketed_ideas(spark, d), _updates(spark, d)
+    keys = updates.select("page_id", F.col("previous_caption").alias("caption"))
+    sinks.rewrite_touched(spark, root, keys, ["page_id", "caption"], lambda rows: ideas.with_updates(rows, updates, t.AS_OF))
+    return sinks.read_bucketed(spark, root)
+
+
+@check("ideas_append_repeated", _IDEAS + f"SELECT {_COLUMNS} FROM ideas UNION ALL SELECT {_COLUMNS} FROM ideas")
+def ideas_append_repeated(spark, d):
+    """Two batches of all ideas, the second run twice."""
+    path = new_path(spark, "postideas-batches")
+    for batch in ("monday", "tuesday", "tuesday"):
+        sinks.append_batch(t.ideas(spark, d), path, batch)
+    return sinks.read_batches(spark, path).select(*_COLUMNS.split(", "))
+
+
 @check("ideas_append", _IDEAS + f"SELECT {_COLUMNS} FROM ideas UNION ALL SELECT {_COLUMNS} FROM ideas")
 def ideas_append(spark, d):
     path = new_path(spark, "postideas")
@@ -362,11 +392,18 @@ SELECT file_no, CAST(length(url) AS BIGINT) AS page_id, CASE WHEN contains(url,
 name, mime FROM listing) WHERE mime LIKE 'video/%' AND context <> ''""")
 def clip_append(spark, d):
     """Uploads without a reason (mobile links) and images are refused, the rest stored."""
-    uploads = t.listing(spark, d).selectExpr(
+    stored = sinks.append_clips(media.clip_rows(_uploads(spark, d), t.AS_OF), new_path(spark, "clips-table"))
+    return _shown_clips(stored)
+
+
+def _uploads(spark, d):
+    return t.listing(spark, d).selectExpr(
         "CAST(length(url) AS BIGINT) AS page_id", "name", "mime",
         "CASE WHEN contains(url, '//m.') THEN '' ELSE concat(url, ' ', file_no) END AS inspiration_context",
     )
-    stored = sinks.append_clips(media.clip_rows(uploads, t.AS_OF), new_path(spark, "clips-table"))
+
+
+def _shown_clips(stored):
     return media.stored_names(stored).select(
         F.substring_index("inspiration_context", " ", -1).cast("bigint").alias("file_no"), "page_id",
         "inspiration_context", "uploaded_date", F.length("video_id").alias("id_length"),
@@ -374,6 +411,15 @@ def clip_append(spark, d):
     )
 
 
+@check("clip_append_repeated", SQL["clip_append"])
+def clip_append_repeated(spark, d):
+    """The same uploads as one batch, run twice."""
+    path = new_path(spark, "clips-batches")
+    for _ in range(2):
+        sinks.append_batch(media.clip_rows(_uploads(spark, d), t.AS_OF, batch="uploads"), path, "uploads")
+    return _shown_clips(sinks.read_batches(spark, path))
+
+
 # --- conversation ------------------------------------------------------------------------
 
 

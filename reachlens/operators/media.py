@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from reachlens.functions.dates import AsOf, as_date
 from reachlens.functions.files import major_type, renamed, stem_or_empty, stem_or_name
@@ -46,14 +46,24 @@ def accepted_uploads(uploads: DataFrame) -> DataFrame:
     return uploads.filter(is_video & (F.col("page_id") != 0) & (F.length("inspiration_context") > 0))
 
 
-def clip_rows(uploads: DataFrame, as_of: AsOf) -> DataFrame:
+def clip_rows(uploads: DataFrame, as_of: AsOf, batch: str | None = None) -> DataFrame:
     """Metadata rows of accepted uploads, each with a generated id.
 
-    Write them once (``sinks.append_clips``) before naming files after the ids.
+    Without ``batch`` the ids are random: write them once (``sinks.append_clips``) before
+    naming files after them. With it they follow from the batch's name and the row, equal
+    rows being counted, so the same batch gives the same ids whenever it is run.
     """
-    return accepted_uploads(uploads).select(
-        "page_id", F.expr("uuid()").alias("video_id"), "inspiration_context",
-        as_date(as_of).alias("uploaded_date"), "name",
+    accepted = accepted_uploads(uploads)
+    if batch is None:
+        numbered, made = accepted, F.expr("uuid()")
+    else:
+        told = [F.col(c).cast("string") for c in ("page_id", "inspiration_context", "name")]
+        whole = F.concat_ws("|", F.lit(batch), *[F.concat(F.length(c), F.lit(":"), c) for c in told])
+        same = Window.partitionBy("page_id", "inspiration_context", "name").orderBy(F.lit(1))
+        numbered = accepted.withColumn("_no", F.row_number().over(same))
+        made = F.regexp_replace(F.md5(F.concat_ws("|", whole, "_no")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    return numbered.select(
+        "page_id", made.alias("video_id"), "inspiration_context", as_date(as_of).alias("uploaded_date"), "name",
     )
 
 

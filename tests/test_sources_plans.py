@@ -250,3 +250,60 @@ def test_filters_reach_the_scan_and_columns_are_pruned(spark):
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0 and set(BASE) <= set(entry_point.oracle_sql())
     assert SETTINGS["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+# --- repeated appends, rewritten buckets ------------------------------------------------------
+
+
+def _files(root):
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in root.rglob("*.parquet")}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    from reachlens.operators.ideas import with_updates, without_captions
+    root = tmp_path / "ideas"
+    rows = idea_rows(spark, [{"page_id": A + i, "caption": c} for i in range(40) for c in ("a", "b", None)] + [{"page_id": None, "caption": "a"}])
+    sinks.write_bucketed(rows, str(root), 8)
+    before = _files(root)
+    gone = spark.createDataFrame([(A + 3, "a"), (A + 3, "nothing"), (A + 700, "a")], "page_id bigint, caption string")
+    touched = sinks.rewrite_touched(spark, str(root), gone, ["page_id", "caption"], lambda r: without_captions(r, gone))
+    after = _files(root)
+    assert len(touched) == 1 and {f for f in before if after.get(f) != before[f]} == {f for f in before if f.startswith(f"_bucket={touched[0]}/")}
+    left = sinks.read_bucketed(spark, str(root))
+    assert left.count() == 120 and left.filter(F.col("page_id") == A + 3).count() == 2 and left.filter("page_id IS NULL").count() == 1
+    change = spark.createDataFrame([(A + 5, "b", "s", "new", "t", ["x"], "calm")], "page_id bigint, previous_caption string, post_summary string, caption string, post_type string, themes array<string>, tone string")
+    keys = change.select("page_id", F.col("previous_caption").alias("caption"))
+    sinks.rewrite_touched(spark, str(root), keys, ["page_id", "caption"], lambda r: with_updates(r, change, AS_OF))
+    assert {r.caption for r in sinks.read_bucketed(spark, str(root)).filter(F.col("page_id") == A + 5).collect()} == {"a", "new", None}
+    before = _files(root)
+    assert sinks.rewrite_touched(spark, str(root), gone, ["page_id", "caption"], lambda r: without_captions(r, gone)) == [] and _files(root) == before
+    # A bucket of which nothing is left loses its folder.
+    few = str(tmp_path / "few")
+    sinks.write_bucketed(idea_rows(spark, [{"page_id": A + i, "caption": "x"} for i in range(9)]), few, 4)
+    gone = spark.createDataFrame([(A + i, "x") for i in range(8)], "page_id bigint, caption string")
+    sinks.rewrite_touched(spark, few, gone, ["page_id", "caption"], lambda r: without_captions(r, gone))
+    assert [r.page_id for r in sinks.read_bucketed(spark, few).collect()] == [A + 8]
+
+
+def test_a_batch_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "ideas")
+    one, two = (idea_rows(spark, [{"page_id": A, "caption": c}]) for c in "ab")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_batches(spark, path)
+    assert sinks.append_batch(one, path, "1") and not sinks.append_batch(two, path, "1") and sinks.append_batch(two, path, "2")
+    (tmp_path / "ideas" / "batch=2" / "_SUCCESS").unlink()  # broken off
+    assert [r.caption for r in sinks.read_batches(spark, path).collect()] == ["a"]
+    assert sinks.append_batch(two, path, "2") and sorted(r.caption for r in sinks.read_batches(spark, path).collect()) == ["a", "b"]
+    for name in ("", "a/b", "a=b"):
+        with pytest.raises(ValueError):
+            sinks.append_batch(one, path, name)
+
+
+def test_clip_ids_of_a_batch_do_not_change(spark):
+    from reachlens.operators.media import clip_rows
+    made = [(A, f"{i % 7}.mp4", "video/mp4", "why") for i in range(20)]
+    uploads = lambda rows, n: spark.createDataFrame(rows, "page_id bigint, name string, mime string, inspiration_context string").repartition(n)
+    ids = lambda frame: sorted(r.video_id for r in frame.collect())
+    first = ids(clip_rows(uploads(made, 3), AS_OF, "m"))
+    assert first == ids(clip_rows(uploads(made[::-1], 5), AS_OF, "m")) and len(set(first)) == 20 and len(first[0]) == 36
+    assert not set(first) & set(ids(clip_rows(uploads(made, 3), AS_OF, "n")))
