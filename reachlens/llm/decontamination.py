@@ -24,6 +24,7 @@ from math import ceil
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reachlens.llm.names import free_names
 from reachlens.sources.shared import written
 
 _SEARCHERS: dict[str, Searcher] = {}
@@ -162,9 +163,7 @@ def clean_documents(
     text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with the columns they came with."""
-    extra = "_s"
-    while extra in docs.columns:
-        extra += "_"
+    (extra,) = free_names(docs.columns, "_s")
 
     def search(token, block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

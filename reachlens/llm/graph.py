@@ -65,27 +65,3 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
             last = key
     if kept:
         yield pa.Table.from_batches(kept)
-
-
-class Forest:
-    """Union-find over 0..n-1; :meth:`roots` gives each its smallest member."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, a: int) -> int:
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = self.parent[a]
-        return a
-
-    def join(self, a: int, others: np.ndarray) -> None:
-        a = self.find(a)
-        for b in others.tolist():
-            b = self.find(b)
-            if b != a:
-                a, b = min(a, b), max(a, b)
-                self.parent[b] = a
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(a) for a in range(len(self.parent))], np.int64)

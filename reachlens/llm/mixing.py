@@ -27,7 +27,7 @@ from math import floor
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reachlens.operators.common import free_names
+from reachlens.llm.names import free_names
 from reachlens.sources.shared import written
 
 # Fixed values of the mix: weights in turn, share of all words, repeats at most.

@@ -28,10 +28,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachlens.llm.graph import components, grouped
-from reachlens.operators.common import free_names, left_join_unique
+from reachlens.llm.names import free_names
+from reachlens.operators.common import left_join_unique
 from reachlens.sources.shared import written
 
 SHINGLE = 5
@@ -321,15 +322,19 @@ def kept_documents(
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """The rows of ``docs`` without all but one document of each class: the one with the least
-    id (a null id last), then the least text key. Documents without words all stay."""
+    id (a null id last), then the least text key. Of rows equal in both, the one with the least
+    hash of its other columns (maps and variants, which have none, apart); rows equal in all are
+    alike. Documents without words all stay."""
     rows, texts = _labelled(docs, threshold, tolerance, block, block_places, id_col, text_col)
     chosen = texts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("n"), "first_id", "t1", "t2")).alias("k"))
-    names = free_names(docs.columns, "_k0", "_k1", "_k2", "_c0", "_c1", "_c2")
-    keys, of_class = names[:3], names[3:]
+    names = free_names(docs.columns, "_k0", "_k1", "_k2", "_c0", "_c1", "_c2", "_digest", "_rank")
+    keys, of_class, (digest, rank) = names[:3], names[3:6], names[6:]
     chosen = chosen.select(*[F.col(f"k.{k}").alias(c) for k, c in zip(("first_id", "t1", "t2"), of_class)])
     t1, t2 = _text_keys(text_col)
     keyed = docs.select("*", F.col(id_col).cast("long").alias(keys[0]), t1.alias(keys[1]), t2.alias(keys[2]))
     has_words = F.expr(f"coalesce(`{text_col}`, '') rlike r'[^\\x20\\x09-\\x0D]'")
     same = F.col(keys[0]).eqNullSafe(F.col(of_class[0])) & (F.col(keys[1]) == F.col(of_class[1])) & (F.col(keys[2]) == F.col(of_class[2]))
-    first = keyed.filter(has_words).join(chosen, same).drop(*of_class).dropDuplicates(keys)
+    told = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    found = keyed.filter(has_words).withColumn(digest, F.xxhash64(*told)).join(chosen, same)
+    first = found.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(digest))).filter(F.col(rank) == 1)
     return first.select(*docs.columns).unionByName(docs.filter(~has_words))

@@ -129,7 +129,7 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id
 def kept_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with."""
     prefix = "_quality"
-    while any(c.startswith(prefix) for c in docs.columns):
+    while any(c.lower().startswith(prefix) for c in docs.columns):  # Spark's names have no case
         prefix += "_"
     # A filter is not moved below a row number, which would put the measures into it in full,
     # once for each time a rule names them.

@@ -11,7 +11,8 @@ The labels say only toxic or not; the grades above zero are taken from how many
 marker words a toxic sample document holds (see :func:`grades`). A caller with graded labels
 passes them to :func:`fit` directly.
 
-Defined results: a null text holds no words; a null label or id takes no part in fitting;
+Defined results: a null text holds no words; a null label or id takes no part in fitting; a document
+labelled both ways is toxic;
 without labelled rows of both classes every document has severity 0; repeated rows are scored
 row by row; an empty table gives an empty result; other columns are not read.
 """
@@ -98,11 +99,12 @@ def trained(
 ) -> Model:
     """A model from at most ``sample_rows`` labelled documents of each class."""
     labelled = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IN (0, 1)")
+    labelled = labelled.groupBy("id").agg(F.max("toxic").alias("toxic"))  # a document labelled both ways is toxic
     totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return Model()
     chosen = [labelled.filter(F.col("toxic") == c).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for c in (0, 1)]
-    sample = chosen[0].unionByName(chosen[1]).dropDuplicates(["id"]).withColumn("row", F.xxhash64("id"))
+    sample = chosen[0].unionByName(chosen[1]).withColumn("row", F.xxhash64("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     # At most 2 * sample_rows ids are broadcast, and that many documents stored.
     held = written(

@@ -48,7 +48,8 @@ def test_stages_take_effect(session, folder):
 
 
 def test_stages_hand_on_columns_of_any_name(session, folder, tmp_path):
-    names = ["taken", "_full", "_rest", "_left", "_Cut", "_part", "_cut_size", "_p", "_o", "_b", "_members", "_size", "_copy", "c0", "c1", "c2", "_k0", "_c1"]
+    names = ["taken", "_full", "_rest", "_left", "_Cut", "_part", "_cut_size", "_p", "_o", "_b", "_members", "_size", "_copy", "c0", "c1", "c2", "_k0", "_c1",
+             "_S", "_QUALITYn_words", "_Quality_words", "_digest", "_Rank"]
     docs = plain = session.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20 OR doc_id = 100")
     docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
     columns = docs.columns
@@ -61,6 +62,17 @@ def test_stages_hand_on_columns_of_any_name(session, folder, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](session, docs, folder).count() == docs.count() > 0
 
 
+def test_a_tie_of_equal_texts_is_settled_by_the_other_columns(session):
+    text = " ".join(f"word{i}" for i in range(60))
+    made = [(7, text, "en", f"s{i}", 0) for i in range(12)] + [(9, text + " end", "en", "s", 0)]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = []
+    for order, parts in ((made, 3), (made[::-1], 5), (sorted(made, key=lambda r: r[3][::-1]), 1)):
+        docs = session.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts)
+        kept.append([tuple(r) for r in stage(session, docs, "").collect()])
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 1
+
+
 def test_pipeline_against_its_parts(session, folder):
     got = corpus_pipeline.run(session, folder).orderBy("start").collect()
     docs = session.read.parquet(f"{folder}/documents.parquet")
