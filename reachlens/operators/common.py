@@ -38,16 +38,6 @@ def tie_order(df: DataFrame, ties: Sequence[str] = ()) -> list[Column]:
     return [*[F.col(c).asc_nulls_first() for c in ties], row_digest(df)]
 
 
-def free_names(columns: Sequence[str], *names: str) -> list[str]:
-    """``names``, with underscores added to those that are among ``columns`` in any case."""
-    used, free = {c.lower() for c in columns}, []
-    for name in names:
-        while name.lower() in used:
-            name += "_"
-        free.append(name)
-    return free
-
-
 def left_join_unique(
     left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
 ) -> DataFrame:
