@@ -212,6 +212,12 @@ def json_reply_parse(spark, d):
     return ideas.parsed_replies(t.replies(spark, d))
 
 
+@check("reply_rejects", _PARSED + """SELECT page_id, reply_no, reply,
+CASE WHEN object = '' THEN 'no object' ELSE 'invalid JSON' END AS reason FROM objects WHERE object = '' OR NOT json_valid(object)""")
+def reply_rejects(spark, d):
+    return ideas.rejected_replies(t.replies(spark, d))
+
+
 @check("reply_ideas", _PARSED.replace("object->>", "checked->>") + f""", ideas AS ({t.SQL['ideas']}),
 slots AS (SELECT page_id, max(CAST(date AS DATE)) + 3 AS next_date FROM ideas GROUP BY 1)
 SELECT page_id, strftime(coalesce(next_date, DATE '2024-01-31' + 3), '%Y-%m-%d') AS date, post_summary, caption, post_type,

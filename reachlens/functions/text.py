@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
-from reachlens.fixed_values import BULLET, IDEA_FIELDS
+from reachlens.fixed_values import BULLET
 from reachlens.functions.numbers import let_sql, round2_exact_sql
 
 # Every character that counts as white space.
@@ -94,32 +94,6 @@ def _json_list(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("[")), F.from_json(text, "array<string>"))
 
 
-def spaced_json(text: Column, ascii_only: bool = True) -> Column:
-    """Compact JSON text as kept at rest: a blank after each comma and colon outside strings
-    and, with ``ascii_only``, other characters as ``\\uXXXX``."""
-    tokens = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"|[,:]|[^",:]+'), F.lit(0))
-    spaced = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(",", ":"), F.concat(t, F.lit(" "))).otherwise(t)), "")
-    if not ascii_only:
-        return spaced
-
-    def escaped(char: Column) -> Column:
-        code = F.ascii(char)
-        unit = lambda c: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(c), 4, "0")))
-        over = code - 0x10000
-        pair = F.concat(unit(F.floor(over / 0x400) + 0xD800), unit(over % 0x400 + 0xDC00))
-        return F.when(code < 0x80, char).when(code < 0x10000, unit(code)).otherwise(pair)
-
-    every = F.array_join(F.transform(F.split(spaced, ""), escaped), "")
-    return F.when(spaced.rlike(r"[^\x00-\x7F]"), every).otherwise(spaced)
-
-
-def stored_value(value: str, text: Column, ascii_only: bool = True) -> Column:
-    """A parsed field as kept at rest: a list as JSON text with its items as they are; any
-    other value as the text it has. ``value`` is SQL for the field as a variant."""
-    is_list = F.startswith(F.expr(f"schema_of_variant({value})"), F.lit("ARRAY"))
-    return F.when(is_list, spaced_json(F.expr(f"to_json({value})"), ascii_only)).otherwise(text)
-
-
 def comma_list(text: Column) -> Column:
     """A JSON array text as its items joined by commas; other text as it is."""
     return F.coalesce(join_list(_json_list(text)), text)
@@ -194,23 +168,3 @@ def json_object_text(reply: Column) -> Column:
     """From the first ``{`` to the last ``}`` across lines; the text itself if none."""
     found = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     return F.when(found != "", found).otherwise(strip_space(reply))
-
-
-_UNREADABLE = "_unreadable"
-_REPLY_TYPE = T.StructType([
-    T.StructField(name, T.StringType()) for name in (*IDEA_FIELDS, _UNREADABLE)
-])
-
-
-def is_json_value(text: Column) -> Column:
-    """Whether a text is one JSON value and nothing else: the lenient reader of the fields
-    would also take single quotes and skip whatever follows the value."""
-    alone = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
-    return F.coalesce(F.try_parse_json(text).isNotNull() & alone, F.lit(False))
-
-
-def parsed_idea(reply: Column) -> Column:
-    """The idea fields of a reply as a struct, with the text itself in a last field
-    if it is not a JSON object. Array values keep their JSON text, as stored."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _UNREADABLE}
-    return F.from_json(json_object_text(reply), _REPLY_TYPE, options)

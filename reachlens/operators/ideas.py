@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from reachlens import fixed_values as fv
 from reachlens.functions.dates import AsOf, as_date, iso_date
+from reachlens.functions.replies import REFUSED, read_replies
 from reachlens.functions.text import (
-    bullets, comma_list, fill, is_filled, is_json_value, join_list, json_object_text, list_to_json, parsed_idea, piece_at,
-    split_list, stored_value,
+    bullets, comma_list, fill, is_filled, join_list, list_to_json, piece_at, split_list,
 )
 from reachlens.operators.common import first_rows, left_join_unique, row_digest, tie_order
 
@@ -171,15 +171,21 @@ def tweak_prompts(ideas: DataFrame, tweaks: DataFrame) -> DataFrame:
 
 
 def parsed_replies(replies: DataFrame) -> DataFrame:
-    """The idea in each reply; replies without a readable JSON object give no row.
+    """The idea in each reply; replies without a readable JSON object give no row here but
+    one in :func:`rejected_replies`."""
+    read = read_replies(replies)
+    return read.filter(F.col(REFUSED).isNull()).drop("reply", REFUSED)
 
-    ``inline`` parses a reply once, whatever is then asked of its fields.
-    """
-    others = [c for c in replies.columns if c != "reply"]
-    candidates = replies.filter(F.contains("reply", F.lit("{")))
-    strict = candidates.filter(is_json_value(json_object_text(F.col("reply"))))
-    fields = strict.select(*others, F.inline(F.array(parsed_idea(F.col("reply")))))
-    return fields.filter("_unreadable IS NULL").drop("_unreadable")
+
+def rejected_replies(replies: DataFrame) -> DataFrame:
+    """The replies that hold no idea, with the reason: no object, or invalid JSON."""
+    read = read_replies(replies)
+    return read.filter(F.col(REFUSED).isNotNull()).select(*replies.columns, F.col(REFUSED).alias("reason"))
+
+
+def counted_replies(read: DataFrame, observation: Observation) -> DataFrame:
+    """What ``read_replies`` gives, accepted and refused replies being counted on the way."""
+    return read.observe(observation, F.count_if(F.col(REFUSED).isNull()).alias("accepted"), F.count_if(F.col(REFUSED).isNotNull()).alias("refused"))
 
 
 def reply_ideas(
@@ -188,13 +194,11 @@ def reply_ideas(
     """Parsed replies as idea rows on the next free day of their account; an account without
     ideas, and so without a slot, gets the day a gap after ``as_of``.
 
-    Lists are kept as JSON text with the types of their items; a text that merely looks like
-    a list stays as it is.
+    Lists are kept as JSON text, their items in order and printed as Python prints them; a
+    text that merely looks like a list stays as it is.
     """
-    valued = replies.withColumn("_value", F.try_parse_json(json_object_text(F.col("reply"))))
-    parsed = parsed_replies(valued)
-    fields = [stored_value(f"try_variant_get(_value, '$.{c}')", F.col(c), ascii_only).alias(c) for c in fv.IDEA_FIELDS]
-    rows = parsed.select("page_id", *fields)
+    read = read_replies(replies, stored=True, ascii_only=ascii_only)
+    rows = read.filter(F.col(REFUSED).isNull()).select("page_id", *fv.IDEA_FIELDS)
     dated = left_join_unique(rows, slots.select("page_id", "next_date"), [("page_id", "page_id")])
     day = F.coalesce("next_date", F.date_add(as_date(as_of), fv.SLOT_GAP_DAYS))
     return dated.select("page_id", iso_date(day).alias("date"), *fv.IDEA_FIELDS, F.lit(source).alias("source"))

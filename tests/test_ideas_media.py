@@ -184,3 +184,36 @@ def test_visible_turns(spark):
     rows = [(1, 2, "user", "c"), (1, 0, "system", "a"), (1, 1, "assistant", "b"), (0, 5, None, "d")]
     out = conversation.visible_turns(spark.createDataFrame(rows, schemas.CONVERSATION)).collect()
     assert [r.text for r in out] == ["d", "b", "c"]
+
+
+def test_replies_read_and_stored_as_python_does(spark):
+    import json
+
+    from reachlens.functions.replies import read_replies
+
+    big = "1" * 41
+    themes = ['[{"b":1,"a":2}]', "[1.0]", f"[{big}]", "[NaN, -Infinity, 1e5, -0, -0.0, 1.50, true, null]", r'["é\/", "é😀"]', '[ ]', '[[1,[2.0]], {"x": {"y": [1]}, "x": 2}]',
+              '"[1, 2]"', "null", "7", "1.50", "true", '"\\ud800"']
+    replies = [f'text {{"caption": "c", "caption": "last", "themes": {t}}} more' for t in themes]
+    bad = ["{'caption': 1}", '{"caption": "c",}', '{"a": 01}', '{"a": "b\nc"}', '{"a": 1} x {"b": 2}']
+    none = ["no braces", None, "} {", "", "{" + '"a":' * 9]
+    made = [(i, r) for i, r in enumerate([*replies, *bad, *none])]
+    frame = spark.createDataFrame(made, "page_id long, reply string").repartition(3)
+    got = by_key(ideas.reply_ideas(frame, spark.createDataFrame([], "page_id long, next_date date"), AS_OF), "page_id")
+    assert sorted(got) == list(range(len(replies)))
+    for i, reply in enumerate(replies):
+        value = json.loads(reply[5:-5])
+        wanted = value["themes"]
+        if isinstance(wanted, list):
+            assert got[i].themes == json.dumps(wanted)
+        elif isinstance(wanted, str):
+            assert got[i].themes == wanted.encode("utf-8", "replace").decode()
+        else:
+            assert got[i].themes == (None if wanted is None else themes[i])
+        assert got[i].caption == "last" and got[i].tone is None
+    rejects = {r.page_id: r.reason for r in ideas.rejected_replies(frame).collect()}
+    assert rejects == {len(replies) + i: "invalid JSON" if i < len(bad) else "no object" for i in range(len(bad) + len(none))}
+    from pyspark.sql import Observation
+    seen = Observation("replies")
+    ideas.counted_replies(read_replies(frame), seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"accepted": len(replies), "refused": len(bad) + len(none)}
