@@ -127,6 +127,25 @@ def period_kpis_balanced(spark, d):
     return kpi.period_kpis(t.posts(spark, d), t.account_daily(spark, d), t.AS_OF, mode="balanced")
 
 
+_HISTORY_SIDES = ", ".join(f"""
+  coalesce((SELECT count(*) FROM posts p WHERE p.page_id = s.page_id AND p.created_time BETWEEN as_of - {a} AND as_of - {b}), 0) AS {side}_total_posts,
+  coalesce((SELECT CAST(sum(follower_count) AS BIGINT) FROM account c WHERE c.page_id = s.page_id AND c.date BETWEEN as_of - {a} AND as_of - {b}), 0) AS {side}_followers_gained,
+  """ + ", ".join(f"coalesce((SELECT CAST(sum({c}) AS BIGINT) FROM posts p WHERE p.page_id = s.page_id AND p.created_time BETWEEN as_of - {a} AND as_of - {b}), 0) AS {side}_total_{m}"
+                for m, c in (("reach", "reach"), ("likes", "like_count"), ("comments", "comments_count")))
+  for side, a, b in (("cur", 7, 0), ("prev", 14, 8)))
+
+
+@check("kpi_history", t.with_sql("account") + f""", spine AS (SELECT page_id, CAST(unnest(generate_series(first, DATE '{t.AS_OF}', INTERVAL 1 DAY)) AS DATE) AS as_of
+FROM (SELECT page_id, min(d) AS first FROM (SELECT page_id, CAST(created_time AS DATE) AS d FROM posts UNION ALL SELECT page_id, date FROM account)
+  WHERE d <= DATE '{t.AS_OF}' GROUP BY 1)),
+k AS (SELECT page_id, as_of, {_HISTORY_SIDES} FROM spine s)
+SELECT page_id, as_of, {', '.join(
+    f"CASE WHEN {s}_{KPI_RATIOS[m][1]} > 0 THEN CAST({s}_{KPI_RATIOS[m][0]} AS DOUBLE) / {s}_{KPI_RATIOS[m][1]} ELSE 0.0::DOUBLE END AS {s}_{m}" if m in KPI_RATIOS else f"{s}_{m}"
+    for s in ('cur', 'prev') for m, _ in KPI_LABELS)} FROM k""")
+def kpi_history(spark, d):
+    return kpi.kpi_history(t.posts(spark, d), t.account_daily(spark, d), t.AS_OF)
+
+
 QUERIES["kpi_differences"] = kpis
 SQL["kpi_differences"] = _WITH_DIFFS + "SELECT * FROM kd"
 

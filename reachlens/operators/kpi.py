@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachlens.fixed_values import KPI_FRAME_DAYS, KPI_LABELS, KPI_RATIOS, NO_DIFFERENCE
 from reachlens.functions.dates import AsOf, day_sql, moment_sql, to_day, to_moment
@@ -73,6 +73,41 @@ def period_kpis(
     ])
 
 
+def kpi_history(posts: DataFrame, account_daily: DataFrame, until: AsOf, frame_days: int = KPI_FRAME_DAYS) -> DataFrame:
+    """``period_kpis`` (reference windows) of every day, taken as of its midnight, from the first
+    day an account has a row on until ``until``; a row per account and day ``as_of``.
+
+    Totals per account and day are made first, days without rows among them; one pass of range
+    frames over the days then gives both periods of each. Windows are closed, so posts of the very
+    midnight a window ends on count: they are kept as totals of their own.
+    """
+    sums = {"posts": "1", "reach": "reach", "likes": "like_count", "comments": "comments_count"}
+    day, last = "CAST(created_time AS DATE)", day_sql(to_day(until))
+    sharp = f"created_time = CAST({day} AS TIMESTAMP_NTZ)"
+    dated = posts.filter(f"created_time IS NOT NULL AND {day} <= {last}").withColumn("day", F.expr(day))
+    totals = dated.groupBy("page_id", "day").agg(
+        *[F.expr(f"sum({x}) AS {name}") for name, x in sums.items()], *[F.expr(f"sum({x}) FILTER (WHERE {sharp}) AS sharp_{name}") for name, x in sums.items()])
+    gains = account_daily.filter(f"date IS NOT NULL AND date <= {last}").dropDuplicates().groupBy("page_id", F.col("date").alias("day")).agg(
+        F.sum("follower_count").alias("gained"))
+    known = totals.unionByName(gains, allowMissingColumns=True)
+    first = known.groupBy("page_id").agg(F.min("day").alias("first"))
+    spine = first.select("page_id", F.explode(F.expr(f"sequence(first, {last})")).alias("day"))
+    names = [*sums, *[f"sharp_{name}" for name in sums], "gained"]
+    per_day = known.unionByName(spine, allowMissingColumns=True).groupBy("page_id", "day").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    by_day, n = Window.partitionBy("page_id").orderBy(F.unix_date("day")), frame_days
+
+    def over(column: str, low: int, high: int) -> Column:
+        return F.coalesce(F.sum(column).over(by_day.rangeBetween(low, high)), F.lit(0))
+
+    figures = []
+    for side, low, high in (("cur", -n, 0), ("prev", -2 * n, -n - 1)):
+        for name in sums:
+            figures.append((over(name, low, high - 1) + over(f"sharp_{name}", high, high)).alias(f"{side}_total_{name}"))
+        figures.append(over("gained", low, high).alias(f"{side}_followers_gained"))
+    both = per_day.select("page_id", F.col("day").alias("as_of"), *figures)
+    return both.selectExpr("page_id", "as_of", *[f"{_value(side, name)} AS {side}_{name}" for side in SIDES for name in METRICS])
+
+
 def for_accounts(figures: DataFrame, accounts: DataFrame | None) -> DataFrame:
     """A row for each ``page_id`` of ``accounts``, whether or not it has figures."""
     if accounts is None:

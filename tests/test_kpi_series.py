@@ -138,3 +138,19 @@ def test_post_markers_start_with_the_series(spark):
     rows = [post(A, str(i), T(2024, 3, d, 10)) for i, d in enumerate((1, 5, 5, 9))] + [post(B, "9", T(2024, 3, 9))]
     out = series.post_markers(posts(spark, rows), account(spark, [(A, D(2024, 3, 5), 1, 1, 1, 1)]))
     assert sorted((r.page_id, r.date) for r in out.collect()) == [(A, D(2024, 3, 5)), (A, D(2024, 3, 9))]
+
+
+def test_history_holds_the_period_figures_of_every_day(spark):
+    rnd = random.Random(4)
+    p = posts(spark, [post(rnd.choice([A, B]), str(i), T(2024, 3, rnd.randint(1, 14), rnd.choice([0, 0, 9, 23])), reach=rnd.randint(0, 9)) for i in range(150)])
+    acc = account(spark, [(A, D(2024, 3, d), rnd.randint(0, 5), 100, 5, 6) for d in (2, 3, 9, 9, 12)] + [(C, D(2024, 3, 5), 1, 7, 1, 1)])
+    history = kpi.kpi_history(p, acc, "2024-03-16").collect()
+    assert len(history) == len({(r.page_id, r.as_of) for r in history}) and max(r.as_of for r in history) == D(2024, 3, 16)
+    for day in (1, 2, 8, 9, 15, 16):
+        at_once = {r.page_id: r for r in kpi.period_kpis(p, acc, f"2024-03-{day:02d}").collect()}
+        for r in history:
+            if r.as_of == D(2024, 3, day):
+                plain = at_once.get(r.page_id)
+                for name, value in r.asDict().items():
+                    if name != "as_of" and (plain is not None or name != "page_id"):
+                        assert value == (plain[name] if plain is not None else 0), (r.page_id, day, name)
