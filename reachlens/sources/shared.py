@@ -12,15 +12,28 @@ _SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 def shared_folder(spark: SparkSession, folder: str | None = None) -> str:
     """``folder`` if given, else ``spark.checkpoint.dir``, else the session's warehouse.
 
-    The order is the same for every master. All executors must reach the folder; its
-    owner empties it when no frame of the session reads from it any more (an expiry rule
+    The order is the same for every master. All executors must reach the folder, so a
+    warehouse on the driver's own disk is refused where executors run elsewhere. Its owner
+    empties it when no frame of the session reads from it any more (an expiry rule
     on the store, or the removal of the job's folder), as nothing here can know that.
     """
     for name in _SETTINGS:
-        folder = folder or spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
+        if folder:
+            break
+        folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
+        if folder and name != _SETTINGS[0]:
+            check_reachable(spark, folder, spark.sparkContext.master)
     return folder.rstrip("/")
 
 
+def check_reachable(spark: SparkSession, folder: str, master: str) -> None:
+    """Refuse a local folder unless everything runs in one process."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    if scheme == "file" and master != "local" and not master.startswith("local["):
+        raise ValueError(f"executors do not share {folder}: set spark.checkpoint.dir to a folder that all of them reach")
+
+
 def new_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark, folder)}/{name}-{uuid.uuid4().hex}"

@@ -111,6 +111,14 @@ def test_shared_folder_follows_the_setting(spark):
     assert shared.new_path(spark, "x") != shared.new_path(spark, "x")
 
 
+def test_a_local_warehouse_is_refused_on_a_cluster(spark, tmp_path):
+    for master in ("local", "local[4]"):
+        shared.check_reachable(spark, str(tmp_path), master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.check_reachable(spark, f"file:{tmp_path}", master)
+
+
 # --- skew -----------------------------------------------------------------------------------
 
 
