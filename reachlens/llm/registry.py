@@ -38,10 +38,13 @@ def table(spark, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_RULE_SQL = " AND ".join(
-    f"(n_words < {rule.least_words} OR coalesce({rule.measure} {op} {value!r}, true))"
-    for rule in quality_rules.RULES for op, value in ((">=", rule.low), ("<=", rule.high)) if value is not None
-)
+# Written out, so that a change of the operator's rules shows.
+_RATIO_SQL = """word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(word_chars, 0) AS symbol_ratio,
+    n_capitals / nullif(word_chars, 0) AS capital_ratio, n_stop_words / nullif(n_words, 0) AS stop_word_ratio,
+    n_repeat_words / nullif(n_words, 0) AS repeat_ratio, n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio"""
+_RULE_SQL = """coalesce(mean_word_chars BETWEEN 2 AND 15, true) AND coalesce(symbol_ratio <= 0.05, true)
+    AND coalesce(capital_ratio <= 0.5, true) AND (n_words < 100 OR coalesce(stop_word_ratio >= 0.03, true))
+    AND coalesce(dup_line_ratio <= 0.5, true)"""
 
 
 @query("op3_quality_rules", rf"""
@@ -61,7 +64,7 @@ counts AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
     CAST(len(list_filter(words, lambda w: list_contains(string_split('{quality_rules.STOP_WORDS}', ' '), lower(w)))) AS BIGINT) AS n_stop_words
   FROM split LEFT JOIN covered USING (r)),
-ratios AS (SELECT *, {', '.join(f'{top} / nullif({base}, 0) AS {name}' for name, (top, base) in quality_rules.MEASURES.items())},
+ratios AS (SELECT *, {_RATIO_SQL},
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT *, NOT base_failed AND {_RULE_SQL} AS kept FROM ratios""")
 def op3_quality_rules(spark, folder):
