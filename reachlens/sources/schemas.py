@@ -86,8 +86,9 @@ TABLES = {
     "conversation": CONVERSATION,
 }
 
-# Lossless widenings accepted on load. Ids never arrive through a double: page ids
-# exceed 2^53 and would be changed silently.
+# Conversions accepted on load: widenings of numbers, and, not lossless, a moment where a day
+# is wanted (its date) and a zoned moment where a zoneless one is (its clock time in the session's
+# zone). Ids never arrive through a double: page ids exceed 2^53 and would be changed silently.
 _ACCEPTED = {
     "bigint": {"bigint", "int", "smallint", "tinyint"},
     "int": {"int", "smallint", "tinyint"},
@@ -104,7 +105,7 @@ class SchemaError(ValueError):
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Project ``df`` to ``schema``; fail on absent columns and lossy types."""
+    """Project ``df`` to ``schema``; fail on absent columns and on types that are not accepted."""
     have = dict(df.dtypes)
     absent = [f.name for f in schema if f.name not in have]
     if absent:
