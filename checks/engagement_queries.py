@@ -8,7 +8,7 @@ from checks import standins as t
 from checks.sql import BUCKETS, DAYS, bucket
 from reachlens.fixed_values import STOP_WORDS
 from reachlens.operators import cards, engagement, terms
-from reachlens.sources.shared import written
+from reachlens.sources.shared import new_path, written
 
 QUERIES, SQL = {}, {}
 
@@ -46,6 +46,19 @@ def posts_left_analysis(spark, d):
     return joined(spark, d)
 
 
+@check("posts_left_analysis_bucketed", SQL["posts_left_analysis"])
+def posts_left_analysis_bucketed(spark, d):
+    """The same join from tables stored by id: picked once, nothing moved afterwards."""
+    posts, current = stored_for_join(spark, d)
+    return engagement.join_stored(engagement.with_like_rate(posts), current)
+
+
+def stored_for_join(spark, d, buckets=16):
+    folder = new_path(spark, "by-id")
+    names = [folder.rsplit("/", 1)[1].replace("-", "_") + part for part in ("_posts", "_analysis")]
+    return engagement.store_for_join(t.posts(spark, d), t.analysis(spark, d), *names, folder, buckets)
+
+
 @check("posts_all_analyses", t.with_sql("sold_posts") + """
 SELECT p_partkey AS page_id, id AS post_id, post_id AS video_id, s.created_time, reach, like_count, polarity, video_len, call_to_action
 FROM (SELECT p_partkey, CAST(p_partkey + 100 AS VARCHAR) AS id FROM part) LEFT JOIN sold_posts s ON id = post_id""")

@@ -12,6 +12,7 @@ from reachlens.fixed_values import (
 from reachlens.functions.dates import CATEGORY_LABELS, AsOf, days_before, time_bucket, weekday_name
 from reachlens.functions.numbers import like_rate, mean_of, round2
 from reachlens.operators.common import choice, first_rows, left_join_unique, row_digest
+from reachlens.sources.sinks import write_keyed
 
 # Columns an analysis row repeats from its post; the post side is the one kept.
 _POST_SIDE = ("page_id", "created_time", "reach", "like_count", "comments_count", "shares", "saved")
@@ -66,14 +67,52 @@ def join_analysis(
         side = current_analysis(analysis, columns, ties)
     else:
         side = analysis if columns is None else analysis.select("video_id", *columns)
-    dropped = set(posts.columns) | set(_POST_SIDE)
-    side = side.select(
-        F.col("video_id").alias("_video"), *[c for c in side.columns if c not in dropped]
+    return _speech_rounded(left_join_unique(posts, _beside(posts, side), [("post_id", "_video")]))
+
+
+def store_for_join(
+    posts: DataFrame, analysis: DataFrame, posts_name: str, analysis_name: str, folder: str, buckets: int,
+    ties: Sequence[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Posts by post_id and the current analyses by video_id as bucketed tables.
+
+    The pick of one analysis per video, and the reading of all columns that settles its ties,
+    happen here once; ``join_stored`` then needs neither and moves no row of either table.
+    """
+    current = current_analysis(analysis, ties=ties)
+    return (
+        write_keyed(posts, posts_name, "post_id", f"{folder}/posts", buckets),
+        write_keyed(current, analysis_name, "video_id", f"{folder}/analysis", buckets),
+    )
+
+
+def join_stored(posts: DataFrame, current: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``join_analysis`` of the two tables of ``store_for_join``, without an exchange.
+
+    Bucket meets bucket. Posts without an id are kept apart, as they match nothing and all lie
+    in one bucket. A task reads a whole bucket, so this is for ids that repeat as often as
+    there are snapshots; where one id may hold much of the table, ``join_analysis`` splits it.
+    """
+    side = current if columns is None else current.select("video_id", *columns)
+    side = _beside(posts, side)
+    named = posts.filter(F.col("post_id").isNotNull())
+    joined = named.join(side, F.col("post_id") == F.col("_video"), "left").drop("_video")
+    nameless = posts.filter(F.col("post_id").isNull()).select(
+        "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema if f.name != "_video"]
     )
-    joined = left_join_unique(posts, side, [("post_id", "_video")])
-    if "speech_rate" in joined.columns:
-        joined = joined.withColumn("speech_rate", round2(F.col("speech_rate")))
-    return joined
+    return _speech_rounded(joined.unionByName(nameless))
+
+
+def _beside(posts: DataFrame, side: DataFrame) -> DataFrame:
+    """The columns an analysis adds to its post, its id under a name of its own."""
+    dropped = set(posts.columns) | set(_POST_SIDE)
+    return side.select(F.col("video_id").alias("_video"), *[c for c in side.columns if c not in dropped])
+
+
+def _speech_rounded(joined: DataFrame) -> DataFrame:
+    if "speech_rate" not in joined.columns:
+        return joined
+    return joined.withColumn("speech_rate", round2(F.col("speech_rate")))
 
 
 # --- filters and rankings ----------------------------------------------------------

@@ -315,3 +315,31 @@ def test_clip_ids_of_a_batch_do_not_change(spark):
     first = ids(clip_rows(uploads(made, 3), AS_OF, "m"))
     assert first == ids(clip_rows(uploads(made[::-1], 5), AS_OF, "m")) and len(set(first)) == 20 and len(first[0]) == 36
     assert not set(first) & set(ids(clip_rows(uploads(made, 3), AS_OF, "n")))
+
+
+# --- tables laid out for their join ---------------------------------------------------------
+
+
+def test_join_of_stored_tables_moves_no_row(spark):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored, current = engagement_queries.stored_for_join(spark, SMALL, 4)
+        text = plan(engagement.join_stored(stored, current))
+        assert "SortMergeJoin" in text and "Exchange" not in text and "Window" not in text
+        narrow = plan(engagement.join_stored(stored, current, ["mood"]))
+        assert "Exchange" not in narrow and "raw_speech" not in narrow and "xxhash64" not in narrow
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_stored_join_equals_the_join(spark, tmp_path):
+    p = posts(spark, [post(A, i, Time(2024, 3, 1)) for i in ("1", "1", "2", None, None, "")])
+    a = analysis(spark, [{"video_id": v, "mood": m, "speech_rate": 1.005} for v, m in (("1", "x"), ("1", "y"), ("2", "z"), (None, "n"), ("3", "q"))])
+    stored = engagement.store_for_join(p, a, "keyed_posts", "keyed_analysis", str(tmp_path), 3)
+    shown = lambda frame: sorted(map(str, frame.collect()))
+    got = engagement.join_stored(*stored)
+    assert got.columns == engagement.join_analysis(p, a).columns
+    assert shown(got) == shown(engagement.join_analysis(p, a)) and len(shown(got)) == 6
+    empty = engagement.store_for_join(p.limit(0), a.limit(0), "empty_posts", "empty_analysis", str(tmp_path / "none"), 3)
+    assert engagement.join_stored(*empty).count() == 0
