@@ -8,7 +8,7 @@ from checks import standins as t
 from checks.sql import BUCKETS, DAYS, bucket
 from reachlens.fixed_values import STOP_WORDS
 from reachlens.operators import cards, engagement, terms
-from reachlens.sources.shared import new_path, written
+from reachlens.sources.shared import Memo, new_path, written
 
 QUERIES, SQL = {}, {}
 
@@ -344,3 +344,11 @@ def term_phrases(spark, d):
 @check("persist_roundtrip", _JOINED + "SELECT * FROM joined")
 def persist_roundtrip(spark, d):
     return written(joined(spark, d), "joined-posts")
+
+
+@check("memo_roundtrip", _JOINED + "SELECT * FROM joined")
+def memo_roundtrip(spark, d):
+    """Kept by key: the second call finds what the first one has stored."""
+    memo = Memo(spark)
+    memo.frame(joined(spark, d), "joined posts")
+    return memo.frame(joined(spark, d), "joined posts")

@@ -13,8 +13,9 @@ from reachlens.functions.text import bullets, piece_at, title_label
 from reachlens.operators.common import first_rows
 from reachlens.operators import cards, conversation, ideas, kpi, media
 from reachlens.sources import sinks
+from reachlens.sources.listing import list_media, put_media
 from reachlens.sources.schemas import POST_IDEAS
-from reachlens.sources.shared import new_path
+from reachlens.sources.shared import new_path, written
 
 QUERIES, SQL = {}, {}
 
@@ -426,6 +427,20 @@ def clip_append_repeated(spark, d):
     return _shown_clips(sinks.read_batches(spark, path))
 
 
+@check("media_listing", """SELECT r_name || '/' || n_name || '/' || CAST(s_suppkey AS VARCHAR) || '.mp4' AS name,
+'https://storage.googleapis.com/clips/' || replace(r_name, ' ', '%20') || '/' || replace(n_name, ' ', '%20') || '/' || CAST(s_suppkey AS VARCHAR) || '.mp4' AS url,
+CAST(strlen(s_name) AS BIGINT) AS length
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def media_listing(spark, d):
+    """One object per supplier, put by tasks into folders named after regions and nations, and listed."""
+    folder = new_path(spark, "media")
+    supplier, nation, region = (t.table(spark, d, n) for n in ("supplier", "nation", "region"))
+    placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    objects = placed.select(F.concat("r_name", F.lit("/"), "n_name", F.lit("/"), "s_suppkey", F.lit(".mp4")).alias("name"), F.col("s_name").alias("content"))
+    written(put_media(objects, folder), "media-put")
+    return list_media(spark, folder, "clips", quoted=True).filter("name LIKE '%.mp4'")
+
+
 # --- conversation ------------------------------------------------------------------------
 
 

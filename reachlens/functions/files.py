@@ -28,7 +28,13 @@ def renamed(file_id: Column, name: Column) -> Column:
     return F.concat(file_id, F.lit("."), extension(name))
 
 
-def public_url(bucket: str, name: Column, base: str = PUBLIC_URL_BASE) -> Column:
+def public_url(bucket: str, name: Column, base: str = PUBLIC_URL_BASE, quoted: bool = False) -> Column:
+    """Address of an object; ``quoted`` percent-encodes its name as the store's own client does,
+    all but letters, digits and ``/_.-~``."""
+    if quoted:
+        name = F.url_encode(name)  # as in forms, which differ in four characters
+        for form, path in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+            name = F.replace(name, F.lit(form), F.lit(path))
     return F.concat(F.lit(f"{base}/{bucket}/"), name)
 
 

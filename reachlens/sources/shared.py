@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from types import TracebackType
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SETTINGS = ("spark.checkpoint.dir", "spark.sql.warehouse.dir")
 
@@ -48,3 +51,59 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Memo:
+    """Stored results that are found again by key as long as their inputs are unchanged.
+
+    The key of a result is made of the caller's text (the query's own, with its arguments), the
+    names and types of its columns, a hash of its plan, and name, length and time of every file it
+    reads. A result whose files have changed is therefore computed anew. Frames that read
+    anything but files are refused, as nothing tells whether that has changed. ``folder`` may
+    be shared by sessions; the one that owns it closes the memo, which removes all it holds,
+    when no frame is read from it any more.
+
+        with Memo(spark) as memo:
+            daily = memo.frame(df, "SELECT ... for 2024-01-31")
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.path = folder.rstrip("/") if folder else new_path(spark, "memo")
+
+    def frame(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` as stored under its key, written first where it is not there."""
+        path = f"{self.path}/{self.key(df, text)}"
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            df.write.mode("overwrite").parquet(path)  # over what a broken-off write left
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def key(self, df: DataFrame, text: str) -> str:
+        parts = [text, df.schema.json(), str(df.semanticHash()), *map(str, self._inputs(df))]
+        return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
+    def _inputs(self, df: DataFrame) -> list:
+        """Number of input files and sums over hashes of name, length and time, by a Spark job.
+        Spark's file index has the names already; no file is opened."""
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        kinds = {leaves.apply(i).getClass().getSimpleName() for i in range(leaves.size())}
+        if kinds - {"LogicalRelation"}:
+            raise ValueError(f"only frames over files can be kept by key, not {', '.join(sorted(kinds))}")
+        names = [unquote(name) for name in df.inputFiles()]
+        if not names:
+            return [0]
+        listed = self.spark.read.format("binaryFile").load(names).select("path", "length", "modificationTime")
+        hashes = [F.xxhash64(F.lit(seed), "path", "length", "modificationTime") for seed in range(2)]
+        return list(listed.agg(F.count("*"), *[F.sum(h.cast("decimal(38,0)")) for h in hashes]).first())
+
+    def close(self) -> None:
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        base.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(base, True)
+
+    def __enter__(self) -> Memo:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        self.close()

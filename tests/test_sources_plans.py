@@ -1,4 +1,5 @@
 import re
+from urllib.parse import quote
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -64,6 +65,45 @@ def test_media_listing_never_reads_the_bytes(spark, tmp_path):
     assert rows[4].url == "https://storage.googleapis.com/clips/sub/deep/p1.mp4"
 
 
+def test_folders_are_listed_by_tasks_of_their_own(spark, tmp_path):
+    folder = tmp_path / "media"
+    made = [(f"r{i % 3}/n {i % 5}/{i}.mp4", b"x" * i) for i in range(30)] + [("top.mp4", b""), ("r0/é~*+%2F &!.mp4", b"12")]
+    stored = listing.put_media(spark.createDataFrame(made, "name string, content binary").repartition(3), f"file://{folder}")
+    assert sorted(tuple(r) for r in stored.collect()) == sorted((n, len(c)) for n, c in made)
+    for path, depth, tasks in ((f"file://{folder}", 1, 4), (str(folder), 2, 19), (f"{folder}/", 0, 1)):
+        got = listing.list_media(spark, path, "b", depth=depth)
+        assert got.rdd.getNumPartitions() == tasks
+        assert sorted((r.name, r.length) for r in got.collect()) == sorted((n, len(c)) for n, c in made)
+    urls = {r.name: r.url for r in listing.list_media(spark, str(folder), "b", base="s:/", quoted=True).collect()}
+    assert urls == {n: "s://b/" + quote(n, safe="/~") for n, _ in made}
+    (tmp_path / "empty").mkdir()
+    assert listing.list_media(spark, str(tmp_path / "empty"), "b").count() == 0
+    for name in ("../x", "/x", "", None):
+        with pytest.raises(Exception, match="cannot be stored"):
+            listing.put_media(spark.createDataFrame([(name, b"")], "name string, content binary"), str(folder)).collect()
+
+
+def test_memo_writes_once_per_key_and_input(spark, tmp_path):
+    source, kept = str(tmp_path / "in put=1"), tmp_path / "memo"
+    spark.range(5).write.parquet(source)
+    files = lambda: {f: f.stat().st_mtime_ns for f in kept.rglob("*.parquet")}
+    query = lambda: spark.read.parquet(source).filter("id > 1")
+    with shared.Memo(spark, str(kept)) as memo:
+        assert memo.frame(query(), "q").count() == 3
+        before = files()
+        assert memo.frame(query(), "q").count() == 3 and files() == before
+        assert shared.Memo(spark, str(kept)).frame(query(), "q").count() == 3 and files() == before
+        assert memo.frame(query().filter("id > 3"), "q").count() == 1 and len(files()) > len(before)
+        spark.range(5, 7).write.mode("append").parquet(source)  # changed input
+        changed = len(files())
+        assert memo.frame(query(), "q").count() == 5 and len(files()) > changed
+        (next(kept.rglob("_SUCCESS"))).unlink()  # broken off
+        assert memo.frame(query(), "q").count() == 5 and memo.frame(query().filter("id > 3"), "q").count() == 3
+        with pytest.raises(ValueError, match="over files"):
+            memo.frame(spark.range(3).toDF("id"), "q")
+    assert not kept.exists()
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path / "ideas")
     with pytest.raises(FileNotFoundError):
