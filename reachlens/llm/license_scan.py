@@ -1,15 +1,17 @@
-"""Licence scan: a positional index of rare template words, aligned and verified per file.
+"""Licence scan: a positional index of template words, intersected by place and verified per file.
 
-Templates are short licence notices with the key phrases they must contain. Of each template
-the highest-IDF word of its key phrases is indexed, with its posting (template, position). A
-match must hold that word, so every occurrence in a file gives the place the template would
-have to begin for the word to stand where the posting says, and no match begins anywhere
-else. At these places the mandatory phrases must stand word by word; the score is the IDF
-mass of the template words found in place. Inverse document frequencies are counted over all
-documents, for the words of the templates only, so they are few whatever the corpus.
+Templates are licence notices, identifier lines and the opening clauses of licence bodies, each
+with the key phrases it must contain. All template words are indexed with their postings
+(template, position). A file's licence words are walked from the highest inverse document
+frequency down; every occurrence of a word gives, through its posting, the place where
+the template would have to begin, and the places that the words of the key phrases give are
+intersected. What is left must hold the key phrases word by word; the score is the IDF mass of
+the template words found in place. Frequencies are counted over all documents, for the words
+of the templates only, so they are few whatever the corpus.
 
-A file without any indexed word can match nothing and is left at once. No file is too full of
-notices: all occurrences of all indexed words are aligned.
+A template is dropped as soon as no place is left, and at once if a word of its key phrases is
+missing in the file. No file is too full of notices and no word too frequent in it: all
+occurrences take part, and each intersection costs no more than the places left from rarer words.
 
 Defined results: a null text is empty (no words, no labels, score 0); repeated rows and ids
 are scanned row by row; an empty table gives an empty result; other columns are not read.
@@ -40,8 +42,8 @@ class Template:
 # Phrases every scan counts, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-TEMPLATES = (
-    *(Template(label, phrase, (phrase,)) for phrase, label in BASE),
+# Short notices with the phrases that must stand in them.
+NOTICES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted",
              ("redistribution and use in source and binary forms",)),
@@ -58,6 +60,92 @@ TEMPLATES = (
     Template("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
 )
 
+# Labels and the identifiers that stand for them in SPDX lines.
+IDENTIFIERS = (
+    ("agpl-3.0", "agpl 3 0"), ("apache-2.0", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("bsl-1.0", "bsl 1 0"),
+    ("cc-by-nc", "cc by nc 4 0"), ("cc-by-nd", "cc by nd 4 0"), ("cc-by-sa", "cc by sa 4 0"), ("cc0", "cc0 1 0"), ("epl-2.0", "epl 2 0"),
+    ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("isc", "isc"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("mit", "mit"),
+    ("mpl-2.0", "mpl 2 0"), ("unlicense", "unlicense"), ("zlib", "zlib"),
+)
+
+# Opening clauses of public licences, with the phrases that must stand in them.
+BODIES = (
+    Template(
+        "agpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public "
+        "license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu affero general public license as published by the free software foundation",)),
+    Template(
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
+        "you may obtain a copy of the license at",
+        ("apache license version 2 0", "except in compliance with the license")),
+    Template(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following "
+        "conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the "
+        "following disclaimer",
+        ("redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice")),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+        "documentation covered by this license",
+        ("free of charge to any person or organization obtaining a copy of the software",)),
+    Template(
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0",
+        ("eclipse public license v 2 0",)),
+    Template(
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "either version 2 of the license")),
+    Template(
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+        "published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "either version 3 of the license")),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided "
+        "that the above copyright notice and this permission notice appear in all copies",
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license "
+        "as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ("gnu lesser general public license as published by the free software foundation",)),
+    Template(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
+        "publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to "
+        "do so subject to the following conditions",
+        ("permission is hereby granted free of charge", "to use copy modify merge publish distribute sublicense and or sell copies")),
+    Template(
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed "
+        "with this file you can obtain one at",
+        ("mozilla public license", "a copy of the mpl was not distributed with this file")),
+    Template(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell "
+        "or distribute this software",
+        ("free and unencumbered software released into the public domain",)),
+    Template(
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and "
+        "redistribute it freely subject to the following restrictions",
+        ("permission is granted to anyone to use this software for any purpose", "alter it and redistribute it freely")),
+)
+
+TEMPLATES = (
+    *(Template(label, phrase, (phrase,)) for phrase, label in BASE),
+    *NOTICES,
+    *(Template(label, line, (line,)) for label, line in ((i, f"spdx license identifier {n}") for i, n in IDENTIFIERS)),
+    *BODIES,
+)
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     return _WORDS((text or b"").lower())
@@ -81,40 +169,57 @@ def document_frequencies(docs: DataFrame, templates: Sequence[Template] = TEMPLA
 
 
 class Index:
-    """Templates as word lists, IDF, and the postings of the words without which nothing matches."""
+    """Templates as word lists, with the IDF and the postings of all their words."""
 
     def __init__(self, templates: Sequence[Template], n_docs: int, frequency: dict[bytes, int]):
         self.labels = [t.label for t in templates]
         self.words = [words_of(t.text.encode()) for t in templates]
         self.idf = {w: log((n_docs + 1) / (frequency.get(w, 0) + 1)) + 1e-6 for ws in self.words for w in ws}
         self.mass = [sum(self.idf[w] for w in ws) for ws in self.words]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.phrases: list[list[tuple[int, list[bytes]]]] = []
-        for i, t in enumerate(templates):
-            placed = []
-            for phrase in t.phrases:
-                parts = words_of(phrase.encode())
-                at = next(p for p in range(len(self.words[i])) if self.words[i][p:p + len(parts)] == parts)
-                placed.append((at, parts))
-            self.phrases.append(placed)
-            key, p = max(((w, at + k) for at, parts in placed for k, w in enumerate(parts)), key=lambda x: (self.idf[x[0]], x))
-            self.postings[key].append((i, p))
-        self.postings = dict(sorted(self.postings.items(), key=lambda x: (-self.idf[x[0]], x[0])))
-        self.keys = frozenset(self.postings)
+        for own, t in zip(self.words, templates):
+            parts = [words_of(phrase.encode()) for phrase in t.phrases]
+            self.phrases.append([(next(p for p in range(len(own)) if own[p:p + len(q)] == q), q) for q in parts])
+        # The places that a key phrase covers, and the words a file must hold for them.
+        self.mandatory = [frozenset(at + k for at, q in placed for k in range(len(q))) for placed in self.phrases]
+        self.needed = [frozenset(w for _, q in placed for w in q) for placed in self.phrases]
+        postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t, own in enumerate(self.words):
+            for p, w in enumerate(own):
+                postings[w].append((t, p))
+        self.postings = dict(sorted(postings.items(), key=lambda x: (-self.idf[x[0]], x[0])))
+        self.vocabulary = frozenset().union(*self.needed)
+        # Without the rarest word of some template's phrases a file can match nothing.
+        self.keys = frozenset(max(needed, key=lambda w: (self.idf[w], w)) for needed in self.needed)
 
-    def match(self, words: list[bytes]) -> dict[str, float]:
-        """Labels of the templates found, each with its best score."""
+    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
+        """Per template the places where all words of its key phrases point to as its start."""
         if self.keys.isdisjoint(words):
             return {}
-        places: dict[bytes, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            if w in self.keys:
-                places[w].append(i)
+        present = self.vocabulary.intersection(words)
+        alive = {t for t, needed in enumerate(self.needed) if needed <= present}
+        wanted = frozenset().union(*(self.needed[t] for t in alive))
+        places: dict[bytes, set[int]] = {w: set() for w in self.postings if w in wanted}  # IDF falling
+        for i, w in enumerate(words if alive else ()):
+            if w in wanted:
+                places[w].add(i)
+        left: dict[int, set[int]] = {}
+        for w, held in places.items():
+            for t, p in self.postings[w]:
+                if t in alive and p in self.mandatory[t]:
+                    left[t] = {s for s in left[t] if s + p in held} if t in left else {i - p for i in held}
+                    if not left[t]:
+                        alive.remove(t)
+        return {t: left[t] for t in alive}
+
+    def match(self, words: list[bytes]) -> dict[str, float]:
+        """Labels of the templates found, each with its best score."""
         found: dict[str, float] = {}
-        for t, start in ((t, i - p) for w in self.postings if w in places for t, p in self.postings[w] for i in places[w]):
-            if all(start + at >= 0 and words[start + at:start + at + len(parts)] == parts for at, parts in self.phrases[t]):
-                held = sum(self.idf[w] for p, w in enumerate(self.words[t]) if 0 <= start + p < len(words) and words[start + p] == w)
-                found[self.labels[t]] = max(found.get(self.labels[t], 0.0), min(1.0, held / self.mass[t]))
+        for t, starts in self.starts(words).items():
+            for start in starts:
+                if all(words[start + at:start + at + len(parts)] == parts for at, parts in self.phrases[t]):
+                    held = sum(self.idf[w] for p, w in enumerate(self.words[t]) if 0 <= start + p < len(words) and words[start + p] == w)
+                    found[self.labels[t]] = max(found.get(self.labels[t], 0.0), min(1.0, held / self.mass[t]))
         return found
 
 

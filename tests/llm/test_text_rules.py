@@ -94,6 +94,8 @@ def licences_by_force(words, idf):
     best = {}
     for t in license_scan.TEMPLATES:
         own = t.text.split()
+        if not set(words).issuperset(" ".join(t.phrases).split()):
+            continue
         for start in range(-len(own), len(words)):
             there = [words[start + p] if 0 <= start + p < len(words) else None for p in range(len(own))]
             if all(any(there[p:p + len(q)] == q == own[p:p + len(q)] for p in range(len(own))) for q in (x.split() for x in t.phrases)):
@@ -103,8 +105,9 @@ def licences_by_force(words, idf):
 
 
 def test_licence_files_of_many_notices(documents, rows):
-    notices = [t.text for t in license_scan.TEMPLATES[len(license_scan.BASE):]]
+    notices = [t.text for t in license_scan.NOTICES]
     files = [" ".join(c) for k in (1, 2, 3, 4) for c in itertools.combinations(notices, k)]
+    notices = [t.text for t in license_scan.TEMPLATES[len(license_scan.BASE):]]
     files += [" ".join(notices), " ".join(notices[::-1]), " x ".join(t.phrases[0] for t in license_scan.TEMPLATES)]
     docs = [f.split() for f in files]
     frequency = Counter(w for d in docs for w in set(d))
@@ -116,6 +119,35 @@ def test_licence_files_of_many_notices(documents, rows):
     assert set(got[-3][1].split(",")) == {t.label for t in license_scan.TEMPLATES} - {"reserved"}
 
 
+def test_licence_bodies_and_lines_among_their_own_words(documents, rows):
+    """Whole, cut, doubled and disturbed clauses, and files full of the rarest words of a clause."""
+    made = random.Random(7)
+    templates = license_scan.TEMPLATES[len(license_scan.BASE) + len(license_scan.NOTICES):]
+    files = []
+    for t in templates:
+        own = t.text.split()
+        cut = made.randrange(1, len(own))
+        files += [t.text, " ".join(own[:cut]), " ".join(own[cut:]), " ".join(own[:cut] + ["x"] + own[cut:]), " ".join(own[:-1] * 2 + own)]
+        common = made.choice(t.phrases[0].split())
+        files += [" ".join([common] * 200 + own + [common] * 200), " ".join(made.sample(own, len(own)))]
+        at = made.randrange(len(own))
+        files.append(" ".join(own[:at] + ["other"] + own[at + 1:]))
+    docs = [f.split() for f in files]
+    frequency = Counter(w for d in docs for w in set(d))
+    got = rows(license_scan.scanned(documents([*enumerate(files)])), "doc_id", "labels", "score")
+    for (i, labels, score), words in zip(got, docs):
+        best = licences_by_force(words, lambda w: math.log((len(docs) + 1) / (frequency[w] + 1)) + 1e-6)
+        assert labels == ",".join(sorted(best)) and score == pytest.approx(max(best.values(), default=0.0)), files[i]
+    assert all(t.label in got[8 * i][1].split(",") for i, t in enumerate(templates))
+
+
+def test_licence_starts_come_from_several_words():
+    index = license_scan.Index(license_scan.TEMPLATES, 10, {})
+    mit = next(t for t, x in enumerate(license_scan.TEMPLATES) if x.text == "released under the mit license")
+    assert index.starts(b"mit x license mit license mit mit".split())[mit] == {0}
+    assert index.starts(b"license mit x license".split()) == {}
+
+
 URLS = [
     "http://Example.COM/en/x?q#f", "https://www.example.com/en/", "https://a.www.example.com/en/1", "http://example.com", "http://example.com/",
     "http://notexample.com/en/", "x.net/es/", "http://x.net/es/a", "http://net/fr/", "http://x.net/es", None, "", "://", "http:///p", "a://b://c.com/en/",
