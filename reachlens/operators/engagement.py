@@ -71,18 +71,19 @@ def join_analysis(
 
 
 def store_for_join(
-    posts: DataFrame, analysis: DataFrame, posts_name: str, analysis_name: str, folder: str, buckets: int,
-    ties: Sequence[str] | None = None,
+    posts: DataFrame, analysis: DataFrame, posts_name: str, analysis_name: str, folder: str,
+    buckets: int | None = None, ties: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Posts by post_id and the current analyses by video_id as bucketed tables.
 
     The pick of one analysis per video, and the reading of all columns that settles its ties,
-    happen here once; ``join_stored`` then needs neither and moves no row of either table.
+    happen here once; ``join_stored`` then needs neither and moves no row of either table. With
+    as many buckets as shuffle partitions, the default, long texts are shuffled once.
     """
     current = current_analysis(analysis, ties=ties)
     return (
         write_keyed(posts, posts_name, "post_id", f"{folder}/posts", buckets),
-        write_keyed(current, analysis_name, "video_id", f"{folder}/analysis", buckets),
+        write_keyed(current, analysis_name, "video_id", f"{folder}/analysis", buckets, nulls=False),
     )
 
 

@@ -162,16 +162,25 @@ def rewrite_touched(
 # --- tables laid out for their join ---------------------------------------------------------
 
 
-def write_keyed(rows: DataFrame, name: str, key: str, path: str, buckets: int) -> DataFrame:
+def dealt(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Rows in the tasks of their buckets; those without a key stay in the tasks that hold them.
+
+    Rows that a window or aggregation has just partitioned by ``key`` alone, into as many
+    partitions, are not moved again: Spark drops a repartition that changes nothing.
+    """
+    keyed = rows.filter(F.col(key).isNotNull()).repartition(buckets, key)
+    return keyed.unionByName(rows.filter(F.col(key).isNull()))
+
+
+def write_keyed(rows: DataFrame, name: str, key: str, path: str, buckets: int | None = None, nulls: bool = True) -> DataFrame:
     """Store ``rows`` as the catalog table ``name``, bucketed by ``key`` and sorted in each bucket.
 
-    Two such tables with as many buckets join on their keys without an exchange. Rows are
-    dealt to the buckets first, so that each bucket is one file; those without a key skip that
-    and are written by the tasks that hold them. ``buckets`` follows the size of the table: a
-    bucket must fit a task.
+    Two such tables with as many buckets join on their keys without an exchange. ``buckets``
+    follows the size of the table, as a bucket must fit a task; by default it is the session's
+    number of shuffle partitions. ``nulls=False`` says that no row lacks its key.
     """
     spark = rows.sparkSession
-    dealt = rows.filter(F.col(key).isNotNull()).repartition(buckets, key)
-    dealt.unionByName(rows.filter(F.col(key).isNull())).write.bucketBy(buckets, key).sortBy(key).format("parquet").option(
-        "path", path).saveAsTable(name)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = dealt(rows, key, buckets) if nulls else rows.repartition(buckets, key)
+    placed.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)

@@ -373,6 +373,13 @@ def test_join_of_stored_tables_moves_no_row(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
+def test_storing_shuffles_long_texts_once(spark):
+    from checks import standins
+    wide = standins.table(spark, SMALL, "documents").selectExpr("CAST(doc_id AS STRING) AS video_id", "source AS created_time", "text")
+    text = plan(engagement.current_analysis(wide).repartition(4, "video_id"))  # as many as shuffle partitions
+    assert text.count("Exchange hashpartitioning(video_id") == 1 and "WindowGroupLimit" in text.split("Exchange")[1]
+
+
 def test_stored_join_equals_the_join(spark, tmp_path):
     p = posts(spark, [post(A, i, Time(2024, 3, 1)) for i in ("1", "1", "2", None, None, "")])
     a = analysis(spark, [{"video_id": v, "mood": m, "speech_rate": 1.005} for v, m in (("1", "x"), ("1", "y"), ("2", "z"), (None, "n"), ("3", "q"))])
