@@ -6,17 +6,21 @@ windows out so that equal ones meet and no text is compared with all others.
 1. Segments. Every window has a minimizer, the least hash of its 50-byte strings (leftmost of
    equals). Neighbouring windows with one minimizer form a segment, about 75 windows. Equal
    windows have equal minimizers, so a minimizer seen once can be left at once: a count over
-   16 bytes a segment does it. Where all segments of a minimizer are equal byte for byte (a
-   digest tells), all their windows repeat and no bytes are looked at.
-2. Shards. Of the other minimizers, the different segments are fetched once each and dealt to
-   shards by minimizer. A shard sorts all suffixes by Larsson-Sadakane refinement (groups of
-   equal rank are split by the rank ``h`` places on, h doubling), takes the common prefixes by
-   Kasai's rule, and so finds the windows that agree with a neighbour in the suffix array.
+   16 bytes a segment does it. Of the others, segments equal byte for byte (a digest tells)
+   are counted, and one of them stands for all.
+2. Shards. The different segments are fetched once each and dealt to shards by minimizer,
+   with their counts. A shard sorts all suffixes by Larsson-Sadakane refinement (groups of
+   equal rank are split by the rank ``h`` places on, h doubling) and takes the common
+   prefixes by Kasai's rule. Neighbours in the suffix array that agree in ``length`` bytes
+   are one window; it repeats if the counts of their segments sum to two or more.
 3. Crowded minimizers. A minimizer with more segments than fit a shard is cut into blocks.
    Each block is sorted by itself, and pairs of blocks are merged by binary search of one
    block's windows in the other's sorted ones.
 4. Repeated windows become spans of their documents; overlapping spans are joined.
 
+Minimizers and segments that hold more than a thousandth of all rows, so fewer than a thousand
+of them, are joined by broadcast; no task takes the rows of one alone.
+
 Defined results: a null text is empty, a text shorter than ``length`` loses nothing; equal
 rows, and rows with one id, are documents of their own, so each is elsewhere for the other;
 an empty table gives an empty result; other columns are not read.
@@ -172,15 +176,16 @@ def common_prefixes(order: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(value + places) - places
 
 
-def repeated_starts(parts: list[bytes], length: int) -> np.ndarray:
+def repeated_starts(parts: list[bytes], length: int, counts: np.ndarray | None = None) -> np.ndarray:
     """Places in the parts end to end (a sentinel after each) whose next ``length`` bytes
-    also start at another place."""
+    also start at another place, or stand in a part that counts for several."""
     order, _, text = suffix_array(parts)
-    prefix = common_prefixes(order, text)
-    long = prefix >= length
-    after = np.zeros(len(order), bool)
-    after[order[:-1]] = long[order[1:]]
-    return np.flatnonzero(long | after)
+    window = np.cumsum(common_prefixes(order, text)[order] < length)  # one number for suffixes that agree so far
+    size = np.array([len(p) + 1 for p in parts])
+    weight = np.repeat(np.ones(len(parts), np.int64) if counts is None else counts, size)
+    weight[np.repeat(np.cumsum(size) - 1, size) - np.arange(len(order)) < length] = 0
+    total = np.bincount(window, weight[order])
+    return np.sort(order[(total[window] > 1) & (weight[order] > 0)])
 
 
 def _sorted_windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,18 +242,23 @@ def _runs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[np.concatenate([[0], breaks + 1])], places[np.concatenate([breaks, [len(places) - 1]])]
 
 
-def _in_shards(fetched: DataFrame, length: int, shard_bytes: int, block_bytes: int) -> DataFrame:
-    """``minimizer, digest, low, high``: runs of repeated windows inside different segments,
-    from rows ``minimizer, digest, bytes``."""
-    sizes = fetched.groupBy("minimizer").agg(F.sum(F.length("bytes")).alias("size"))
-    total = written(sizes, "shard-sizes")
-    n_shards = max(1, ceil((total.agg(F.sum("size")).first()[0] or 0) / shard_bytes))
-    rows = fetched.join(total, "minimizer").withColumn("n", F.ceil(F.col("size") / block_bytes).cast("int"))
-    # A minimizer that fits goes to a shard with others; a crowded one to pairs of its blocks.
-    rows = rows.withColumn("blk", F.expr("CAST(pmod(xxhash64(digest), n) AS INT)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+def _joined(rows: DataFrame, side: DataFrame, keys: list[str], heavy: float) -> DataFrame:
+    """``rows`` with the stored ``side``, whose keys have ``n`` rows each; those with more than
+    ``heavy``, a thousandth of all, are broadcast."""
+    few = side.filter(F.col("n") > heavy)
+    others = rows.join(F.broadcast(few.select(*keys).distinct()), keys, "left_anti").join(side.filter(F.col("n") <= heavy), keys)
+    return rows.join(F.broadcast(few), keys).unionByName(others)
+
+
+def _in_shards(fetched: DataFrame, n_shards: int, length: int) -> DataFrame:
+    """``minimizer, digest, n, low, high``: runs of repeated windows inside different segments,
+    from rows ``minimizer, digest, n, blocks, bytes``."""
+    # A minimizer of one block goes to a shard with others; a crowded one to pairs of its blocks.
+    rows = fetched.withColumn("blk", F.expr("CAST(pmod(xxhash64(digest), blocks) AS INT)")).withColumn(
+        "o", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
-    rows = rows.withColumn("shard", F.when(F.col("n") == 1, F.expr(f"pmod(xxhash64(minimizer), {n_shards})")).otherwise(F.xxhash64("minimizer")))
-    rows = rows.withColumn("crowded", F.when(F.col("n") > 1, F.col("minimizer")).otherwise(F.lit(0)))
+    rows = rows.withColumn("shard", F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(minimizer), {n_shards})")).otherwise(F.xxhash64("minimizer")))
+    rows = rows.withColumn("crowded", F.when(F.col("blocks") > 1, F.col("minimizer")).otherwise(F.lit(0)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["shard", "crowded", "bi", "bj"]):
@@ -256,7 +266,7 @@ def _in_shards(fetched: DataFrame, length: int, shard_bytes: int, block_bytes: i
             blk, bi, bj = group.column("blk").to_numpy(), group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
             found = []
             if bi == bj:
-                found.append((np.arange(len(parts)), repeated_starts(parts, length)))
+                found.append((np.arange(len(parts)), repeated_starts(parts, length, group.column("n").to_numpy())))
             else:
                 sides = [np.flatnonzero(blk == x) for x in (bi, bj)]
                 hits = merged_starts(*[[parts[i] for i in side] for side in sides], length)
@@ -275,13 +285,13 @@ def _in_shards(fetched: DataFrame, length: int, shard_bytes: int, block_bytes: i
                 continue
             row = np.concatenate(row)
             yield pa.record_batch([
-                pa.array(group.column("minimizer").to_numpy()[row]), pa.array(group.column("digest").to_numpy()[row]),
+                *[pa.array(group.column(c).to_numpy()[row]) for c in ("minimizer", "digest", "n")],
                 pa.array(np.concatenate(low)), pa.array(np.concatenate(high)),
-            ], ["minimizer", "digest", "low", "high"])
+            ], ["minimizer", "digest", "n", "low", "high"])
 
-    dealt = rows.select("shard", "crowded", "bi", "bj", "blk", "minimizer", "digest", "bytes")
+    dealt = rows.select("shard", "crowded", "bi", "bj", "blk", "minimizer", "digest", "n", "bytes")
     keys = ["shard", "crowded", "bi", "bj"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "minimizer long, digest long, low long, high long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "minimizer long, digest long, n long, low long, high long")
 
 
 def removed(
@@ -294,29 +304,28 @@ def removed(
         .select("doc_id", F.xxhash64("text").alias("th"), "text")
     stored = written(_all_segments(texts, length), "segments")
     flat = stored.select("doc_id", "th", F.inline(F.arrays_zip("first", "windows", "minimizer", "digest")))
-    kinds = (
-        flat.groupBy("minimizer").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-        .filter("n > 1").select("minimizer", (F.col("low") < F.col("high")).alias("mixed"))
-    )
-    repeats = written(flat.join(kinds, "minimizer"), "repeats")
-    mixed = repeats.filter("mixed")
-    distinct = mixed.groupBy("minimizer", "digest").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first", "windows")).alias("at"))
+    kinds = written(flat.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1"), "kinds")
+    heavy = (kinds.agg(F.sum("n")).first()[0] or 0) / 1000
+    repeats = written(_joined(flat, kinds, ["minimizer"], heavy).drop("n"), "repeats")
+    distinct = written(repeats.groupBy("minimizer", "digest").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "first", "windows")).alias("at")), "distinct")
+    sizes = distinct.groupBy("minimizer").agg(F.sum(F.col("at.windows") + (length - 1)).alias("size"))
+    n_shards = max(1, ceil((sizes.agg(F.sum("size")).first()[0] or 0) / shard_bytes))
+    crowded = sizes.filter(F.col("size") > block_bytes).select("minimizer", F.ceil(F.col("size") / block_bytes).cast("int").alias("blocks"))
     wanted = (
-        distinct.groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th"))
-        .agg(F.collect_list(F.struct("minimizer", "digest", "at.first", "at.windows")).alias("cuts"))
+        distinct.join(crowded, "minimizer", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        .groupBy(F.col("at.doc_id").alias("w_id"), F.col("at.th").alias("w_th"))
+        .agg(F.collect_list(F.struct("minimizer", "digest", "n", "blocks", "at.first", "at.windows")).alias("cuts"))
     )
     fetched = (
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
-        .select(F.explode(F.expr(
-            f"transform(cuts, c -> struct(c.minimizer, c.digest, substring(text, CAST(c.first AS INT) + 1, CAST(c.windows AS INT) + {length - 1}) AS bytes))"
-        )).alias("c")).select("c.*").dropDuplicates(["minimizer", "digest"])
+        .select(F.explode(F.expr(f"""transform(cuts, c -> struct(c.minimizer, c.digest, c.n, c.blocks,
+            substring(text, CAST(c.first AS INT) + 1, CAST(c.windows AS INT) + {length - 1}) AS bytes))""")).alias("c"))
+        .select("c.*").dropDuplicates(["minimizer", "digest"])
     )
-    runs = _in_shards(written(fetched, "fetched"), length, shard_bytes, block_bytes)
-    whole = distinct.filter("n > 1").select("minimizer", "digest", F.lit(0).cast("long").alias("low"), (F.col("at.windows") - 1).alias("high"))
-    found = mixed.select("doc_id", "th", "first", "minimizer", "digest").join(runs.unionByName(whole), ["minimizer", "digest"])
-    spans = found.selectExpr("doc_id", "th", "first + low AS a", f"first + high + {length} AS b").unionByName(
-        repeats.filter("NOT mixed").selectExpr("doc_id", "th", "first AS a", f"first + windows - 1 + {length} AS b"))
+    runs = written(_in_shards(fetched, n_shards, length), "runs")
+    found = _joined(repeats.select("doc_id", "th", "first", "minimizer", "digest"), runs, ["minimizer", "digest"], heavy)
+    spans = found.selectExpr("doc_id", "th", "first + low AS a", f"first + high + {length} AS b")
     # The spans of one document; equal rows bring the same ones.
     by_doc = spans.groupBy(F.col("doc_id").alias("s_id"), F.col("th").alias("s_th")).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"

@@ -249,6 +249,10 @@ def test_suffix_array_against_sorted_suffixes():
 
         count = Counter(w for _, w in windows(a))
         assert suffix_dedup.repeated_starts(a, length).tolist() == [i for i, w in windows(a) if count[w] > 1]
+        # A part that stands for several gives what the parts written out would give.
+        times = np.array([rnd.randint(1, 3) for _ in a])
+        count = Counter(w for p, n in zip(a, times) for _, w in windows([p]) * int(n))
+        assert suffix_dedup.repeated_starts(a, length, times).tolist() == [i for i, w in windows(a) if count[w] > 1]
         if windows(a) and windows(b):
             left, right = suffix_dedup.merged_starts(a, b, length)
             assert left.tolist() == [i for i, w in windows(a) if w in {x for _, x in windows(b)}]
@@ -273,3 +277,23 @@ def test_suffix_dedup_against_brute_force(documents, rows, block_bytes):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert Counter(rows(got, *columns)) == Counter(removed_by_force(made, 200))
     assert suffix_dedup.removed(documents([])).count() == 0
+
+
+def test_crowded_segments_are_broadcast_and_no_digest_decides(session, documents, rows, monkeypatch):
+    rnd = random.Random(10)
+    shared = prose(rnd, 70)
+    made = [(i, prose(rnd, rnd.randint(40, 60)) + shared + prose(rnd, 40)) for i in range(40)] + [(100 + i, prose(rnd, 90)) for i in range(3)] * 30
+    seen = []
+    search = suffix_dedup._in_shards
+    monkeypatch.setattr(suffix_dedup, "_in_shards", lambda fetched, *more: seen.append(fetched.count()) or search(fetched, *more))
+    got = suffix_dedup.removed(documents(made))
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(rows(got, *columns)) == Counter(removed_by_force(made, 200))
+    assert seen[0] > 15  # the copies' segments, equal in all rows, go through the suffix arrays too
+
+
+def test_long_segments_of_one_byte_count_by_interval():
+    part = b"a" * 500
+    assert suffix_dedup.repeated_starts([part], 200).tolist() == list(range(301))
+    assert suffix_dedup.repeated_starts([b"a" * 200], 200).tolist() == []
+    assert suffix_dedup.repeated_starts([b"a" * 200, b"b" * 199], 200, np.array([2, 5])).tolist() == [0]
