@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from fractions import Fraction
-from heapq import heappop, heappush
 from math import floor
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -57,66 +56,93 @@ def targets(sizes: Sequence[int], weights: Sequence[int] = WEIGHTS, share: Fract
         capped |= above
 
 
+def _augment(to: list[int], left: list[int], out: list[list[int]], start: int, end: int) -> None:
+    """Raise the flow to its maximum: in every round all shortest paths with capacity left are
+    filled at once, so rounds are few however many nodes there are. Edge ``e ^ 1`` reverses ``e``."""
+    while True:
+        level = [-1] * len(out)
+        level[start], front = 0, [start]
+        while front and level[end] < 0:
+            after = []
+            for a in front:
+                for e in out[a]:
+                    if left[e] and level[to[e]] < 0:
+                        level[to[e]] = level[a] + 1
+                        after.append(to[e])
+            front = after
+        if level[end] < 0:
+            return
+        tried = [0] * len(out)
+        path: list[int] = []
+        at = start
+        while True:
+            if at == end:
+                amount = min(left[e] for e in path)
+                for e in path:
+                    left[e] -= amount
+                    left[e ^ 1] += amount
+                full = next(i for i, e in enumerate(path) if not left[e])
+                at = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            edges = out[at]
+            while tried[at] < len(edges):
+                e = edges[tried[at]]
+                if left[e] and level[to[e]] == level[at] + 1:
+                    break
+                tried[at] += 1
+            else:
+                if not path:
+                    break
+                at = to[path.pop() ^ 1]
+                tried[at] += 1
+                continue
+            path.append(e)
+            at = to[e]
+
+
 def min_cost_flow(supply: dict[tuple, int], quota: dict, epochs: int = EPOCHS) -> dict[tuple[tuple, object], int]:
-    """Words each pattern sends to each source, by successive cheapest paths.
+    """Words each pattern sends to each source, at least cost.
 
     A pattern may send its size once per epoch; the e-th epoch costs e a word, to any of the
     sources in the pattern. Sending on costs nothing else, so the flow fills quotas as far
-    as capacity allows and repeats as little as possible. Ties go to the pattern and source
-    that come first, which makes reruns agree.
+    as capacity allows and repeats as little as possible. Every path costs what its first edge
+    costs, so the cheapest paths of all are those of the first epoch, then those of the second,
+    and so on: one maximum flow per cost, in which earlier words may be sent elsewhere but
+    never withdrawn. Edges are tried in the order of patterns and sources, which makes reruns agree.
     """
     patterns, sources = list(supply), list(quota)
     n = len(patterns)
     start, end = n + len(sources), n + len(sources) + 1
     place = {s: n + i for i, s in enumerate(sources)}
-    edges: list[list[int]] = []  # to, capacity, cost; the reverse edge follows
+    to: list[int] = []
+    left: list[int] = []
     out: list[list[int]] = [[] for _ in range(end + 1)]
 
-    def add(a: int, b: int, capacity: int, cost: int) -> None:
-        out[a].append(len(edges))
-        edges.append([b, capacity, cost])
-        out[b].append(len(edges))
-        edges.append([a, 0, -cost])
+    def add(a: int, b: int, capacity: int) -> None:
+        out[a].append(len(to))
+        to.append(b)
+        left.append(capacity)
+        out[b].append(len(to))
+        to.append(a)
+        left.append(0)
 
+    for i in range(n):
+        add(start, i, 0)
     for i, p in enumerate(patterns):
-        for epoch in range(1, epochs + 1):
-            add(start, i, supply[p], epoch)
         for s in p:
             if s in place:
-                add(i, place[s], epochs * supply[p], 0)
+                add(i, place[s], epochs * supply[p])
     for s in sources:
-        add(place[s], end, quota[s], 0)
-    potential = [0] * (end + 1)
-    while True:
-        distance: list[float] = [float("inf")] * (end + 1)
-        came = [-1] * (end + 1)
-        distance[start], queue = 0, [(0, start)]
-        while queue:
-            d, a = heappop(queue)
-            if d > distance[a]:
-                continue
-            for e in out[a]:
-                b, capacity, cost = edges[e]
-                if capacity and (x := d + cost + potential[a] - potential[b]) < distance[b]:
-                    distance[b], came[b] = x, e
-                    heappush(queue, (x, b))
-        if came[end] < 0:
-            break
-        potential = [p + (d if d < float("inf") else 0) for p, d in zip(potential, distance)]
-        path, at = [], end
-        while at != start:
-            path.append(came[at])
-            at = edges[came[at] ^ 1][0]
-        flow = min(edges[e][1] for e in path)
-        for e in path:
-            edges[e][1] -= flow
-            edges[e ^ 1][1] += flow
-    sent = {}
-    for i, p in enumerate(patterns):
-        for e in out[i]:
-            if e % 2 == 0 and edges[e ^ 1][1]:
-                sent[p, sources[edges[e][0] - n]] = edges[e ^ 1][1]
-    return sent
+        add(place[s], end, quota[s])
+    for _ in range(epochs):
+        for i, p in enumerate(patterns):
+            left[2 * i] += supply[p]
+        _augment(to, left, out, start, end)
+    return {
+        (p, sources[to[e] - n]): left[e ^ 1]
+        for i, p in enumerate(patterns) for e in out[i] if e % 2 == 0 and left[e ^ 1]
+    }
 
 
 def _ordered(docs: DataFrame, members: str, seed: int, key: Sequence[str]) -> DataFrame:

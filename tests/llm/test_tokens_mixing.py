@@ -1,6 +1,7 @@
 """Token counts, token files, mixing."""
 
 import random
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -100,6 +101,78 @@ def test_flow_of_overlapping_sources_repeats_as_little_as_possible():
     assert sum(mixing.min_cost_flow({("a",): 10}, {"a": 50}).values()) == 20  # capacity ends at two epochs
 
 
+def cheapest_by_force(supply, quota, epochs):
+    """Total flow and cost, one cheapest path of one word after another (plain relaxation)."""
+    arcs = {}
+    for p, n in supply.items():
+        for e in range(1, epochs + 1):
+            arcs["start", (p, e)], arcs[(p, e), p] = [n, e], [n, 0]
+        for s in p:
+            if s in quota:
+                arcs[p, ("to", s)] = [epochs * n, 0]
+    for s, n in quota.items():
+        arcs[("to", s), "end"] = [n, 0]
+    arcs.update({(b, a): [0, -c] for (a, b), (_, c) in list(arcs.items())})
+    flow = cost = 0
+    while True:
+        best, came = {"start": 0}, {}
+        for _ in range(len(arcs)):
+            moved = False
+            for (a, b), (n, c) in arcs.items():
+                if n and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], came[b], moved = best[a] + c, a, True
+            if not moved:
+                break
+        if "end" not in best:
+            return flow, cost
+        flow, cost, at = flow + 1, cost + best["end"], "end"
+        while at != "start":
+            arcs[came[at], at][0] -= 1
+            arcs[at, came[at]][0] += 1
+            at = came[at]
+
+
+def checked(supply, quota, sent, epochs):
+    """Flow and cost of a plan that keeps all capacities."""
+    per = {p: sum(n for (q, _), n in sent.items() if q == p) for p in supply} if len(supply) < 100 else Counter()
+    if not per:
+        for (p, _), n in sent.items():
+            per[p] += n
+    got = Counter()
+    for (p, s), n in sent.items():
+        assert n > 0 and s in p
+        got[s] += n
+    assert all(per[p] <= epochs * n for p, n in supply.items()) and all(n <= quota[s] for s, n in got.items())
+    cost = sum(sum(max(0, per[p] - e * n) for e in range(epochs)) for p, n in supply.items())
+    return sum(per.values()), cost
+
+
+def test_flow_costs_as_little_as_word_by_word():
+    rnd = random.Random(6)
+    for _ in range(60):
+        names, epochs = "abcde"[:rnd.randint(1, 5)], rnd.randint(1, 3)
+        supply = {tuple(sorted(rnd.sample(names, rnd.randint(1, len(names))))): rnd.randint(0, 6) for _ in range(rnd.randint(0, 7))}
+        quota = {s: rnd.randint(0, 15) for s in rnd.sample(names, rnd.randint(1, len(names)))}
+        sent = mixing.min_cost_flow(supply, quota, epochs)
+        assert checked(supply, quota, sent, epochs) == cheapest_by_force(supply, quota, epochs)
+        assert sent == mixing.min_cost_flow(supply, quota, epochs)
+
+
+def test_flow_of_many_patterns():
+    rnd = random.Random(7)
+    names = [f"s{i:02}" for i in range(30)]
+    supply = {}
+    while len(supply) < 20_000:
+        supply[tuple(sorted(rnd.sample(names, rnd.choice([2, 3, 4, 5]))))] = rnd.randint(1, 10_000)
+    total = sum(supply.values())
+    quota = {s: int(total * 1.5 * (1 + i) / 465) for i, s in enumerate(names)}
+    began = time.monotonic()
+    sent = mixing.min_cost_flow(supply, quota)
+    assert time.monotonic() - began < 60
+    flow, cost = checked(supply, quota, sent, 2)
+    assert flow == sum(quota.values()) and cost >= total + 2 * (flow - total)
+
+
 def test_mix(session, documents, rows):
     rnd = random.Random(5)
     made = [(i, " ".join("w" * 3 for _ in range(rnd.randint(0, 40))), rnd.choice(["hot", "hot", "hot", "é", "b", None])) for i in range(400)]
