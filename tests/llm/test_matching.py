@@ -121,6 +121,56 @@ def test_one_set_of_weights_serves_all_grades():
     assert np.allclose(weights, [2, 1, 0, -1.5], atol=0.25) and np.allclose(thresholds, [0, 2], atol=0.25)
 
 
+def loss(x, grade, weight, w, theta, l1):
+    """Penalized mean negative log likelihood, grade by grade as the model states it."""
+    total = 0.0
+    for row, g, share in zip(x, grade, weight / weight.sum()):
+        at_least = [1.0, *(1 / (1 + np.exp(t - row @ w)) for t in theta), 0.0]
+        total -= share * np.log(at_least[g] - at_least[g + 1])
+    return total + l1 * np.abs(w).sum()
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.02])
+def test_fit_reaches_the_likelihood_of_a_plain_search(l1):
+    rnd = np.random.default_rng(2)
+    x = (rnd.random((60, 3)) < 0.5).astype(int)
+    grade = np.clip(np.floor(x @ np.array([1.5, 0.8, -0.7]) + rnd.logistic(size=60)), 0, 2).astype(int)
+    weight = rnd.uniform(0.5, 2, 60)
+    rows, cols = np.nonzero(x)
+    w, theta = toxicity.fit(rows, cols, grade, weight, 3, l1=l1)
+    # One parameter after another is moved by a step that halves when no move helps; the loss is convex.
+    at, step = np.array([0.0, 0.0, 0.0, -0.5, 0.5]), 0.5
+    value = loss(x, grade, weight, at[:3], at[3:], l1)
+    while step > 1e-4:
+        moved = False
+        for move in [s * step * e for e in np.eye(5) for s in (1, -1)]:
+            new = at + move
+            if new[3] < new[4] and (v := loss(x, grade, weight, new[:3], new[3:], l1)) < value:
+                at, value, moved = new, v, True
+        step = step if moved else step / 2
+    assert loss(x, grade, weight, w, theta, l1) <= value + 1e-7
+    assert np.allclose(np.concatenate([w, theta]), at, atol=0.02)
+
+
+def test_severity_follows_an_order_the_model_never_sees(session, documents):
+    """Severity against a hidden strength, told to the model only as toxic or not."""
+    rnd = random.Random(11)
+    strength = {"grumf": 1, "blarg": 1, "snerk": 2, "vlop": 2, "drix": 3, "quazz": 3}
+    made, hidden = [], {}
+    for i in range(1500):
+        words = prose(rnd, rnd.randint(20, 60)).split()
+        held = rnd.sample(sorted(strength), rnd.randint(1, 6)) if i % 3 == 0 else []
+        made.append((i, " ".join(words + held)))
+        hidden[i] = sum(strength[w] for w in held)
+    labels = session.createDataFrame([(i, int(hidden[i] > 0)) for i in range(1000)], "doc_id long, toxic int")
+    docs = documents(made)
+    got = {r.doc_id: r.severity for r in toxicity.scored(docs, toxicity.trained(docs, labels)).collect() if r.doc_id >= 1000}
+    toxic = [i for i in got if hidden[i]]
+    pairs = [(a, b) for a in toxic for b in toxic if hidden[a] < hidden[b]]
+    assert sum(got[a] < got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert max(got[i] for i in got if not hidden[i]) < min(got[i] for i in toxic)
+
+
 # --- n-gram Jaccard join ---------------------------------------------------------------
 
 
