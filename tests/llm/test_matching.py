@@ -329,7 +329,7 @@ def test_suffix_dedup_against_brute_force(documents, rows, block_bytes):
     assert suffix_dedup.removed(documents([])).count() == 0
 
 
-def test_crowded_segments_are_broadcast_and_no_digest_decides(session, documents, rows, monkeypatch):
+def test_crowded_and_wholly_equal_segments_go_through_the_shards(documents, rows, monkeypatch):
     rnd = random.Random(10)
     shared = prose(rnd, 70)
     made = [(i, prose(rnd, rnd.randint(40, 60)) + shared + prose(rnd, 40)) for i in range(40)] + [(100 + i, prose(rnd, 90)) for i in range(3)] * 30
