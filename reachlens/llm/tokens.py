@@ -33,6 +33,7 @@ _SPACE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
 _REMEMBERED_BYTES = 24 << 20
 _BATCH_BYTES = 3 << 20
 _SEGMENT_CHARS = 1 << 20
+_JOINED_PIECES = 4096
 
 
 def _character_classes() -> np.ndarray:
@@ -55,6 +56,10 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
+def _offsets(pieces: pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:][:len(pieces) + 1]
+
+
 def is_plain(path: str) -> bool:
     """Whether the file is a byte-level BPE whose split is the one computed here."""
     with open(path, encoding="utf-8") as file:
@@ -130,8 +135,8 @@ class Splitter:
         start, offset = np.cumsum(length) - length, np.cumsum(size) - size
         if self._plain:
             kind = self._class[code]
-            unsure = np.cumsum(np.append(0, kind == _UNSURE), dtype=np.int32)
-            whole = unsure[start + length] > unsure[start]
+            unsure = np.flatnonzero(kind == _UNSURE)
+            whole = np.searchsorted(unsure, start + length) > np.searchsorted(unsure, start)
             for special in self._special:
                 if special in joined:
                     whole |= pc.match_substring(array, special).to_numpy(zero_copy_only=False)
@@ -146,9 +151,11 @@ class Splitter:
             if whole.any():  # such texts are one piece each
                 inside = np.repeat(whole, length)[begins]
                 begins = begins[~inside | first[begins]]
-        width = 1 + (code > 0x7F).astype(np.int8) + (code > 0x7FF) + (code > 0xFFFF)
-        byte_at = np.cumsum(width, dtype=np.int64) - width
-        offsets = np.append(byte_at[begins], len(data))
+        if len(data) > len(code):  # bytes that begin a character
+            byte_at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[begins]
+        else:
+            byte_at = begins
+        offsets = np.append(byte_at, len(data))
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = pieces.dictionary_encode()
         bounds = np.searchsorted(offsets[:-1], np.append(offset, len(data)))
@@ -190,7 +197,7 @@ class Remembered:
 
     def keys(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """A key for each piece, and which pieces have one: no zero bytes, which keys cannot end in."""
-        offsets, data = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset:][:len(pieces) + 1], np.frombuffer(pieces.buffers()[2], np.uint8)
+        offsets, data = _offsets(pieces), np.frombuffer(pieces.buffers()[2], np.uint8)
         size, signs = np.diff(offsets), np.zeros((len(pieces), self._WIDTH), np.uint8)
         fits = (size > 0) & (size <= self._WIDTH)
         for place in range(self._WIDTH):
@@ -225,18 +232,57 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._splitter = Splitter([t.content for t in self._tokenizer.get_added_tokens_decoder().values()], is_plain(path))
+        # Byte-level tokens are spelled with one character a byte.
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        self._id_bytes = np.zeros(1 + max([*vocabulary.values(), *self._tokenizer.get_added_tokens_decoder()], default=0), np.int64)
+        for token, i in vocabulary.items():
+            self._id_bytes[i] = len(token)
         self._remembered = Remembered()
 
-    def _table(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given pieces end to end, and where each begins."""
+    def _listed(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, each encoded by itself, and how many each has."""
+        pools, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(pieces), _JOINED_PIECES):
+            texts = pieces.slice(start, _JOINED_PIECES).cast(pa.large_string()).to_pylist()
+            found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            pools.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(pools), np.concatenate(sizes)
+
+    def _joined(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces that begin with a plain space and go on with something visible:
+        end to end they are split where they were joined, and the bytes that the ids stand for
+        tell where each piece ends."""
+        pools, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for start in range(0, len(pieces), _JOINED_PIECES):
+            some = pieces.slice(start, _JOINED_PIECES)
+            offsets = _offsets(some)
+            text = some.buffers()[2][int(offsets[0]):int(offsets[-1])].to_pybytes().decode()
+            ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends, wanted = np.cumsum(self._id_bytes[ids]), offsets[1:] - offsets[0]
+            at = np.minimum(np.searchsorted(ends, wanted), max(len(ends) - 1, 0))
+            if not len(ends) or ends[-1] != wanted[-1] or (ends[at] != wanted).any():  # ids that do not stand for all bytes
+                ids, counts = self._listed(some)
+            else:
+                counts = np.diff(at, prepend=-1)
+            pools.append(ids)
+            sizes.append(counts)
+        return np.concatenate(pools), np.concatenate(sizes)
+
+    def _table(self, pieces: pa.LargeBinaryArray, whole: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the given pieces end to end, and where each begins. ``whole`` are pieces that
+        are texts left whole."""
         keys, fits = self._remembered.keys(pieces)
         entry = np.where(fits, self._remembered.find(keys), -1)
         known, missing = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
         old, old_ends = self._remembered.ids(entry[known])
-        texts = pieces.take(pa.array(missing)).cast(pa.large_string()).to_pylist()
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        new_pieces = pieces.take(pa.array(missing))
+        spaced = pc.match_substring_regex(new_pieces.cast(pa.large_string()), r"^ [^\s\x0b\x1c-\x1f\x85\pZ]").to_numpy(zero_copy_only=False)
+        if whole:
+            spaced &= ~pc.is_in(new_pieces, pa.array(list(whole), pa.large_binary())).to_numpy(zero_copy_only=False)
+        missing = np.concatenate([missing[spaced], missing[~spaced]])
+        parts = self._joined(new_pieces.filter(pa.array(spaced))), self._listed(new_pieces.filter(pa.array(~spaced)))
+        new, sizes = (np.concatenate(x) for x in zip(*parts))
         new_ends = np.append(0, np.cumsum(sizes))
         pool, ends = np.concatenate([old, new]), np.concatenate([old_ends, len(old) + new_ends[1:]])
         back = np.empty(len(pieces), np.int64)
@@ -250,8 +296,8 @@ class Encoder:
         """Ids of all texts end to end (a null is empty), and the bounds of each text."""
         ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
         for parts, owners in self._splitter.groups(texts):
-            pieces, index, piece_bounds, _ = self._splitter.split(parts)
-            found, ends = spread(*self._table(pieces), index)
+            pieces, index, piece_bounds, whole = self._splitter.split(parts)
+            found, ends = spread(*self._table(pieces, whole), index)
             ids.append(found)
             np.add.at(counts, owners, np.diff(ends[piece_bounds]))
         return np.concatenate(ids), np.append(0, np.cumsum(counts))

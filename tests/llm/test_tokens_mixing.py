@@ -36,6 +36,31 @@ def test_encoding_equals_the_tokenizer():
     assert [len(x) for x in own.encode(pa.array([], pa.string()))] == [0, 1]
 
 
+def test_new_pieces_reach_the_tokenizer_joined():
+    class Counted:
+        handed, most = 0, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.handed, self.most = self.handed + len(texts), max(self.most, len(texts))
+            return whole.encode_batch_fast(texts, **options)
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    odd = ["a \u2003", "b \u2003", " \u2003 x", "c \xa0", " \xa0", "d \x85", "e \x1c", " '", " 's", " x's", " !'ll go", " ½", " 日本 語", " <|endoftext|>", " é"]
+    texts, whole = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)] + odd + ["".join(f".{w}" for w in words)], Tokenizer.from_file(PATH)
+    wanted = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for lengths_known in (True, False):
+        own = Encoder(PATH)
+        own._tokenizer = counted = Counted()
+        if not lengths_known:
+            own._id_bytes[:] = 1
+        ids, bounds = own.encode(pa.array(texts))
+        assert [list(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])] == wanted
+        # An encoding for each of 17,000 pieces at once was what filled a worker's memory.
+        assert counted.most <= tokens._JOINED_PIECES
+        assert not lengths_known or counted.handed < 1.2 * len(words)
+
+
 def test_token_counts(documents, rows):
     texts, whole = [*random_texts(80), "", None, "word " * 3000, "", "word " * 3000], Tokenizer.from_file(PATH)
     lengths = np.array([len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts])
