@@ -4,12 +4,14 @@ import random
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
+from reachlens.llm import tokens
 from reachlens.sources.shared import new_path
 
 VOCABULARY = "the of and in is on tree stone river cloud wind moss sand leaf root hill lake path bird rain".split()
@@ -100,3 +102,21 @@ def test_registered():
 def test_native_plans_have_no_python(session, name):
     plan = entry_point.queries()[name](session, "/root/testdata/sf0.001").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"))
+
+
+def test_token_stage_holds_few_encodings():
+    """At most some thousand new pieces of a batch become encodings at a time."""
+    own, most = tokens.Encoder(public_tokenizers.path(corpus_pipeline.TOKENIZER)), []
+    whole = own._tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            most.append(len(texts))
+            return whole.encode_batch_fast(texts, **options)
+
+    rnd = random.Random(5)
+    text = "\n".join("".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(20000))
+    own._tokenizer = Counted()
+    ids, bounds = own.encode(pa.array([text]))
+    assert list(ids) == whole.encode(text, add_special_tokens=False).ids and bounds[-1] == len(ids)
+    assert len(most) > 4 and max(most) <= 4096
