@@ -229,6 +229,41 @@ def test_phrases_and_plurals(spark):
         assert got == wanted
 
 
+@pytest.mark.parametrize("held, crowded, places", [(0, 1, 100), (3, 1, 100), (25, 20, 2_000_000), (1000, 1, 100), (1000, 10**9, 100)])
+def test_phrases_are_the_same_however_the_work_is_dealt_out(spark, monkeypatch, held, crowded, places):
+    for name, value in (("HELD", held), ("CROWDED", crowded), ("PLACES_A_TASK", places)):
+        monkeypatch.setattr(terms, name, value)
+    rnd = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in ("ra", "Ra", "ko", "mis", "the", "of") for b in ("", "s", "ss", "n", "'s", "lu")]
+    made = [(rnd.choice((0, 0, 1, None)), " ".join(rnd.choice(vocabulary[:rnd.choice((4, 36))]) for _ in range(rnd.randint(0, 40))), None) for _ in range(90)]
+    made += [(1, "rare word", "x x x"), (1, "one one", ""), (2, "a a", "b")]
+    posts = spark.createDataFrame(made, "page_id long, processed_speech string, caption string")
+    got = [tuple(r) for r in terms.phrase_counts(posts, stop_words=("the", "of"), threshold=3.0).collect()]
+    wanted = set()
+    for page in {r[0] for r in made}:  # rows without an account have words, but no phrases
+        texts = [f"{a or ''} {b or ''}" for p, a, b in made if p == page]
+        wanted |= {(page, t, n) for t, n in plain_phrases(texts, ("the", "of"), 3.0 if page is not None else float("inf")).items()}
+    assert len(got) == len(set(got)) and set(got) == wanted and any(" " in t for _, t, _ in got)
+
+
+def test_few_pairs_are_joined_with_the_counts_of_words(spark, monkeypatch):
+    """Pairs that cannot be phrases are dropped where their spellings meet; before, every pair was
+    sent twice more to be scored."""
+    rnd, sent = random.Random(6), []
+    vocabulary = ["".join(rnd.choice("aeioukmnrt") for _ in range(6)) for _ in range(2000)]
+    made = [(i % 2, " ".join([*rnd.choices(vocabulary, k=60), *["New York"] * (i % 9 == 0)]), "") for i in range(300)]
+    whole = terms.left_join_unique
+
+    def counted(left, right, on):
+        sent.append(left.count())
+        return whole(left, right, on)
+
+    monkeypatch.setattr(terms, "left_join_unique", counted)
+    got = {(r.page_id, r.term): r.occurrences for r in terms.phrase_counts(spark.createDataFrame(made, "page_id long, processed_speech string, caption string")).collect()}
+    assert got[0, "New York"] == 17 and got[1, "New York"] == 17 and (0, "New") not in got
+    assert max(sent[:2]) < 1800  # of some 17,700
+
+
 def test_phrase_counts_after_one_reading_of_the_texts(spark):
     posts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("source AS page_id", "text AS processed_speech", "lang AS caption")
     plan = terms.phrase_counts(posts)._jdf.queryExecution().optimizedPlan().toString()
