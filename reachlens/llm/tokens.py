@@ -52,6 +52,16 @@ def _character_classes() -> np.ndarray:
     return out
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that a byte-level BPE spells each byte with."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(0x100) if b not in shown]
+    return dict(zip([*shown, *hidden], [*shown, *range(0x100, 0x100 + len(hidden))]))
+
+
+_BYTE_CHARS = _byte_characters()
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
@@ -179,21 +189,35 @@ class Splitter:
 
 def spread(pool: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries ``index`` of a pool end to end, and where each ends (from 0 on)."""
-    lengths = np.diff(bounds)[index]
+    return _runs(pool, bounds[index], np.diff(bounds)[index])
+
+
+def _runs(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)
     if not len(ends):
         return pool[:0], np.zeros(1, np.int64)
-    return pool[np.repeat(bounds[index] - (ends - lengths), lengths) + np.arange(ends[-1])], np.append(0, ends)
+    places = np.arange(ends[-1])
+    places += np.repeat(starts - (ends - lengths), lengths)
+    return pool[places], np.append(0, ends)
 
 
 class Remembered:
-    """Ids of short pieces: sorted keys of 16 bytes, and the ids of each in one pool. When it
-    would hold more than a number of bytes, it starts again from the newest pieces."""
+    """Ids of short pieces: keys of 16 bytes, sorted by a hash of theirs, and the ids of each in one
+    pool. Of keys with one hash the first is found. When it would hold more than a number of
+    bytes, it starts again from the newest pieces."""
 
     _WIDTH = 16
 
     def __init__(self):
-        self._keys, self._bounds, self._pool = np.zeros(0, f"S{self._WIDTH}"), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self._keys, self._hashes, self._pool = np.zeros(0, f"S{self._WIDTH}"), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self._starts, self._sizes = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _halves(self, keys: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(keys).view(np.uint64).reshape(-1, 2)
+
+    def _hash(self, keys: np.ndarray) -> np.ndarray:
+        halves = self._halves(keys) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+        return halves[:, 0] ^ (halves[:, 1] << np.uint64(31) | halves[:, 1] >> np.uint64(33))
 
     def keys(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """A key for each piece, and which pieces have one: no zero bytes, which keys cannot end in."""
@@ -210,19 +234,22 @@ class Remembered:
         """The entry of each key, or -1."""
         if not len(self._keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        return np.where(self._keys[at] == keys, at, -1)
+        at = np.minimum(np.searchsorted(self._hashes, self._hash(keys)), len(self._keys) - 1)
+        return np.where((self._halves(self._keys)[at] == self._halves(keys)).all(1), at, -1)
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return spread(self._pool, self._bounds, entries)
+        return _runs(self._pool, self._starts[entries], self._sizes[entries].astype(np.int64))
 
     def add(self, keys: np.ndarray, bounds: np.ndarray, pool: np.ndarray) -> None:
-        if self._keys.nbytes + self._bounds.nbytes + self._pool.nbytes > _REMEMBERED_BYTES:
+        if sum(x.nbytes for x in (self._keys, self._hashes, self._starts, self._sizes, self._pool)) > _REMEMBERED_BYTES:
             self.__init__()
-        keys, bounds = np.concatenate([self._keys, keys]), np.concatenate([self._bounds, len(self._pool) + bounds[1:]])
-        order = np.argsort(keys, kind="stable")
-        self._keys = keys[order]
-        self._pool, self._bounds = spread(np.concatenate([self._pool, pool]), bounds, order)
+        # Only the entries are sorted, the pool stays as it is.
+        starts = np.concatenate([self._starts, len(self._pool) + bounds[:-1]])
+        sizes = np.concatenate([self._sizes, np.diff(bounds).astype(np.uint32)])
+        keys, hashes = np.concatenate([self._keys, keys]), np.concatenate([self._hashes, self._hash(keys)])
+        order = np.argsort(hashes, kind="stable")
+        self._keys, self._hashes, self._starts, self._sizes = keys[order], hashes[order], starts[order], sizes[order]
+        self._pool = np.concatenate([self._pool, pool])
 
 
 class Encoder:
@@ -237,6 +264,8 @@ class Encoder:
         self._id_bytes = np.zeros(1 + max([*vocabulary.values(), *self._tokenizer.get_added_tokens_decoder()], default=0), np.int64)
         for token, i in vocabulary.items():
             self._id_bytes[i] = len(token)
+        self._model = self._tokenizer.model
+        self._one_line_end = len(self._tokenizer.encode_batch_fast(["\n"], add_special_tokens=False)[0].ids) == 1
         self._remembered = Remembered()
 
     def _listed(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +279,8 @@ class Encoder:
         return np.concatenate(pools), np.concatenate(sizes)
 
     def _joined(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """The same of pieces that begin with a plain space and go on with something visible:
-        end to end they are split where they were joined, and the bytes that the ids stand for
-        tell where each piece ends."""
+        """The same of pieces that are split where they were joined when they stand end to end; the
+        bytes that the ids stand for tell where each piece ends."""
         pools, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for start in range(0, len(pieces), _JOINED_PIECES):
             some = pieces.slice(start, _JOINED_PIECES)
@@ -269,19 +297,45 @@ class Encoder:
             sizes.append(counts)
         return np.concatenate(pools), np.concatenate(sizes)
 
-    def _table(self, pieces: pa.LargeBinaryArray, whole: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the given pieces end to end, and where each begins. ``whole`` are pieces that
-        are texts left whole."""
+    def _modelled(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the tokenizer's model, which takes a piece spelled with one character a byte
+        and leaves out what the tokenizer does to find pieces."""
+        offsets, encode, pools, sizes = _offsets(pieces), self._model.tokenize, [np.zeros(0, np.uint32)], []
+        for start in range(0, len(pieces), _JOINED_PIECES):
+            ends = offsets[start:start + _JOINED_PIECES + 1]
+            spelled = pieces.buffers()[2][int(ends[0]):int(ends[-1])].to_pybytes().decode("latin-1").translate(_BYTE_CHARS)
+            ends, ids = (ends - ends[0]).tolist(), []
+            for a, b in zip(ends, ends[1:]):
+                found = encode(spelled[a:b])
+                sizes.append(len(found))
+                ids.extend([token.id for token in found])
+            pools.append(np.array(ids, np.uint32))
+        return np.concatenate(pools), np.array(sizes, np.int64)
+
+    def _lines(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces of letters only: with a line end behind each, which is a piece by
+        itself and one id."""
+        ended = pc.binary_join_element_wise(pieces, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+        ids, counts = self._joined(ended)
+        return np.delete(ids, np.cumsum(counts) - 1), counts - 1
+
+    def _table(self, pieces: pa.LargeBinaryArray, whole: set[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the given pieces in a pool, its bounds, and the place of each piece in those.
+        ``whole`` are pieces that are texts left whole."""
         keys, fits = self._remembered.keys(pieces)
         entry = np.where(fits, self._remembered.find(keys), -1)
         known, missing = np.flatnonzero(entry >= 0), np.flatnonzero(entry < 0)
         old, old_ends = self._remembered.ids(entry[known])
         new_pieces = pieces.take(pa.array(missing))
-        spaced = pc.match_substring_regex(new_pieces.cast(pa.large_string()), r"^ [^\s\x0b\x1c-\x1f\x85\pZ]").to_numpy(zero_copy_only=False)
+        strings = new_pieces.cast(pa.large_string())
+        spaced = pc.match_substring_regex(strings, r"^ [^\s\x0b\x1c-\x1f\x85\pZ]").to_numpy(zero_copy_only=False)
+        lines = pc.match_substring_regex(strings, r"^[A-Za-z]+$").to_numpy(zero_copy_only=False) & self._one_line_end
         if whole:
-            spaced &= ~pc.is_in(new_pieces, pa.array(list(whole), pa.large_binary())).to_numpy(zero_copy_only=False)
-        missing = np.concatenate([missing[spaced], missing[~spaced]])
-        parts = self._joined(new_pieces.filter(pa.array(spaced))), self._listed(new_pieces.filter(pa.array(~spaced)))
+            apart = pc.is_in(new_pieces, pa.array(list(whole), pa.large_binary())).to_numpy(zero_copy_only=False)
+            spaced, lines = spaced & ~apart, lines & ~apart
+        kinds = spaced, lines, ~(spaced | lines)
+        missing = np.concatenate([missing[kind] for kind in kinds])
+        parts = [encode(new_pieces.filter(pa.array(kind))) for encode, kind in zip((self._modelled, self._lines, self._listed), kinds)]
         new, sizes = (np.concatenate(x) for x in zip(*parts))
         new_ends = np.append(0, np.cumsum(sizes))
         pool, ends = np.concatenate([old, new]), np.concatenate([old_ends, len(old) + new_ends[1:]])
@@ -290,14 +344,15 @@ class Encoder:
         kept = np.flatnonzero(fits[missing])
         kept_pool, kept_ends = spread(new, new_ends, kept)
         self._remembered.add(keys[missing[kept]], kept_ends, kept_pool)
-        return spread(pool, ends, back)
+        return pool, ends, back
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (a null is empty), and the bounds of each text."""
         ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
         for parts, owners in self._splitter.groups(texts):
             pieces, index, piece_bounds, whole = self._splitter.split(parts)
-            found, ends = spread(*self._table(pieces, whole), index)
+            pool, pool_ends, place = self._table(pieces, whole)
+            found, ends = spread(pool, pool_ends, place[index])
             ids.append(found)
             np.add.at(counts, owners, np.diff(ends[piece_bounds]))
         return np.concatenate(ids), np.append(0, np.cumsum(counts))

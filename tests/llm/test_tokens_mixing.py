@@ -61,6 +61,24 @@ def test_new_pieces_reach_the_tokenizer_joined():
         assert not lengths_known or counted.handed < 1.2 * len(words)
 
 
+def test_pieces_are_not_split_again():
+    """Words with a space before go to the tokenizer's model; before, all were joined and split once more."""
+    handed = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            handed.extend(texts)
+            return whole.encode_batch_fast(texts, **options)
+
+    rnd, own, whole = random.Random(8), Encoder(PATH), Tokenizer.from_file(PATH)
+    own._tokenizer = Counted()
+    words = ["".join(rnd.choice("abcdeéß日語") for _ in range(rnd.randint(5, 9))) for _ in range(5000)]
+    texts = [" ".join(words), " ".join(words[::2]), " ½ 01- \u2003é  x's"]
+    ids, bounds = own.encode(pa.array(texts))
+    assert [list(ids[a:b]) for a, b in zip(bounds, bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum(map(len, handed)) < 0.01 * len(texts[0])
+
+
 def test_token_counts(documents, rows):
     texts, whole = [*random_texts(80), "", None, "word " * 3000, "", "word " * 3000], Tokenizer.from_file(PATH)
     lengths = np.array([len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts])
